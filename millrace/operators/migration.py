@@ -66,13 +66,17 @@ def hash_objects(objects: DataFrame, body: str = "body") -> DataFrame:
 def inspect_records(records: DataFrame, objects: DataFrame, bucket: str) -> DataFrame:
     """Finding for every record: migrated, unrecognised, missing, tampered or ready.
 
-    Only legacy records are looked up, and only their checksums travel; the
-    object side has one row per key, so the join key does not repeat there.
+    Only legacy records are looked up, and only checksums travel. Records that
+    need no lookup get a key of their own that matches nothing, because a shared
+    NULL would send them all to one task.
     """
     classified = classify_generation(records, bucket)
     legacy = F.col("generation").isin(UNPREFIXED, SCHEMA_PREFIXED)
     listing = hash_objects(objects)
-    probe = classified.withColumn("probe_key", F.when(legacy, F.col("key")))
+    probe = classified.withColumn(
+        "probe_key",
+        F.when(legacy, F.col("key")).otherwise(F.concat(F.lit("#"), "record_id")),
+    )
     found = probe.join(listing.withColumnRenamed("key", "probe_key"), "probe_key", "left")
     finding = (
         F.when(F.col("generation") == MIGRATED, MIGRATED)
@@ -178,18 +182,12 @@ def cancelled_pass(
 
     ``cancels`` holds the batch numbers at whose end a cancel was pending.
     """
-    numbered = number_rows(findings, ["record_id"], "_position")
-    total = findings.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    stop = (
-        cancels.join(total, F.col("n") >= (F.col("batch") + 1) * batch)
-        .groupBy()
-        .agg(F.min("batch").alias("stop_batch"))
-    )
-    return (
-        numbered.withColumn("batch", F.floor(F.col("_position") / batch).cast("bigint"))
-        .join(F.broadcast(stop), F.coalesce(F.col("batch") <= F.col("stop_batch"), F.lit(True)))
-        .drop("_position", "stop_batch")
+    numbered = number_rows(findings, ["record_id"], "_position").withColumn(
+        "batch", F.floor(F.col("_position") / batch).cast("bigint")
     )
+    inspected = findings.agg(F.count(F.lit(1)).alias("n")).scalar()
+    stop = cancels.where((F.col("batch") + 1) * batch <= inspected).agg(F.min("batch")).scalar()
+    return numbered.where(F.coalesce(F.col("batch") <= stop, F.lit(True))).drop("_position")
 
 
 def final_status(jobs: DataFrame) -> DataFrame:

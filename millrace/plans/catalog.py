@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from millrace.plans import record_queries, scan_queries  # noqa: F401
+from millrace.plans import (  # noqa: F401
+    job_queries,
+    migration_queries,
+    raw_queries,
+    record_queries,
+    run_queries,
+    scan_queries,
+)
 from millrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

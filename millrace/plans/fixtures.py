@@ -1,8 +1,9 @@
 """Inputs of the registered queries, derived from the given tables by plain SQL.
 
 Each text runs unchanged in Spark and in the checking engine: ``@orders`` stands
-for a given table, a bare fixture name for another fixture. The one spelling the
-two engines do not share, ordered string aggregation, is written ``$JOIN(x|k)``.
+for a given table, a bare fixture name for another fixture. The two spellings the
+engines do not share are written ``$JOIN(x|k)`` for ordered string aggregation and
+``$SHA(x)`` for a SHA-256 in hex.
 """
 
 from __future__ import annotations
@@ -282,6 +283,34 @@ SELECT concat(' H', r, '.Example.test ') AS host,
 FROM (SELECT DISTINCT page_id % 40 AS r FROM @pages) t
 WHERE r % 3 <> 0
 """
+FIXTURES["load_requests"] = """
+SELECT p_partkey AS load_id, CASE WHEN p_partkey % 31 = 0 THEN 'upsert' ELSE 'append' END AS mode,
+       CASE WHEN p_partkey % 29 = 0 THEN 0 ELSE CAST(p_size AS BIGINT) END AS n_records,
+       concat('{"host":"db"',
+         CASE p_partkey % 13 WHEN 0 THEN ',"schema_name":"9bad"' WHEN 1 THEN ',"schema_name":"sales"'
+              WHEN 2 THEN ',"schema_name":7' ELSE '' END,
+         CASE WHEN p_partkey % 17 = 3 THEN '' ELSE concat(',"table_name":"',
+           CASE p_partkey % 7 WHEN 0 THEN 'orders' WHEN 1 THEN 'parts' WHEN 2 THEN 'drop table'
+                WHEN 3 THEN 'ghost' ELSE 'events' END, '"') END,
+         CASE p_partkey % 11 WHEN 0 THEN ',"batch_size":0' WHEN 1 THEN ',"batch_size":true'
+              WHEN 2 THEN ',"batch_size":2.5' WHEN 3 THEN ',"batch_size":50' ELSE '' END,
+         '}') AS config,
+       CASE p_partkey % 5 WHEN 0 THEN 'id,amount' WHEN 1 THEN 'id,zeta,alpha' WHEN 2 THEN 'id' ELSE 'id,kind' END
+         AS column_list
+FROM @part
+"""
+FIXTURES["destination_columns"] = """
+SELECT DISTINCT CASE p_size % 2 WHEN 0 THEN 'dbo' ELSE 'sales' END AS schema_name,
+       CASE p_size % 3 WHEN 0 THEN 'orders' WHEN 1 THEN 'parts' ELSE 'events' END AS table_name,
+       CASE p_size % 4 WHEN 0 THEN 'id' WHEN 1 THEN 'amount' WHEN 2 THEN 'kind' ELSE 'alpha' END AS column_name
+FROM @part
+"""
+FIXTURES["load_errors"] = """
+SELECT event_id AS load_id,
+       CASE event_type WHEN 'error' THEN 'operational' WHEN 'purchase' THEN 'integrity'
+            WHEN 'signup' THEN 'other' END AS failure
+FROM @events
+"""
 FIXTURES["storage_base"] = """
 SELECT d.doc_id AS record_id, d.doc_id % 25 AS org_id, d.doc_id % 20 AS run, d.doc_id % 6 AS config_id,
        CAST(floor(d.doc_id / 20) AS BIGINT) + 1 AS sequence, d.text AS payload,
@@ -289,8 +318,46 @@ SELECT d.doc_id AS record_id, d.doc_id % 25 AS org_id, d.doc_id % 20 AS run, d.d
 FROM @documents d JOIN organizations o ON o.org_id = d.doc_id % 25
 """
 
+FIXTURES["deliveries"] = """
+SELECT arrival, run, config_id, sequence, payload, source_path, item_count, arrival % 27 AS org_id FROM raw_payloads
+UNION ALL
+SELECT arrival + 1000000000, run, config_id, sequence, payload, 'again', item_count + 1, arrival % 27
+FROM raw_payloads WHERE arrival % 4 = 0
+"""
+FIXTURES["delivery_keys"] = """
+SELECT d.*, $SHA(payload) AS sha,
+       concat(config_id, '/', run, '/', lpad(CAST(sequence AS STRING), 6, '0'), '-', $SHA(payload), '.raw') AS lkey
+FROM deliveries d
+"""
+FIXTURES["stored_objects"] = """
+SELECT lkey AS key, max(octets) + max(CASE WHEN arrival % 50 = 7 THEN 1 ELSE 0 END) AS size_bytes
+FROM (SELECT arrival, lkey, CAST(bit_length(payload) / 8 AS BIGINT) AS octets
+      FROM delivery_keys WHERE arrival % 3 = 1) b
+GROUP BY lkey
+"""
+FIXTURES["storage_records"] = """
+SELECT record_id, org_id, run, config_id, sequence, payload, tenant_uuid, schema_name, sha AS checksum_sha256,
+       CASE record_id % 5 WHEN 0 THEN concat('s3://lake/', tenant_uuid, '/', lkey)
+            WHEN 1 THEN concat('s3://lake/', schema_name, '/', lkey)
+            WHEN 3 THEN CASE record_id % 4 WHEN 0 THEN concat('s3://other/', lkey)
+                             WHEN 1 THEN concat('http://lake/', lkey) WHEN 2 THEN 's3://lake/'
+                             ELSE concat('s3://lake/', schema_name, '/x', lkey) END
+            ELSE concat('s3://lake/', lkey) END AS storage_uri
+FROM (SELECT b.*, $SHA(payload) AS sha,
+             concat(config_id, '/', run, '/',
+                    CASE WHEN sequence < 1000000 THEN lpad(CAST(sequence AS STRING), 6, '0')
+                         ELSE CAST(sequence AS STRING) END, '-', $SHA(payload), '.raw') AS lkey
+      FROM storage_base b) t
+"""
+FIXTURES["storage_objects"] = """
+SELECT substr(storage_uri, 11) AS key, 'application/json' AS content_type,
+       CASE WHEN record_id % 35 = 1 THEN concat(payload, '!') ELSE payload END AS body
+FROM storage_records WHERE record_id % 5 IN (0, 1, 2)
+"""
+
 _TABLE = re.compile(r"@([a-z]+)")
 _JOIN = re.compile(r"\$JOIN\((.*?)\|(\w+)\)", re.S)
+_SHA = re.compile(r"\$SHA\((\w+)\)")
 
 
 def _needed(text: str) -> list[str]:
@@ -318,6 +385,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = [*_needed(FIXTURES[name]), name]
     text = f"{_with_clause(names)}\nSELECT * FROM {name}"
     text = _JOIN.sub(r"listagg(\1, ',') WITHIN GROUP (ORDER BY \2)", text)
+    text = _SHA.sub(r"sha2(\1, 256)", text)
     return spark.sql(_TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
 
@@ -336,4 +404,5 @@ def oracle(body: str) -> str:
         head = _with_clause(names)
         body = f"{head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"{head}\n{body}"
     body = _JOIN.sub(r"string_agg(\1, ',' ORDER BY \2)", body)
+    body = _SHA.sub(r"sha256(\1)", body)
     return _TABLE.sub(r"\1", body)
