@@ -70,6 +70,14 @@ SELECT run, page, variant,
             ELSE concat('{"data":{"items":[', items, ']}}') END AS body
 FROM page_items
 """
+FIXTURES["landed_runs"] = """
+SELECT run, CAST(1 AS BIGINT) AS start_page,
+       CAST(CASE WHEN run % 3 <> 1 THEN 100 END AS BIGINT) AS page_size,
+       CAST(CASE WHEN run % 4 = 3 THEN 5 ELSE 500 END AS BIGINT) AS max_pages,
+       CASE WHEN run % 4 = 2 THEN '21' WHEN run % 7 = 5 THEN '30' END AS cursor,
+       run % 2 = 0 AS retain_empty
+FROM (SELECT DISTINCT run FROM order_pages) r
+"""
 FIXTURES["response_log"] = """
 SELECT CAST(floor(event_id / 2) AS BIGINT) % 97 AS run,
        CAST(floor(event_id / 2) AS BIGINT) AS page,
@@ -251,6 +259,7 @@ SELECT doc_id,
          ELSE text END AS message
 FROM @documents
 """
+FIXTURES["page_urls"] = "SELECT page_id, url FROM @pages"
 FIXTURES["urls"] = """
 SELECT page_id,
        CASE page_id % 11
@@ -276,6 +285,14 @@ SELECT page_id, concat('h', page_id % 40, '.example.test') AS host,
          ELSE concat(20 + page_id % 90, '.', page_id % 200, '.7.', page_id % 250) END AS address
 FROM @pages
 """
+FIXTURES["host_addresses_v6"] = """
+SELECT page_id, CASE page_id % 10
+         WHEN 0 THEN '::1' WHEN 1 THEN concat('fe80::', page_id % 999) WHEN 2 THEN concat('ff02::', page_id % 999)
+         WHEN 3 THEN '::' WHEN 4 THEN concat('fd00:1::', page_id % 999) WHEN 5 THEN concat('2001:db8::', page_id % 999)
+         WHEN 6 THEN concat('::ffff:10.0.0.', page_id % 250) WHEN 7 THEN '::ffff:127.0.0.1'
+         WHEN 8 THEN concat('2606:4700::', page_id % 999) ELSE concat('8.8.8.', page_id % 250) END AS address
+FROM @pages
+"""
 FIXTURES["host_policy"] = """
 SELECT concat(' H', r, '.Example.test ') AS host,
        CASE r % 4 WHEN 0 THEN 'deployment_private' WHEN 1 THEN 'tenant_private'
@@ -396,13 +413,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(body: str) -> str:
     """A checking query: ``body`` preceded by the fixtures it names.
 
-    ``body`` may start with its own ``WITH``.
+    ``body`` may start with its own ``WITH`` or ``WITH RECURSIVE``.
     """
     names = _needed(body)
     body = body.strip()
     if names:
+        own = re.match(r"WITH (RECURSIVE )?", body)
         head = _with_clause(names)
-        body = f"{head},\n{body[5:]}" if body[:5].upper() == "WITH " else f"{head}\n{body}"
+        if own:
+            head, body = head + ",", body[own.end() :]
+            if own[1]:
+                head = head.replace("WITH ", "WITH RECURSIVE ", 1)
+        body = f"{head}\n{body}"
     body = _JOIN.sub(r"string_agg(\1, ',' ORDER BY \2)", body)
     body = _SHA.sub(r"sha256(\1)", body)
     return _TABLE.sub(r"\1", body)

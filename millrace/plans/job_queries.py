@@ -371,7 +371,14 @@ def uniqueness_violations(spark, sf_dir):
     return result
 
 
-@query("identifier_backfill")
+@query(
+    "identifier_backfill",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN md5(c_name) ELSE
+         concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-8', substr(h, 14, 3), '-',
+                substr('89ab', CAST((instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1 AS INTEGER), 1),
+                substr(h, 18, 3), '-', substr(h, 21, 12)) END AS tenant_uuid
+       FROM (SELECT *, sha256(concat('organization|', c_custkey)) AS h FROM customer) c""",
+)
 def identifier_backfill(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(
         "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.md5("c_name")).alias("tenant_uuid")
