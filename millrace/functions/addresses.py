@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 INVALID = "invalid"
 
@@ -50,7 +51,7 @@ def ipv4_category(address: Column) -> Column:
     return category
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ipv6_category(addresses: pd.Series) -> pd.Series:
     """Batches of IPv6 texts; other rows arrive as NULL and stay NULL."""
 

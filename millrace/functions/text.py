@@ -19,13 +19,30 @@ _SPACE = r"[\s\x1c-\x1f]"
 _NON_SPACE = r"[^\s\x1c-\x1f]"
 
 
+# A text without any of these words cannot match; searching for words is much
+# cheaper than running the patterns. Folding up and down again covers the letters
+# that only match through their capitals.
+_MARKERS = ["authorization", "bearer", "api", "password", "secret", "token"]
+
+
+def _has_marker(text: Column) -> Column:
+    def any_word(folded: Column) -> Column:
+        found = F.lit(False)
+        for word in _MARKERS:
+            found = found | folded.contains(word)
+        return found
+
+    return F.exists(F.array(F.lower(F.upper(text))), any_word)
+
+
 def redact(text: Column) -> Column:
     """Replace what follows a recognised secret marker, keeping the marker."""
+    plain = text
     for pattern in SECRET_PATTERNS:
         unicode = pattern.replace(r"\S", _NON_SPACE).replace(r"\s*", _SPACE + "*")
         unicode = unicode.replace(r"\s+", _SPACE + "+")
         text = F.regexp_replace(text, "(?iU)" + unicode, "$1" + REDACTED)
-    return text
+    return F.when(_has_marker(plain), text).otherwise(plain)
 
 
 def truncate(text: Column, length: int = ERROR_TEXT_LENGTH) -> Column:

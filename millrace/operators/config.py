@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import lookup, variant_kind
+from millrace.operators.scaling import computed_once
 from millrace.schemas import ALLOWED_METHODS
 
 
@@ -53,8 +54,9 @@ def config_problem(config: Column) -> Column:
 
 def audit_configs(connections: DataFrame, config: str = "config") -> DataFrame:
     """Every connection with the setting that makes it unusable, if any."""
-    parsed = F.try_parse_json(F.col(config))
-    return connections.withColumn("problem", config_problem(parsed)).withColumn(
+    parsed = computed_once(connections, _config=F.try_parse_json(F.col(config)))
+    judged = computed_once(parsed, problem=config_problem(F.col("_config"))).drop("_config")
+    return judged.withColumn(
         "category", F.when(F.col("problem").isNotNull(), "ConfigurationError")
     )
 
@@ -71,12 +73,13 @@ def merge_configs(base: Column, override: Column) -> Column:
 
 def effective_configs(configs: DataFrame, connections: DataFrame) -> DataFrame:
     """Settings each ingestion uses: its own over those of its source connection."""
-    return configs.join(connections, "connection_id").withColumn(
-        "effective",
-        merge_configs(
-            F.try_parse_json(F.col("config")), F.try_parse_json(F.col("extraction_config"))
-        ),
+    parsed = computed_once(
+        configs.join(connections, "connection_id"),
+        _base=F.try_parse_json(F.col("config")),
+        _override=F.try_parse_json(F.col("extraction_config")),
     )
+    merged = computed_once(parsed, effective=merge_configs(F.col("_base"), F.col("_override")))
+    return merged.drop("_base", "_override")
 
 
 def resolve_connectors(connections: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -50,36 +50,37 @@ def trigger_outcomes(requests: DataFrame, runs: DataFrame, claims: DataFrame) ->
     request order at which their run was claimed.
     """
     checked = request_problems(requests, runs)
-    keyed = F.col("problem").isNull() & (F.col("idempotency_key") != "")
+    keyed = F.col("problem").isNull() & F.coalesce(F.col("idempotency_key") != "", F.lit(False))
     firsts = (
         checked.where(keyed)
         .groupBy("idempotency_key")
         .agg(F.min(F.struct("request_id", "config_id")).alias("_first"))
+        .select(F.concat(F.lit("k"), "idempotency_key").alias("_key"), "_first")
     )
-    later = spread_join(
-        checked.where(keyed), firsts, ["idempotency_key"], ["request_id"]
-    ).select(
-        *checked.columns,
-        F.col("_first.request_id").alias("created_by"),
+    # Requests outside the key rule get a key of their own that matches nothing:
+    # a shared NULL would gather them in one task.
+    own_key = F.concat(F.lit("r"), F.col("request_id").cast("string"))
+    placed = checked.withColumn(
+        "_key", F.when(keyed, F.concat(F.lit("k"), "idempotency_key")).otherwise(own_key)
+    )
+    matched = spread_join(placed, firsts, ["_key"], ["request_id"], how="left").select(
+        "request_id",
+        "config_id",
+        "problem",
         F.col("_first.config_id").alias("_owner"),
+        F.coalesce("_first.request_id", "request_id").alias("created_by"),
     )
     claimed = claims.select(F.col("request_id").alias("created_by"), "claimed_order")
-    later = spread_join(later, claimed, ["created_by"], ["request_id"], how="left")
-    clash = F.col("_owner") != F.col("config_id")
+    judged = spread_join(matched, claimed, ["created_by"], ["request_id"], how="left")
     is_first = F.col("created_by") == F.col("request_id")
+    clash = F.coalesce(F.col("_owner") != F.col("config_id"), F.lit(False))
+    problem = F.when(clash, "key of another configuration").otherwise(F.col("problem"))
     pending = F.coalesce(F.col("claimed_order") > F.col("request_id"), F.lit(True))
-    with_key = later.select(
+    sound = problem.isNull()
+    return judged.select(
         "request_id",
-        F.when(is_first, "created").when(clash, "refused").otherwise("reused").alias("outcome"),
-        F.when(~clash | is_first, F.col("created_by")).alias("created_by"),
-        (is_first | (~clash & pending)).alias("dispatched"),
-        F.when(clash, "key of another configuration").alias("problem"),
-    )
-    without = checked.where(~F.coalesce(keyed, F.lit(False))).select(
-        "request_id",
-        F.when(F.col("problem").isNull(), "created").otherwise("refused").alias("outcome"),
-        F.when(F.col("problem").isNull(), F.col("request_id")).alias("created_by"),
-        F.col("problem").isNull().alias("dispatched"),
-        "problem",
+        F.when(~sound, "refused").when(is_first, "created").otherwise("reused").alias("outcome"),
+        F.when(sound, F.col("created_by")).alias("created_by"),
+        (sound & (is_first | pending)).alias("dispatched"),
+        problem.alias("problem"),
     )
-    return with_key.unionByName(without)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import lookup, variant_kind
+from millrace.operators.scaling import computed_once
 from millrace.schemas import DEFAULT_DESTINATION_SCHEMA, DEFAULT_LOAD_BATCH, IDENTIFIER_PATTERN
 
 
@@ -32,7 +33,8 @@ def audit_requests(requests: DataFrame, tables: DataFrame) -> DataFrame:
     ``tables``: ``schema_name, table_name, known_columns``. An empty load stops
     after the mode check and touches nothing.
     """
-    config = F.try_parse_json("config")
+    requests = computed_once(requests, _config=F.try_parse_json("config"))
+    config = F.col("_config")
     schema_set = lookup(config, "schema_name").isNotNull()
     table_set = lookup(config, "table_name").isNotNull()
     size = lookup(config, "batch_size")
@@ -80,7 +82,7 @@ def audit_requests(requests: DataFrame, tables: DataFrame) -> DataFrame:
                 .cast("bigint"),
             }
         )
-        .drop("_table_set", "_size_ok")
+        .drop("_config", "_table_set", "_size_ok")
     )
 
 

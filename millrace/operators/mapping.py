@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import is_object, lookup
+from millrace.operators.scaling import computed_once
 
 
 def map_columns(record: Column, mapping: dict[str, str]) -> dict[str, Column]:
@@ -47,9 +48,9 @@ def mapping_failures(
     records: DataFrame, mapping: dict[str, str], strict: bool, record: str = "record"
 ) -> DataFrame:
     """Pages that hold a record which cannot be mapped, with the first such record."""
-    problem = mapping_problem(F.col(record), mapping, strict)
+    judged = computed_once(records, problem=mapping_problem(F.col(record), mapping, strict))
     return (
-        records.select("run", "page", "pos", problem.alias("problem"))
+        judged.select("run", "page", "pos", "problem")
         .where(F.col("problem").isNotNull())
         .groupBy("run", "page")
         .agg(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import logical_key, object_uri, tenant_key, uri_key, uri_problem
-from millrace.operators.rawstore import first_rows
 from millrace.operators.scaling import number_rows, running_totals
 from millrace.schemas import MIGRATION_BATCH, PROBLEM_SAMPLE
 
@@ -132,14 +131,13 @@ def problem_sample(findings: DataFrame, limit: int = PROBLEM_SAMPLE) -> DataFram
 def moved_objects(findings: DataFrame, objects: DataFrame) -> DataFrame:
     """Objects to append at tenant keys for ready records; old objects stay."""
     ready = findings.where(F.col("finding") == READY).select(
-        "key",
-        "record_id",
-        tenant_key(F.col("tenant_uuid"), F.col("expected_key")).alias("new_key"),
+        "key", tenant_key(F.col("tenant_uuid"), F.col("expected_key")).alias("new_key")
     )
-    once = first_rows(ready, ["new_key"], "record_id")
+    # Sources of one new key hold the same verified bytes, so any of them will do.
+    once = ready.groupBy("new_key").agg(F.min("key").alias("key"))
     fresh = once.join(objects.select(F.col("key").alias("new_key")), "new_key", "left_anti")
     return (
-        objects.join(fresh.drop("record_id"), "key")
+        objects.join(fresh, "key")
         .drop("key")
         .withColumnRenamed("new_key", "key")
     )

@@ -62,25 +62,25 @@ def _is_terminal(n: Column, page_size: Column) -> Column:
     return (n == 0) | F.coalesce(n < page_size, F.lit(False))
 
 
-def _first_gaps(read: DataFrame, started: DataFrame) -> DataFrame:
-    """First page at or after ``start`` that never landed, per run."""
-    landed = read.select(
+def _first_gaps(read: DataFrame, broken: DataFrame) -> DataFrame:
+    """First page at or after ``start`` that never landed, for runs with a hole."""
+    holed = spread_join(read, broken.select("run"), ["run"], ["page"], how="left_semi")
+    landed = holed.select(
         "run",
         F.explode(
             F.array(
                 F.struct(F.col("page").alias("page"), F.lit(True).alias("here")),
                 F.struct((F.col("page") + 1).alias("page"), F.lit(False).alias("here")),
+                F.struct(F.col("start").alias("page"), F.lit(False).alias("here")),
             )
         ).alias("spot"),
-    ).select("run", "spot.page", "spot.here")
-    expected = started.select("run", F.col("start").alias("page"), F.lit(False).alias("here"))
+    )
     return (
-        landed.unionByName(expected)
-        .groupBy("run", "page")
-        .agg(F.bool_or("here").alias("here"))
+        landed.groupBy("run", "spot.page")
+        .agg(F.bool_or("spot.here").alias("here"))
         .where(~F.col("here"))
         .groupBy("run")
-        .agg(F.min("page").alias("gap_page"))
+        .agg(F.min("page").alias("hole"))
     )
 
 
@@ -90,6 +90,9 @@ def scan_outcomes(pages: DataFrame, runs: DataFrame) -> DataFrame:
     The stopping point is the first error, terminal page or missing page at or
     after the resume page; the page budget counts from the resume page, so a
     stop beyond it is a page-limit failure. An error wins a tie.
+
+    One numeric aggregate per run finds all stops; runs whose pages are
+    consecutive, known from count and maximum, need no search for a hole.
     """
     if "error" not in pages.columns:
         pages = pages.withColumn("error", F.lit(None).cast("string"))
@@ -98,30 +101,33 @@ def scan_outcomes(pages: DataFrame, runs: DataFrame) -> DataFrame:
         pages.select("run", "page", "n", "error"),
         runs.select("run", "start_page", "page_size", "cursor"),
     )
+    fails = F.col("error").isNotNull()
+    ends = ~fails & _is_terminal(F.col("n"), F.col("page_size"))
     stops = read.groupBy("run").agg(
-        F.min(F.when(F.col("error").isNotNull(), F.col("page"))).alias("error_page"),
-        F.min_by(
-            F.when(F.col("error").isNotNull(), F.col("error")),
-            F.when(F.col("error").isNotNull(), F.col("page")),
-        ).alias("error_category"),
-        F.min(
-            F.when(
-                F.col("error").isNull() & _is_terminal(F.col("n"), F.col("page_size")),
-                F.struct("page", "n"),
-            )
-        ).alias("terminal"),
+        F.min(F.when(fails, F.col("page"))).alias("error_page"),
+        F.min(F.when(ends, F.col("page"))).alias("terminal_page"),
+        F.min(F.when(ends & (F.col("n") == 0), F.col("page"))).alias("empty_page"),
+        F.max("page").alias("top_page"),
+        (F.max("page") - F.max("start") + 1 == F.count(F.lit(1))).alias("consecutive"),
+    )
+    categories = (
+        read.where(fails).groupBy("run").agg(F.min(F.struct("page", "error")).alias("first_error"))
+    )
+    holes = _first_gaps(read, stops.where(~F.col("consecutive")))
+    gap_page = F.when(F.col("top_page").isNull(), F.col("start")).otherwise(
+        F.coalesce(F.col("hole"), F.col("top_page") + 1)
     )
-    gaps = _first_gaps(read, started.where(~F.col("bad_cursor")))
     facts = (
         started.join(stops, "run", "left")
-        .join(gaps, "run", "left")
+        .join(categories, "run", "left")
+        .join(holes, "run", "left")
         .withColumns(
             {
                 "limit_page": F.col("start")
                 + F.coalesce(F.col("max_pages"), F.lit(DEFAULT_MAX_PAGES))
                 - 1,
-                "terminal_page": F.col("terminal.page"),
-                "terminal_n": F.col("terminal.n"),
+                "gap_page": gap_page,
+                "error_category": F.col("first_error.error"),
                 "retain_empty": F.coalesce("retain_empty", F.lit(False)),
             }
         )
@@ -139,7 +145,9 @@ def scan_outcomes(pages: DataFrame, runs: DataFrame) -> DataFrame:
         .when(F.col("stop_page") > F.col("limit_page"), CONTINUABLE_ERROR)
         .when(F.col("stop_page") == F.col("error_page"), F.col("error_category"))
     )
-    drops_terminal = (F.col("terminal_n") == 0) & ~F.col("retain_empty")
+    drops_terminal = F.coalesce(
+        F.col("empty_page") == F.col("terminal_page"), F.lit(False)
+    ) & ~F.col("retain_empty")
     last = (
         F.when(F.col("stop_page") > F.col("limit_page"), F.col("limit_page"))
         .when(F.col("stop_page") == F.col("error_page"), F.col("stop_page") - 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.outcomes import response_category, response_retryable
 from millrace.functions.paths import as_list, is_object, lookup
+from millrace.operators.scaling import computed_once
 from millrace.schemas import DEFAULT_RECORDS_PATH
 
 MALFORMED = "MalformedResponseError"
@@ -18,10 +19,6 @@ def parse_body(body: Column) -> Column:
     return F.try_parse_json(F.regexp_replace(text, "^﻿", ""))
 
 
-def parse_problem(data: Column) -> Column:
-    return F.when(data.isNull(), "invalid JSON")
-
-
 def page_records(data: Column, path: str) -> Column:
     """Records of a parsed body as array<variant>; NULL when the body is malformed.
 
@@ -51,8 +48,7 @@ def choose_records_path(config: Column) -> Column:
 
 def page_facts(pages: DataFrame, path: str, body: str = "body") -> DataFrame:
     """Replace bodies by thin facts: record count, size, checksum and parse problem."""
-    data = parse_body(F.col(body))
-    parsed = pages.withColumn("_data", data)
+    parsed = computed_once(pages, _data=parse_body(F.col(body)))
     return (
         parsed.withColumns(
             {
@@ -70,10 +66,9 @@ def page_facts(pages: DataFrame, path: str, body: str = "body") -> DataFrame:
 def extract_records(pages: DataFrame, path: str, body: str = "body") -> DataFrame:
     """One row per record with its position in the page; malformed pages give none."""
     keep = [c for c in pages.columns if c != body]
-    return (
-        pages.withColumn("_records", page_records(parse_body(F.col(body)), path))
-        .select(*keep, F.posexplode("_records").alias("pos", "record"))
-    )
+    parsed = computed_once(pages, _data=parse_body(F.col(body)))
+    found = page_records(F.col("_data"), path)
+    return parsed.select(*keep, F.posexplode(found).alias("pos", "record"))
 
 
 def effective_responses(responses: DataFrame, keys: list[str]) -> DataFrame:

@@ -84,13 +84,14 @@ def claim_outcomes(events: DataFrame, known_runs: DataFrame | None = None) -> Da
     that; a settled run never reopens.
     """
     bounds = _claim_bounds(events)
+    if known_runs is not None:
+        known = known_runs.select("run", F.lit(True).alias("_known")).distinct()
+        bounds = bounds.join(known, "run", "left")
     claims = spread_join(events.where("kind = 'claim'"), bounds, ["run"], ["seq"])
     reason = F.when(F.col("settled_by") < F.col("seq"), "finished").when(
         ~F.col("task").eqNullSafe(F.col("owner")), "owned by another task"
     )
     if known_runs is not None:
-        known = known_runs.select("run", F.lit(True).alias("_known")).distinct()
-        claims = spread_join(claims, known, ["run"], ["seq"], how="left")
         reason = F.when(F.col("_known").isNull(), "not found").otherwise(reason)
     judged = claims.withColumn("reason", reason).withColumn(
         "accepted", F.col("reason").isNull()

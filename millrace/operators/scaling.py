@@ -16,6 +16,18 @@ _SALT = "_salt"
 _BUCKET = "_bucket"
 
 
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    The optimizer copies a projected expression into every later expression and
+    filter that names it; a costly one, such as parsing JSON, would run once per
+    mention. It does not look through a generator, so the columns come out of
+    one that yields a single row.
+    """
+    packed = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    return rows.select("*", F.inline(F.array(packed)))
+
+
 def spread_join(
     rows: DataFrame,
     per_key: DataFrame,

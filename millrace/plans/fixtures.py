@@ -1,9 +1,9 @@
 """Inputs of the registered queries, derived from the given tables by plain SQL.
 
 Each text runs unchanged in Spark and in the checking engine: ``@orders`` stands
-for a given table, a bare fixture name for another fixture. The two spellings the
-engines do not share are written ``$JOIN(x|k)`` for ordered string aggregation and
-``$SHA(x)`` for a SHA-256 in hex.
+for a given table, a bare fixture name for another fixture. The spellings the
+engines do not share are written ``$JOIN(x|k)`` for ordered string aggregation,
+``$SHA(x)`` for a SHA-256 in hex and ``$EACH(a, b)`` for one row per value.
 """
 
 from __future__ import annotations
@@ -336,10 +336,11 @@ FROM @documents d JOIN organizations o ON o.org_id = d.doc_id % 25
 """
 
 FIXTURES["deliveries"] = """
-SELECT arrival, run, config_id, sequence, payload, source_path, item_count, arrival % 27 AS org_id FROM raw_payloads
-UNION ALL
-SELECT arrival + 1000000000, run, config_id, sequence, payload, 'again', item_count + 1, arrival % 27
-FROM raw_payloads WHERE arrival % 4 = 0
+SELECT arrival + again * 1000000000 AS arrival, run, config_id, sequence, payload,
+       CASE again WHEN 0 THEN source_path ELSE 'again' END AS source_path, item_count + again AS item_count,
+       arrival % 27 AS org_id
+FROM (SELECT *, $EACH(0, 1) AS again FROM raw_payloads) r
+WHERE again = 0 OR arrival % 4 = 0
 """
 FIXTURES["delivery_keys"] = """
 SELECT d.*, $SHA(payload) AS sha,
@@ -374,6 +375,7 @@ FROM storage_records WHERE record_id % 5 IN (0, 1, 2)
 
 _TABLE = re.compile(r"@([a-z]+)")
 _JOIN = re.compile(r"\$JOIN\((.*?)\|(\w+)\)", re.S)
+_EACH = re.compile(r"\$EACH\(([^)]*)\)")
 _SHA = re.compile(r"\$SHA\((\w+)\)")
 
 
@@ -402,6 +404,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = [*_needed(FIXTURES[name]), name]
     text = f"{_with_clause(names)}\nSELECT * FROM {name}"
     text = _JOIN.sub(r"listagg(\1, ',') WITHIN GROUP (ORDER BY \2)", text)
+    text = _EACH.sub(r"explode(array(\1))", text)
     text = _SHA.sub(r"sha2(\1, 256)", text)
     return spark.sql(_TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
@@ -426,5 +429,6 @@ def oracle(body: str) -> str:
                 head = head.replace("WITH ", "WITH RECURSIVE ", 1)
         body = f"{head}\n{body}"
     body = _JOIN.sub(r"string_agg(\1, ',' ORDER BY \2)", body)
+    body = _EACH.sub(r"unnest([\1])", body)
     body = _SHA.sub(r"sha256(\1)", body)
     return _TABLE.sub(r"\1", body)

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import logical_key
 from millrace.operators.mapping import map_records, mapping_problem
 from millrace.operators.paging import kept_pages, scan_outcomes
-from millrace.operators.records import MALFORMED, body_problem, page_records, parse_body
+from millrace.operators.records import (
+    MALFORMED,
+    body_problem,
+    extract_records,
+    page_records,
+    parse_body,
+)
 from millrace.operators.runs import run_counters
-from millrace.operators.scaling import spread_join
+from millrace.operators.scaling import computed_once, spread_join
 from millrace.session import cut_lineage
 
 
@@ -33,9 +39,8 @@ def page_states(
     A fetch or parse error leaves no raw record; a mapping error does, which
     is why the stage is kept.
     """
-    parsed = landed.withColumn("_data", parse_body(F.col("body"))).withColumn(
-        "_records", page_records(F.col("_data"), records_path)
-    )
+    parsed = computed_once(landed, _data=parse_body(F.col("body")))
+    parsed = computed_once(parsed, _records=page_records(F.col("_data"), records_path))
     unmappable = F.exists("_records", lambda r: mapping_problem(r, mapping, strict).isNotNull())
     malformed = body_problem(F.col("_data"), records_path).isNotNull()
     return parsed.select(
@@ -96,11 +101,7 @@ def ingest(
             ).alias("logical_key"),
         )
     )
-    extracted = landed.select(
-        "run",
-        "page",
-        F.posexplode(page_records(parse_body(F.col("body")), records_path)).alias("pos", "record"),
-    )
+    extracted = extract_records(landed.select("run", "page", "body"), records_path)
     mapped = map_records(extracted, mapping, types)
     loaded = (
         spread_join(mapped, bounds.select("run", "start", "last_page"), ["run"], ["page", "pos"])

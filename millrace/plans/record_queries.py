@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.paths import is_found, lookup, variant_kind
 from millrace.operators import mapping
+from millrace.operators.scaling import computed_once
 from millrace.plans.fixtures import fixture
 from millrace.plans.registry import query
 
@@ -14,9 +15,8 @@ PATHS = ["id", "user.id", "user.type", "value", "tags.0", "user.id.deeper", "pro
 
 
 def _records(spark, sf_dir):
-    return fixture(spark, sf_dir, "mapping_records").withColumn(
-        "record", F.try_parse_json("record")
-    )
+    texts = fixture(spark, sf_dir, "mapping_records").withColumnRenamed("record", "text")
+    return computed_once(texts, record=F.try_parse_json("text")).drop("text")
 
 
 @query(

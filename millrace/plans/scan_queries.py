@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.outcomes import clamp, over_size
 from millrace.operators import config, paging, records
+from millrace.operators.scaling import computed_once
 from millrace.plans.fixtures import fixture, table
 from millrace.plans.registry import query
 from millrace.schemas import BODY_CEILING_BYTES, TIMEOUT_CEILING_SECONDS
@@ -305,9 +306,11 @@ def extract_records(spark, sf_dir):
               AS records_path FROM source_configs""",
 )
 def records_path_choice(spark, sf_dir):
-    return fixture(spark, sf_dir, "source_configs").select(
-        "connection_id",
-        records.choose_records_path(F.try_parse_json("config")).alias("records_path"),
+    parsed = computed_once(
+        fixture(spark, sf_dir, "source_configs"), _config=F.try_parse_json("config")
+    )
+    return parsed.select(
+        "connection_id", records.choose_records_path(F.col("_config")).alias("records_path")
     )
 
 
