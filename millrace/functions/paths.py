@@ -48,7 +48,11 @@ def as_list(value: Column) -> Column:
 
 
 def variant_kind(value: Column) -> Column:
-    """JSON kind of a variant: object, list, string, boolean, integer, number, null."""
+    """JSON kind of a variant: object, list, string, boolean, integer, number, null.
+
+    ``2.0`` is a number; its decimal has fewer digits than an integer that no
+    longer fits 64 bits.
+    """
     name = F.schema_of_variant(value)
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
@@ -57,6 +61,6 @@ def variant_kind(value: Column) -> Column:
         .when(name.startswith("ARRAY"), "list")
         .when(name == "STRING", "string")
         .when(name == "BOOLEAN", "boolean")
-        .when((name == "BIGINT") | name.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
+        .when((name == "BIGINT") | name.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")
         .otherwise("number")
     )
