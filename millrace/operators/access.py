@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.scaling import spread_join
 from millrace.schemas import CONTINUE_ROLES, MIGRATION_VIEW_ROLES, VIEW_ROLES
 
 
@@ -68,7 +67,7 @@ def may_continue(requests: DataFrame, details: DataFrame, memberships: DataFrame
     roles = memberships.select("user_id", "org_id", "role")
     offers = details.select("run_id", "offer_continue")
     return (
-        spread_join(requests, offers, ["run_id"], ["request_id"])
+        requests.join(offers, "run_id")
         .join(roles, ["user_id", "org_id"], "left")
         .withColumn("allowed", F.col("offer_continue") & has_role(CONTINUE_ROLES))
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.runs import is_continuable
-from millrace.operators.scaling import spread_join
 
 
 def request_problems(requests: DataFrame, runs: DataFrame) -> DataFrame:
@@ -24,9 +23,7 @@ def request_problems(requests: DataFrame, runs: DataFrame) -> DataFrame:
     plain = requests.where(~continues).withColumns(
         {"_source_config": F.lit(None).cast("bigint"), "_continuable": F.lit(None).cast("boolean")}
     )
-    looked_up = spread_join(
-        requests.where(continues), sources, ["continue_from"], ["request_id"], how="left"
-    )
+    looked_up = requests.where(continues).join(sources, "continue_from", "left")
     problem = F.when(~F.col("is_active"), "inactive")
     problem = (
         problem.when(continues & F.col("_source_config").isNull(), "unknown run")
@@ -63,7 +60,7 @@ def trigger_outcomes(requests: DataFrame, runs: DataFrame, claims: DataFrame) ->
     placed = checked.withColumn(
         "_key", F.when(keyed, F.concat(F.lit("k"), "idempotency_key")).otherwise(own_key)
     )
-    matched = spread_join(placed, firsts, ["_key"], ["request_id"], how="left").select(
+    matched = placed.join(firsts, "_key", "left").select(
         "request_id",
         "config_id",
         "problem",
@@ -71,7 +68,7 @@ def trigger_outcomes(requests: DataFrame, runs: DataFrame, claims: DataFrame) ->
         F.coalesce("_first.request_id", "request_id").alias("created_by"),
     )
     claimed = claims.select(F.col("request_id").alias("created_by"), "claimed_order")
-    judged = spread_join(matched, claimed, ["created_by"], ["request_id"], how="left")
+    judged = matched.join(claimed, "created_by", "left")
     is_first = F.col("created_by") == F.col("request_id")
     clash = F.coalesce(F.col("_owner") != F.col("config_id"), F.lit(False))
     problem = F.when(clash, "key of another configuration").otherwise(F.col("problem"))

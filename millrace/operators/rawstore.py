@@ -20,7 +20,6 @@ from millrace.functions.keys import (
     uri_key,
     uri_problem,
 )
-from millrace.operators.scaling import spread_join
 
 VERSION_KEY = ["run", "sequence", "checksum_sha256"]
 
@@ -83,7 +82,7 @@ def put_conflicts(incoming: DataFrame, objects: DataFrame) -> DataFrame:
     """Incoming rows whose key is stored with another size; an unknown size is accepted."""
     stored = objects.select("key", F.col("size_bytes").alias("stored_size"))
     return (
-        spread_join(incoming, stored, ["key"], ["arrival"])
+        incoming.join(stored, "key")
         .where(F.col("stored_size").isNotNull() & (F.col("stored_size") != F.col("size_bytes")))
         .withColumn("category", F.lit("RawPayloadIntegrityError"))
     )
@@ -173,7 +172,7 @@ def backfill_loaded(records: DataFrame, runs: DataFrame) -> DataFrame:
     """Set the loaded flag on every record of a succeeded run."""
     done = runs.where("status = 'succeeded'").select("run", F.lit(True).alias("_done"))
     return (
-        spread_join(records, done, ["run"], ["record_id"], how="left")
+        records.join(done, "run", "left")
         .withColumn(
             "loaded_successfully",
             F.col("loaded_successfully") | F.coalesce("_done", F.lit(False)),

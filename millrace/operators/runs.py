@@ -65,9 +65,12 @@ def _claim_bounds(events: DataFrame) -> DataFrame:
     firsts = events.groupBy("run").agg(
         F.min(F.when(claim, F.struct("seq", "task"))).alias("first")
     )
-    finishes = spread_join(
-        events.where(~claim).select("run", "seq"), firsts, ["run"], ["seq"]
-    ).where(F.col("seq") > F.col("first.seq"))
+    finishes = (
+        events.where(~claim)
+        .select("run", "seq")
+        .join(firsts, "run")
+        .where(F.col("seq") > F.col("first.seq"))
+    )
     settled = finishes.groupBy("run").agg(F.min("seq").alias("settled_by"))
     return firsts.join(settled, "run", "left").select(
         "run",
@@ -87,7 +90,7 @@ def claim_outcomes(events: DataFrame, known_runs: DataFrame | None = None) -> Da
     if known_runs is not None:
         known = known_runs.select("run", F.lit(True).alias("_known")).distinct()
         bounds = bounds.join(known, "run", "left")
-    claims = spread_join(events.where("kind = 'claim'"), bounds, ["run"], ["seq"])
+    claims = events.where("kind = 'claim'").join(bounds, "run")
     reason = F.when(F.col("settled_by") < F.col("seq"), "finished").when(
         ~F.col("task").eqNullSafe(F.col("owner")), "owned by another task"
     )
@@ -113,7 +116,7 @@ def claim_outcomes(events: DataFrame, known_runs: DataFrame | None = None) -> Da
 def invalid_transitions(events: DataFrame) -> DataFrame:
     """Finishes of runs that were not running at that moment."""
     finishes = events.where("kind <> 'claim'")
-    judged = spread_join(finishes, _claim_bounds(events), ["run"], ["seq"])
+    judged = finishes.join(_claim_bounds(events), "run")
     status_before = F.when(F.col("settled_by") < F.col("seq"), "settled").otherwise("pending")
     return judged.where(~F.col("seq").eqNullSafe(F.col("settled_by"))).select(
         "run", "seq", "kind", status_before.alias("from_status"),
@@ -152,7 +155,7 @@ def attempt_history(attempts: DataFrame) -> DataFrame:
     settled = decided.groupBy("run").agg(
         F.min(F.when(F.col("decision") != "retry", F.col("attempt"))).alias("settled_at")
     )
-    happened = spread_join(decided, settled, ["run"], ["attempt"]).where(
+    happened = decided.join(settled, "run").where(
         F.col("settled_at").isNull() | (F.col("attempt") <= F.col("settled_at"))
     )
     status = (
@@ -252,9 +255,7 @@ def continuation_lineage(runs: DataFrame) -> DataFrame:
             F.col("root_run").alias("_root"),
             F.col("depth").alias("_depth"),
         )
-        moved = spread_join(
-            state.where("open"), ahead, ["root_run"], ["run_id"], how="left"
-        ).select(
+        moved = state.where("open").join(ahead, "root_run", "left").select(
             "run_id",
             F.coalesce("_root", "root_run").alias("root_run"),
             (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
@@ -289,7 +290,7 @@ def run_details(runs: DataFrame, configs: DataFrame, connections: DataFrame) ->
         destinations, "destination_connection", "left"
     )
     return (
-        spread_join(runs, described, ["config_id"], ["run_id"])
+        runs.join(described, "config_id")
         .join(children(runs), "run_id", "left")
         .withColumn("continuable", is_continuable())
         .withColumn("offer_continue", F.col("continuable") & F.col("child_run").isNull())

@@ -40,8 +40,11 @@ def spread_join(
 
     ``per_key`` is repeated once per salt, so a key holding a third of ``rows``
     is divided by ``salts``; ``spread_by`` must vary inside a key. ``how`` may be
-    inner, left, left_semi or left_anti. A ``per_key`` side that turns out small
-    is broadcast by adaptive execution instead.
+    inner, left, left_semi or left_anti. Meant for a ``per_key`` side far smaller
+    than ``rows``, such as one row per run against its pages; where the sides are
+    of like size the repetition would cost more than the skew, and a plain join
+    is left to adaptive execution. A ``per_key`` side that turns out small is
+    broadcast by adaptive execution either way.
     """
     keys = list(keys)
     salted = rows.withColumn(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.functions.paths import is_found, lookup, variant_kind
+from millrace.functions.paths import lookup, variant_kind
 from millrace.operators import mapping
 from millrace.operators.scaling import computed_once
 from millrace.plans.fixtures import fixture
@@ -28,19 +28,16 @@ def _records(spark, sf_dir):
             ('props.k', '$.props.k')) p(path, jp)""",
 )
 def path_lookup(spark, sf_dir):
-    record = F.col("record")
     found = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("path"),
-                is_found(record, p).alias("found"),
-                F.coalesce(F.is_variant_null(lookup(record, p)), F.lit(False)).alias("explicit_null"),
-                lookup(record, p).cast("string").alias("value"),
-            )
-            for p in PATHS
-        ]
+        *[F.struct(F.lit(p).alias("path"), lookup(F.col("record"), p).alias("v")) for p in PATHS]
+    )
+    return _records(spark, sf_dir).select("event_id", F.inline(found)).select(
+        "event_id",
+        "path",
+        F.col("v").isNotNull().alias("found"),
+        F.coalesce(F.is_variant_null("v"), F.lit(False)).alias("explicit_null"),
+        F.col("v").cast("string").alias("value"),
     )
-    return _records(spark, sf_dir).select("event_id", F.inline(found))
 
 
 @query(

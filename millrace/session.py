@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the three options the operators rely on.
+    """Set the options the operators rely on.
 
     Repeated keys in a JSON object are legal and the last one wins; timestamps
     are compared in UTC. Spark 4.1 lets a union report the partitioning of its
     inputs and drops a later exchange, but adaptive execution may still coalesce
     each input differently, and a grouping over the union then splits keys: the
-    same key came out twice in a grouping over a union of anti-joins.
+    same key came out twice in a grouping over a union of anti-joins. Joins whose
+    two sides are of like size leave hot keys to adaptive execution, which splits
+    them even where that costs another exchange.
     """
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
