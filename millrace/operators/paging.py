@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.scaling import number_rows, spread_join
+from millrace.operators.scaling import Join, number_rows, spread_join
 from millrace.schemas import CONTINUABLE_ERROR, DEFAULT_MAX_PAGES, DEFAULT_START_PAGE
 
 _INTEGER_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
@@ -170,10 +170,10 @@ def scan_outcomes(pages: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def kept_pages(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def kept_pages(pages: DataFrame, outcomes: DataFrame, join: Join = spread_join) -> DataFrame:
     """Pages a scan yields, with the cursor used and the next cursor."""
     bounds = outcomes.select("run", "start", "last_page", "page_size")
-    inside = spread_join(pages, bounds, ["run"], ["page"]).where(
+    inside = join(pages, bounds, ["run"], ["page"]).where(
         F.col("page").between(F.col("start"), F.col("last_page"))
     )
     last_of_source = _is_terminal(F.col("n"), F.col("page_size"))

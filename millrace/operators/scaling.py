@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from millrace.session import cut_lineage
 
 SALTS = 16
 BUCKET_ROWS = 250_000
+BROADCAST_ROWS = 500_000
 
 _SALT = "_salt"
 _BUCKET = "_bucket"
@@ -56,6 +57,25 @@ def spread_join(
     return salted.join(copies, [*keys, _SALT], how).drop(_SALT)
 
 
+Join = Callable[..., DataFrame]
+
+
+def join_for(per_key: DataFrame, limit: int = BROADCAST_ROWS) -> Join:
+    """How to join to a materialised table of one thin row per key.
+
+    Its rows are counted: up to ``limit`` it is broadcast, which spares the
+    other side its shuffle; beyond that the join is spread. Adaptive execution
+    alone would find out only after shuffling both sides.
+    """
+    if per_key.limit(limit + 1).count() > limit:
+        return spread_join
+
+    def small(rows, per_key, keys, spread_by, how="inner"):
+        return rows.join(F.broadcast(per_key), list(keys), how)
+
+    return small
+
+
 def running_totals(
     rows: DataFrame,
     keys: Sequence[str],
@@ -110,7 +130,8 @@ def number_rows(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 
     Rows are range-partitioned on ``order`` (which must be unique, so that equal
     values cannot pile up), sorted inside partitions and materialised; the only
-    single-task step adds up one count per partition.
+    single-task step adds up one count per partition. There are as many counts
+    as partitions, whatever the data, so they are broadcast.
     """
     ordered = cut_lineage(
         rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
@@ -129,7 +150,7 @@ def number_rows(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
         .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
     return (
-        placed.join(starts, "_part")
+        placed.join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_start") + F.col("_local"))
         .drop("_spot", "_part", "_local", "_start")
     )

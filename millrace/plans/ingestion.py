@@ -18,7 +18,7 @@ from millrace.operators.records import (
     parse_body,
 )
 from millrace.operators.runs import run_counters
-from millrace.operators.scaling import computed_once, spread_join
+from millrace.operators.scaling import computed_once, join_for
 from millrace.session import cut_lineage
 
 
@@ -65,14 +65,15 @@ def ingest(
     """Run every run's page loop at once.
 
     ``landed`` holds ``run, page, body``; ``runs`` the scan settings of
-    :mod:`millrace.operators.paging`. Page facts are materialised once, because
-    outcomes, raw records and counters all need them and none needs a body. The
-    bodies are read a second time only to map the records that load, and they
-    are cut to the mapped columns before they meet the per-run bounds.
+    :mod:`millrace.operators.paging`. Page facts and run outcomes are materialised
+    once, because raw records, counters and rows all need them and none needs a
+    body. The bodies are read a second time only to map the records that load,
+    and they are cut to the mapped columns before they meet the per-run bounds.
     """
     facts = cut_lineage(page_states(landed, records_path, mapping, strict))
-    outcomes = scan_outcomes(facts.select("run", "page", "n", "error"), runs)
-    kept = kept_pages(facts, outcomes)
+    outcomes = cut_lineage(scan_outcomes(facts.select("run", "page", "n", "error"), runs))
+    join = join_for(outcomes)
+    kept = kept_pages(facts, outcomes, join)
     # run_counters folds per run; every kept page was loaded in full.
     counters = run_counters(kept.withColumn("loaded", F.col("n")))
     states = (
@@ -82,7 +83,7 @@ def ingest(
     )
     bounds = outcomes.select("run", "start", "last_page", "stop_page", "category", "page_size")
     stored = (
-        spread_join(facts, bounds, ["run"], ["page"])
+        join(facts, bounds, ["run"], ["page"])
         .where(
             F.col("page").between(F.col("start"), F.col("last_page"))
             | ((F.col("page") == F.col("stop_page")) & F.col("fails_after_storage"))
@@ -104,7 +105,7 @@ def ingest(
     extracted = extract_records(landed.select("run", "page", "body"), records_path)
     mapped = map_records(extracted, mapping, types)
     loaded = (
-        spread_join(mapped, bounds.select("run", "start", "last_page"), ["run"], ["page", "pos"])
+        join(mapped, bounds.select("run", "start", "last_page"), ["run"], ["page", "pos"])
         .where(F.col("page").between(F.col("start"), F.col("last_page")))
         .drop("start", "last_page")
     )

@@ -118,3 +118,11 @@ def test_library_never_pulls_data_to_the_driver():
         for node in ast.walk(ast.parse(path.read_text())):
             if isinstance(node, ast.Attribute):
                 assert node.attr not in banned, f"{path}: {node.attr}"
+
+
+def test_join_choice_follows_the_count(spark):
+    one = spark.range(10).select(F.col("id").alias("key"))
+    assert scaling.join_for(one, limit=9) is scaling.spread_join
+    small = scaling.join_for(one, limit=10)
+    plan = small(skewed(spark), one, ["key"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
