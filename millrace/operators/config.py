@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.paths import lookup, variant_kind
 from millrace.operators.scaling import computed_once
-from millrace.schemas import ALLOWED_METHODS
+from millrace.schemas import ALLOWED_METHODS, CONNECTORS, UNEXPECTED_ERROR
 
 
 def _is_truthy(value: Column) -> Column:
@@ -82,19 +82,22 @@ def effective_configs(configs: DataFrame, connections: DataFrame) -> DataFrame:
     return merged.drop("_base", "_override")
 
 
-def resolve_connectors(connections: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Connections with the connector registered for their kind and type.
+def resolve_connectors(
+    connections: DataFrame, registry: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """Connections with whether their type is registered for their kind.
 
-    ``catalog`` holds ``kind, connector_type``; an unregistered type is an error
-    that lists the available ones in order.
+    A run on an unregistered type fails as unexpected; the available types are
+    listed in order. The registry is code, not data, so no join is needed.
     """
-    known = catalog.select("kind", "connector_type", F.lit(True).alias("known"))
-    available = catalog.groupBy("kind").agg(
-        F.array_join(F.sort_array(F.collect_set("connector_type")), ", ").alias("available")
-    )
-    return (
-        connections.join(F.broadcast(known), ["kind", "connector_type"], "left")
-        .join(F.broadcast(available), "kind", "left")
-        .withColumn("known", F.coalesce("known", F.lit(False)))
-        .withColumn("available", F.when(~F.col("known"), F.coalesce("available", F.lit(""))))
+    known, available = F.lit(False), F.lit("")
+    for kind, types in (registry or CONNECTORS).items():
+        is_kind = F.col("kind") == kind
+        known = F.when(is_kind, F.col("connector_type").isin(types)).otherwise(known)
+        available = F.when(is_kind, ", ".join(sorted(types))).otherwise(available)
+    return connections.withColumn("known", known).withColumns(
+        {
+            "available": F.when(~F.col("known"), available),
+            "category": F.when(~F.col("known"), UNEXPECTED_ERROR),
+        }
     )

@@ -58,21 +58,14 @@ def tenant_uris(addressed: DataFrame, organizations: DataFrame, bucket: str) ->
     )
 
 
-def first_rows(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    """The first arrival of every key, other columns included.
-
-    Only the key and the arrival number are aggregated; the rows themselves are
-    matched on the unique arrival number, so copies of one key never meet in
-    one task.
-    """
-    winners = rows.groupBy(*keys).agg(F.min(arrival).alias(arrival)).select(arrival)
-    return rows.join(winners, arrival, "left_semi")
-
-
 def put_if_absent(
     incoming: DataFrame, objects: DataFrame, arrival: str = "arrival"
 ) -> DataFrame:
-    """Objects to append: the first arrival of each key that is not stored yet."""
+    """Objects to append: the first arrival of each key that is not stored yet.
+
+    Only keys and arrival numbers are aggregated; rows are matched on the unique
+    arrival number, so copies of one key never meet in one task.
+    """
     fresh = incoming.select("key", arrival).join(objects.select("key"), "key", "left_anti")
     winners = fresh.groupBy("key").agg(F.min(arrival).alias(arrival)).select(arrival)
     return incoming.join(winners, arrival, "left_semi")

@@ -373,20 +373,12 @@ def effective_config(spark, sf_dir):
 
 @query(
     "connector_resolution",
-    """WITH catalog AS (SELECT DISTINCT kind, connector_type FROM connections
-                        WHERE kind = 'source' AND connector_type = 'rest_api'
-                           OR kind = 'destination' AND connector_type = 'sqlserver')
-       SELECT c.connection_id, c.name, c.kind, c.connector_type, k.kind IS NOT NULL AS known,
-              CASE WHEN k.kind IS NULL THEN (SELECT coalesce(string_agg(connector_type, ', ' ORDER BY connector_type), '')
-                   FROM catalog a WHERE a.kind = c.kind) END AS available
-       FROM connections c LEFT JOIN catalog k ON k.kind = c.kind AND k.connector_type = c.connector_type""",
+    """SELECT connection_id, name, kind, connector_type, kind || connector_type IN ('sourcerest_api', 'destinationsqlserver')
+              AS known, CASE WHEN kind || connector_type IN ('sourcerest_api', 'destinationsqlserver') THEN NULL
+              WHEN kind = 'source' THEN 'rest_api' ELSE 'sqlserver' END AS available,
+              CASE WHEN kind || connector_type NOT IN ('sourcerest_api', 'destinationsqlserver')
+                   THEN 'UnexpectedError' END AS category
+       FROM connections""",
 )
 def connector_resolution(spark, sf_dir):
-    connections = fixture(spark, sf_dir, "connections")
-    catalog = connections.select("kind", "connector_type").distinct().where(
-        "(kind = 'source' AND connector_type = 'rest_api')"
-        " OR (kind = 'destination' AND connector_type = 'sqlserver')"
-    )
-    return config.resolve_connectors(connections, catalog).select(
-        "connection_id", "name", "kind", "connector_type", "known", "available"
-    )
+    return config.resolve_connectors(fixture(spark, sf_dir, "connections"))

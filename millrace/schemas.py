@@ -40,6 +40,8 @@ MIGRATION_VIEW_ROLES = ["owner", "admin"]
 
 ALLOWED_METHODS = ["GET", "POST"]
 
+CONNECTORS = {"source": ["rest_api"], "destination": ["sqlserver"]}
+
 # category -> retryable; None means the raiser decides.
 ERROR_CLASSES = {
     "FetchFailed": None,

@@ -17,9 +17,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     each input differently, and a grouping over the union then splits keys: the
     same key came out twice in a grouping over a union of anti-joins. Joins whose
     two sides are of like size leave hot keys to adaptive execution, which splits
-    them even where that costs another exchange.
+    them even where that costs another exchange. Streaming state lies in RocksDB,
+    so it may outgrow memory.
     """
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -155,3 +155,13 @@ def test_second_response_counts_only_after_refused_credentials(spark, rows):
         (4, 401, "FetchFailed", False),
         (5, None, "FetchFailed", True),
     ]
+
+
+def test_only_registered_connectors_are_known(spark, rows):
+    df = spark.createDataFrame(
+        [(1, "source", "rest_api"), (2, "source", "sqlserver"), (3, "destination", "ftp")],
+        "connection_id int, kind string, connector_type string",
+    )
+    assert rows(config.resolve_connectors(df), "connection_id", "known", "available", "category") == [
+        (1, True, None, None), (2, False, "rest_api", "UnexpectedError"), (3, False, "sqlserver", "UnexpectedError"),
+    ]
