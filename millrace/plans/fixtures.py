@@ -355,12 +355,12 @@ GROUP BY lkey
 """
 FIXTURES["storage_records"] = """
 SELECT record_id, org_id, run, config_id, sequence, payload, tenant_uuid, schema_name, sha AS checksum_sha256,
-       CASE record_id % 5 WHEN 0 THEN concat('s3://lake/', tenant_uuid, '/', lkey)
-            WHEN 1 THEN concat('s3://lake/', schema_name, '/', lkey)
+       CASE record_id % 5 WHEN 0 THEN concat('s3://pile/', tenant_uuid, '/', lkey)
+            WHEN 1 THEN concat('s3://pile/', schema_name, '/', lkey)
             WHEN 3 THEN CASE record_id % 4 WHEN 0 THEN concat('s3://other/', lkey)
-                             WHEN 1 THEN concat('http://lake/', lkey) WHEN 2 THEN 's3://lake/'
-                             ELSE concat('s3://lake/', schema_name, '/x', lkey) END
-            ELSE concat('s3://lake/', lkey) END AS storage_uri
+                             WHEN 1 THEN concat('http://pile/', lkey) WHEN 2 THEN 's3://pile/'
+                             ELSE concat('s3://pile/', schema_name, '/x', lkey) END
+            ELSE concat('s3://pile/', lkey) END AS storage_uri
 FROM (SELECT b.*, $SHA(payload) AS sha,
              concat(config_id, '/', run, '/',
                     CASE WHEN sequence < 1000000 THEN lpad(CAST(sequence AS STRING), 6, '0')

@@ -6,13 +6,13 @@ from millrace.operators import migration
 from millrace.plans.fixtures import fixture
 from millrace.plans.registry import query
 
-BUCKET = "lake"
+BUCKET = "pile"
 
 _INSPECTED = """
 WITH classified AS (
-  SELECT *, CASE WHEN storage_uri = concat('s3://lake/', tenant_uuid, '/', lk) THEN 'already_migrated'
-                 WHEN storage_uri = concat('s3://lake/', schema_name, '/', lk) THEN 'schema_prefixed'
-                 WHEN storage_uri = concat('s3://lake/', lk) THEN 'legacy_unprefixed'
+  SELECT *, CASE WHEN storage_uri = concat('s3://pile/', tenant_uuid, '/', lk) THEN 'already_migrated'
+                 WHEN storage_uri = concat('s3://pile/', schema_name, '/', lk) THEN 'schema_prefixed'
+                 WHEN storage_uri = concat('s3://pile/', lk) THEN 'legacy_unprefixed'
                  ELSE 'checksum_conflict' END AS generation
   FROM (SELECT *, concat(config_id, '/', run, '/', format('{:06d}', sequence), '-', checksum_sha256, '.raw') AS lk
         FROM storage_records) t),
@@ -21,7 +21,7 @@ inspected AS (
                    WHEN generation = 'checksum_conflict' THEN 'unrecognised'
                    WHEN o.key IS NULL THEN 'missing'
                    WHEN sha256(o.body) <> c.checksum_sha256 THEN 'tampered' ELSE 'ready' END AS finding
-  FROM classified c LEFT JOIN storage_objects o ON concat('s3://lake/', o.key) = c.storage_uri)
+  FROM classified c LEFT JOIN storage_objects o ON concat('s3://pile/', o.key) = c.storage_uri)
 """
 _COUNTS = """
   count(*) AS records_inspected,
@@ -101,7 +101,7 @@ def problem_sample(spark, sf_dir):
     "apply_migration",
     _INSPECTED
     + """SELECT record_id, finding = 'ready' AS migrated,
-           CASE WHEN finding = 'ready' THEN concat('s3://lake/', tenant_uuid, '/', lk) ELSE storage_uri END
+           CASE WHEN finding = 'ready' THEN concat('s3://pile/', tenant_uuid, '/', lk) ELSE storage_uri END
              AS storage_uri
          FROM inspected""",
 )
@@ -115,7 +115,7 @@ def apply_migration(spark, sf_dir):
     "moved_objects",
     _INSPECTED
     + """SELECT concat(c.tenant_uuid, '/', c.lk) AS key, o.content_type, sha256(o.body) AS body_sha256
-         FROM inspected c JOIN storage_objects o ON concat('s3://lake/', o.key) = c.storage_uri
+         FROM inspected c JOIN storage_objects o ON concat('s3://pile/', o.key) = c.storage_uri
          WHERE c.finding = 'ready' AND concat(c.tenant_uuid, '/', c.lk) NOT IN (SELECT key FROM storage_objects)""",
 )
 def moved_objects(spark, sf_dir):

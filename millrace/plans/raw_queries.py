@@ -7,7 +7,7 @@ from millrace.operators import rawstore
 from millrace.plans.fixtures import fixture
 from millrace.plans.registry import query
 
-BUCKET = "lake"
+BUCKET = "pile"
 
 
 def _deliveries(spark, sf_dir):
@@ -49,7 +49,7 @@ def storage_key(spark, sf_dir):
 
 @query(
     "tenant_uri",
-    """SELECT arrival, d.org_id, concat('s3://lake/', tenant_uuid || '/' || lkey) AS storage_uri, category
+    """SELECT arrival, d.org_id, concat('s3://pile/', tenant_uuid || '/' || lkey) AS storage_uri, category
        FROM (SELECT d.arrival, d.org_id, d.lkey, o.tenant_uuid,
                     CASE WHEN o.tenant_uuid IS NULL THEN 'ConfigurationError' END AS category
              FROM delivery_keys d LEFT JOIN organizations o ON o.org_id = d.org_id) d
@@ -123,8 +123,8 @@ def payload_versions(spark, sf_dir):
     "uri_parse",
     """SELECT record_id, CASE WHEN NOT starts_with(storage_uri, 's3://') OR split_part(storage_uri, '/', 3) = ''
                  OR length(storage_uri) <= 6 + length(split_part(storage_uri, '/', 3)) THEN 'not a raw payload URI'
-              WHEN split_part(storage_uri, '/', 3) <> 'lake' THEN 'other bucket' END AS problem,
-              CASE WHEN starts_with(storage_uri, 's3://lake/') AND length(storage_uri) > 10
+              WHEN split_part(storage_uri, '/', 3) <> 'pile' THEN 'other bucket' END AS problem,
+              CASE WHEN starts_with(storage_uri, 's3://pile/') AND length(storage_uri) > 10
                    THEN substr(storage_uri, 11) END AS key
        FROM storage_records""",
 )
@@ -136,9 +136,9 @@ def uri_parse(spark, sf_dir):
 
 @query(
     "tenant_read_check",
-    """SELECT record_id, CASE WHEN NOT starts_with(storage_uri, 's3://') OR storage_uri = 's3://lake/'
+    """SELECT record_id, CASE WHEN NOT starts_with(storage_uri, 's3://') OR storage_uri = 's3://pile/'
                   THEN 'not a raw payload URI'
-              WHEN split_part(storage_uri, '/', 3) <> 'lake' THEN 'other bucket'
+              WHEN split_part(storage_uri, '/', 3) <> 'pile' THEN 'other bucket'
               WHEN split_part(storage_uri, '/', 4) <> tenant_uuid THEN 'other tenant' END AS problem
        FROM storage_records""",
 )

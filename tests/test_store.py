@@ -55,19 +55,19 @@ def test_reuse_with_another_size_is_an_integrity_error(spark, rows):
 @pytest.mark.parametrize(
     "uri, problem",
     [
-        ("s3://lake/k", None), ("http://lake/k", "not a raw payload URI"), ("s3://", "not a raw payload URI"),
-        ("s3:///k", "not a raw payload URI"), ("s3://lake", "not a raw payload URI"),
-        ("s3://lake/", "not a raw payload URI"), ("s3://other/k", "other bucket"), ("s3://lake//k", None),
+        ("s3://pile/k", None), ("http://pile/k", "not a raw payload URI"), ("s3://", "not a raw payload URI"),
+        ("s3:///k", "not a raw payload URI"), ("s3://pile", "not a raw payload URI"),
+        ("s3://pile/", "not a raw payload URI"), ("s3://other/k", "other bucket"), ("s3://pile//k", None),
     ],
 )
 def test_uri_shapes(spark, uri, problem):
     df = spark.createDataFrame([(uri,)], "storage_uri string")
-    assert rawstore.parse_uris(df, "lake").first().problem == problem
+    assert rawstore.parse_uris(df, "pile").first().problem == problem
 
 
 def test_reads_stay_inside_the_tenant(spark, rows):
-    df = spark.createDataFrame([(f"s3://lake/{TENANT}/k",), ("s3://lake/other/k",)], "storage_uri string")
-    got = rawstore.authorize_reads(df.withColumn("tenant_uuid", F.lit(TENANT)), "lake")
+    df = spark.createDataFrame([(f"s3://pile/{TENANT}/k",), ("s3://pile/other/k",)], "storage_uri string")
+    got = rawstore.authorize_reads(df.withColumn("tenant_uuid", F.lit(TENANT)), "pile")
     assert rows(got, "problem", "category") == [
         ("other tenant", "RawPayloadAccessDenied"), (None, None),
     ]
@@ -119,9 +119,9 @@ def stored(spark, kinds):
     for i, kind in enumerate(kinds):
         body, logical = f"body{i}", f"7/1/{i:06d}-{sha(f'body{i}')}.raw"
         key = {"uuid": f"{TENANT}/{logical}", "schema": f"{SCHEMA}/{logical}"}.get(kind.split("-")[0], logical)
-        uri = f"s3://{'other' if kind == 'foreign' else 'lake'}/{key}"
+        uri = f"s3://{'other' if kind == 'foreign' else 'pile'}/{key}"
         if kind == "odd":
-            uri = "s3://lake/elsewhere.raw"
+            uri = "s3://pile/elsewhere.raw"
         records.append((i, 7, 1, i, sha(body), uri, TENANT, SCHEMA))
         if kind not in ("plain-missing", "foreign", "odd"):
             objects.append((key, "application/json", body + ("!" if kind.endswith("tampered") else "")))
@@ -139,7 +139,7 @@ KINDS = ["uuid", "schema", "plain", "plain", "plain-missing", "schema-tampered",
 
 
 def test_summary_adds_up(spark):
-    total = migration.summarize(migration.inspect_records(*stored(spark, KINDS), "lake")).first().asDict()
+    total = migration.summarize(migration.inspect_records(*stored(spark, KINDS), "pile")).first().asDict()
     assert total == {
         "records_inspected": 8, "already_migrated": 1, "legacy_unprefixed": 2, "schema_prefixed": 2,
         "missing_objects": 1, "checksum_conflicts": 3, "ready_for_migration": 3, "records_skipped": 5,
@@ -149,24 +149,24 @@ def test_summary_adds_up(spark):
 
 def test_second_pass_finds_everything_migrated(spark, rows):
     records, objects = stored(spark, ["uuid", "schema", "plain"])
-    found = migration.inspect_records(records, objects, "lake")
+    found = migration.inspect_records(records, objects, "pile")
     grown = objects.unionByName(migration.moved_objects(found, objects).select(*objects.columns))
-    moved = migration.repoint_records(found, "lake")
+    moved = migration.repoint_records(found, "pile")
     assert grown.count() == 5
-    again = migration.inspect_records(moved.select(*records.columns), grown, "lake")
+    again = migration.inspect_records(moved.select(*records.columns), grown, "pile")
     assert rows(again.groupBy("finding").count()) == [("already_migrated", 3)]
     assert migration.moved_objects(again, grown).count() == 0
 
 
 def test_problem_sample_is_bounded_ordered_and_free_of_bodies(spark):
-    found = migration.inspect_records(*stored(spark, KINDS), "lake")
+    found = migration.inspect_records(*stored(spark, KINDS), "pile")
     sample = migration.problem_sample(found, limit=2).collect()
     assert [(r.record_id, r.category) for r in sample] == [(4, "missing"), (5, "checksum_conflict")]
     assert all(len(r.checksum_prefix) == 12 for r in sample) and "body" not in sample[0].asDict()
 
 
 def test_progress_and_cancel_follow_batches(spark, rows):
-    found = migration.inspect_records(*stored(spark, KINDS), "lake")
+    found = migration.inspect_records(*stored(spark, KINDS), "pile")
     reports = rows(migration.progress_reports(found, batch=3), "batch", "records_inspected", "ready_for_migration")
     assert reports == [(0, 3, 2), (1, 6, 3), (2, 8, 3)]
     cancels = spark.createDataFrame([(1,), (2,)], "batch bigint")
