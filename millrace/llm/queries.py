@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe
+from millrace.llm import bitplanes, bpe, cost_packing
 from millrace.llm.common import table
+from millrace.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +26,34 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    root = scratch_path(spark, "token-planes")
+    manifest = bitplanes.write_shards(
+        documents, root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+    )
+    return bitplanes.read_shards(manifest, root).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32")
+    )
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """Pieces of ``documents`` with the digest columns of op5, as the pipeline ends with."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return cost_packing.pack_documents(documents, path, capacity=2048, end_id=1).select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
+def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_bit_planes": op3_bit_planes,
+    "op5_cost_packing": op5_cost_packing,
 }
 
 #: None of the ten can be stated in SQL: tokenizers, sketches, trained models, packing
