@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bitplanes, bpe, cost_packing
+from millrace.llm import bitplanes, bpe, cost_packing, langid, quality
 from millrace.llm.common import table
 from millrace.session import scratch_path
 
@@ -50,10 +50,36 @@ def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def remainder(divisor: int, column: str = "doc_id"):
+    """crc32 of an id as text, modulo ``divisor``; null for a null id."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(divisor))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(documents, remainder(5) != 0)
+    return langid.identify(documents.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "_language.lang_pred", "_language.score"
+    )
+
+
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return quality.grade(documents, model).select(
+        "doc_id",
+        F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"),
+        F.col("_quality").alias("score"),
+        (F.col("_quality") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_bit_planes": op3_bit_planes,
     "op5_cost_packing": op5_cost_packing,
+    "op7_language_id": op7_language_id,
+    "op8_quality_trees": op8_quality_trees,
 }
 
 #: None of the ten can be stated in SQL: tokenizers, sketches, trained models, packing
