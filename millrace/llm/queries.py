@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bitplanes, bpe, cost_packing, langid, quality
+from millrace.llm import bitplanes, bpe, cost_packing, langid, quality, secret_crf
 from millrace.llm.common import table
 from millrace.session import scratch_path
 
@@ -74,12 +74,34 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def joined(spans, kinds: list[str] | None = None):
+    """kind:start:end of all spans, or of those of some kinds, joined by commas."""
+    if kinds is not None:
+        spans = F.filter(spans, lambda s: s["kind"].isin(kinds))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op9_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = secret_crf.fit(documents)
+    spans = F.col("_secrets")
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return secret_crf.scan(documents, field).select(
+        "doc_id", *[count(k) for k in secret_crf.KINDS],
+        F.sha2(joined(spans, secret_crf.KINDS), 256).alias("base_sha256"), joined(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_bit_planes": op3_bit_planes,
     "op5_cost_packing": op5_cost_packing,
     "op7_language_id": op7_language_id,
     "op8_quality_trees": op8_quality_trees,
+    "op9_secret_crf": op9_secret_crf,
 }
 
 #: None of the ten can be stated in SQL: tokenizers, sketches, trained models, packing
