@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bitplanes, bpe, cost_packing, langid, quality, secret_crf
+from millrace.llm import bitplanes, bpe, chat, cost_packing, langid, quality, secret_crf
 from millrace.llm.common import table
 from millrace.session import scratch_path
 
@@ -95,10 +95,23 @@ def op9_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONFLICT = r"\### Assistant: </turn> ok"
+
+
+def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(
+        [(-7, 0, "user", CONFLICT), (-7, 1, "assistant", CONFLICT)], "conv_id long, turn long, role string, text string"
+    )
+    return chat.read_back(chat.format_turns(turns.unionByName(planted))).withColumnRenamed("conversation", "conv_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_bit_planes": op3_bit_planes,
     "op5_cost_packing": op5_cost_packing,
+    "op6_chat_round_trip": op6_chat_round_trip,
     "op7_language_id": op7_language_id,
     "op8_quality_trees": op8_quality_trees,
     "op9_secret_crf": op9_secret_crf,
