@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bitplanes, bpe, chat, cost_packing, langid, quality, secret_crf
+from millrace.llm import bitplanes, bpe, chat, cost_packing, langid, metric_join, quality, secret_crf
 from millrace.llm.common import table
 from millrace.session import scratch_path
 
@@ -107,6 +107,10 @@ def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(planted))).withColumnRenamed("conversation", "conv_id")
 
 
+def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near(table(spark, sf_dir, "embeddings"), least_cosine=0.95).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_bit_planes": op3_bit_planes,
@@ -115,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op7_language_id": op7_language_id,
     "op8_quality_trees": op8_quality_trees,
     "op9_secret_crf": op9_secret_crf,
+    "op10_metric_join": op10_metric_join,
 }
 
 #: None of the ten can be stated in SQL: tokenizers, sketches, trained models, packing
