@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bitplanes, bpe, chat, cost_packing, langid, metric_join, quality, secret_crf
+from millrace.llm import bitplanes, bpe, chat, cost_packing, langid, lsh_forest, metric_join, quality, secret_crf
 from millrace.llm.common import table
 from millrace.session import scratch_path
 
@@ -37,6 +37,10 @@ def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), percent=75).withColumnRenamed("id", "doc_id")
+
+
 def packed(documents: DataFrame) -> DataFrame:
     """Pieces of ``documents`` with the digest columns of op5, as the pipeline ends with."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -114,6 +118,7 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_bit_planes": op3_bit_planes,
+    "op4_lsh_forest": op4_lsh_forest,
     "op5_cost_packing": op5_cost_packing,
     "op6_chat_round_trip": op6_chat_round_trip,
     "op7_language_id": op7_language_id,
