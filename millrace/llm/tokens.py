@@ -11,14 +11,10 @@ import os
 from functools import lru_cache
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-#: Pieces that a Python worker keeps before it starts anew.
-KEPT = 300_000
-
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
-_LOOSE = regex.compile(r"  | [^\S ]|[^\S ] |^\s|\s$")
+#: Pieces in each of the two generations that a Python worker keeps.
+KEPT = 400_000
 
 
 class PieceTokenizer:
@@ -27,7 +23,8 @@ class PieceTokenizer:
     Two kinds of files are known: those whose words never hold white space are
     cut at it, and byte-level ones, whose words may begin with one space, are cut
     before single spaces. Texts with white space in other places, which might
-    then be cut inside a run of it, go to the library whole.
+    then be cut inside a run of it, go to the library whole. Pieces that were in
+    use lately survive when the older generation is let go.
     """
 
     def __init__(self, path: str):
@@ -36,26 +33,36 @@ class PieceTokenizer:
         own.no_truncation()
         self.own = own
         self.drops_space = own.encode(" ", add_special_tokens=False).ids == []
-        self.pieces: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str] | None:
         """The text's pieces; None if it must stay whole."""
-        if self.drops_space:
-            return None if _SEPARATORS.search(text) else text.split()
-        if _LOOSE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        if self.drops_space:  # Python splits at the information separators, the tokenizer doesn't
+            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
+
+    def _loose(self, piece: str) -> bool:
+        """Whether a byte-level piece ends or goes on with white space, so that a cut beside it was wrong."""
+        return piece[-1:].isspace() or (piece[:1] == " " and piece[1:2].isspace())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [self.cut(t) if t else [] for t in texts]
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
-        new = list(set().union(*(c for c in cuts if c)).difference(self.pieces))
-        self.pieces.update(zip(new, self._bytes(new), strict=True))
+        cuts = [self.cut(t) for t in texts]
+        if len(self.young) > KEPT:
+            self.young, self.old = {}, self.young
+        new = set().union(*(c for c in cuts if c)).difference(self.young)
+        if self.old:
+            again = {p: self.old[p] for p in new if p in self.old}
+            self.young.update(again)
+            new.difference_update(again)
+        if not self.drops_space and (loose := {p for p in new if self._loose(p)}):
+            cuts = [c if c is None or loose.isdisjoint(c) else None for c in cuts]
+            new -= loose
+        new = list(new)
+        self.young.update(zip(new, self._bytes(new), strict=True))
         whole = [k for k, c in enumerate(cuts) if c is None]
         found = dict(zip(whole, self._bytes([texts[k] for k in whole]), strict=True))
-        get = self.pieces.__getitem__
+        get = self.young.__getitem__
         return [
             np.frombuffer(found[k] if c is None else b"".join(map(get, c)), dtype="<u4")
             for k, c in enumerate(cuts)
