@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bitplanes, bpe, chat, cost_packing, langid, lsh_forest, metric_join, quality, secret_crf
+from millrace.llm import bitplanes, bpe, chat, cost_packing, langid, lsh_forest, metric_join, order_minhash, quality, secret_crf
 from millrace.llm.common import table
 from millrace.session import scratch_path
 
@@ -26,6 +26,15 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+        order_minhash.printed(F.col("tuples")).alias("fingerprint"),
+        order_minhash.printed(F.col("edited_tuples")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     root = scratch_path(spark, "token-planes")
@@ -117,6 +126,7 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_order_minhash": op2_order_minhash,
     "op3_bit_planes": op3_bit_planes,
     "op4_lsh_forest": op4_lsh_forest,
     "op5_cost_packing": op5_cost_packing,
