@@ -8,11 +8,11 @@ that a region of very many like signatures lies in many tasks.
 
 First each document is paired with its neighbours in each order that share at
 least ``LEAST_DEPTH`` bytes with it. Pairs that the full sets confirm join
-documents to groups. Then the regions are searched for what is still apart: a
-region with few documents is compared whole by signatures, a fuller one at the
-depth at which it falls into small ones, and only pairs between different groups
-whose signatures nearly suffice are compared by their full sets. So a dense
-region costs what its stragglers ask, not all its pairs.
+documents to groups. Then the regions are searched for what is still apart:
+documents outside a region's largest group are compared with the whole region by
+signatures, at the least depth at which that isn't too much work, and only pairs
+between different groups whose signatures nearly suffice are compared by their
+full sets. So a dense region costs what its stragglers ask, not all its pairs.
 
 Copies of one set are one class from the start.
 """
@@ -31,8 +31,8 @@ from millrace.llm.common import BoundedCache, classes_of, stored
 
 WORDS = 5
 FUNCTIONS, ORDERS, DEPTH, LEAST_DEPTH = 256, 32, 16, 4
-#: Documents that a region may hold to be compared whole.
-REGION = 512
+#: Comparisons of signatures that a region may take at one depth before it is split at the next.
+COMPARED = 1 << 22
 #: A pair is compared by its sets if its signatures agree in a share not below the
 #: least similarity by more than four standard deviations (0.027 at 256 functions).
 MARGIN = 0.11
@@ -204,26 +204,32 @@ def stragglers(sorted_entries: DataFrame, least: float) -> DataFrame:
     def region(keys, nodes, labels, sig, sizes, depth: int) -> Iterator[np.ndarray]:  # noqa: ANN001
         if len(nodes) < 2 or (labels == labels[0]).all():
             return
-        if len(nodes) > REGION:
+        names, counts = np.unique(labels, return_counts=True)
+        few = np.flatnonzero(labels != names[counts.argmax()])
+        if len(few) * len(nodes) > COMPARED:
             if depth <= DEPTH:
                 cuts = np.flatnonzero(keys[1:, depth] != keys[:-1, depth]) + 1
             else:  # alike in the whole key: neighbours by their numbers
-                cuts = np.arange(REGION, len(nodes), REGION)
+                cuts = np.arange(step := int(COMPARED**0.5), len(nodes), step)
             bounds = [0, *cuts.tolist(), len(nodes)]
             for a, b in zip(bounds, bounds[1:], strict=False):
                 yield from region(keys[a:b], nodes[a:b], labels[a:b], sig[a:b], sizes[a:b], min(depth + 1, DEPTH + 1))
             return
-        names, counts = np.unique(labels, return_counts=True)
-        few = np.flatnonzero(labels != names[counts.argmax()])
-        for k in range(0, len(few), 64):
-            part = few[k : k + 64]
-            alike = (sig[part][:, None, :] == sig[None]).mean(axis=2) >= least - MARGIN
-            alike &= labels[part][:, None] != labels[None]
-            small = np.minimum(sizes[part][:, None], sizes[None])
-            alike &= small >= least * np.maximum(sizes[part][:, None], sizes[None])
+        for k in range(0, len(few), 16):
+            part = few[k : k + 16]
+            alike = labels[part][:, None] != labels[None]
+            small, large = np.minimum(sizes[part][:, None], sizes[None]), np.maximum(sizes[part][:, None], sizes[None])
+            alike &= small >= least * large
             i, j = np.nonzero(alike)
-            if len(i):
-                yield np.stack([nodes[part[i]], nodes[j]], axis=1)
+            for at in range(0, len(i), 8192):
+                x, y = part[i[at : at + 8192]], j[at : at + 8192]
+                same = sig[x] == sig[y]
+                near = np.flatnonzero(same.mean(axis=1) >= least - MARGIN)
+                # A pair comes out of the order in which its common prefix is longest.
+                best = np.cumprod(same[near][:, _PICKED], axis=2).sum(axis=2).argmax(axis=1)
+                near = near[best == keys[0, 0]]
+                if len(near):
+                    yield np.stack([nodes[x[near]], nodes[y[near]]], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
