@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import BoundedCache, classes_of, stored
 
 WORDS = 5
-FUNCTIONS, ORDERS, DEPTH, LEAST_DEPTH = 256, 32, 16, 4
+FUNCTIONS, ORDERS, DEPTH, LEAST_DEPTH = 512, 32, 16, 4
 #: Comparisons of signatures that a region may take at one depth before it is split at the next.
 COMPARED = 1 << 22
 #: A pair is compared by its sets if its signatures agree in a share not below the
-#: least similarity by more than four standard deviations (0.027 at 256 functions).
-MARGIN = 0.11
+#: least similarity by more than four standard deviations (0.0191 at 512 functions).
+MARGIN = 0.0766
 #: Rows of one order that a task gathers before it splits them into regions.
 GATHERED = 8192
 CACHED = 400_000
@@ -45,7 +45,8 @@ _random = np.random.default_rng(20240117)
 _MULTIPLY = _random.integers(0, 2**32, size=(FUNCTIONS, 1), dtype=np.uint32) | np.uint32(1)
 _ADD = _random.integers(0, 2**32, size=(FUNCTIONS, 1), dtype=np.uint32)
 _PLACES = _random.integers(1, 2**63, size=WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PICKED = np.stack([_random.permutation(FUNCTIONS)[:DEPTH] for _ in range(ORDERS)])
+#: The functions of each order, no function in two.
+_PICKED = _random.permutation(FUNCTIONS)[: ORDERS * DEPTH].reshape(ORDERS, DEPTH)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -167,25 +168,18 @@ def _keys(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def neighbours(sorted_entries: DataFrame) -> DataFrame:
-    """Pairs of classes next, or next but one, to each other with a long enough common prefix."""
+    """Pairs of classes next to each other with a long enough common prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = np.empty((0, DEPTH + 1), np.uint8), np.empty(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.vstack([keys[-2:], _keys(batch)])
-            nodes = np.concatenate([nodes[-2:], batch.column(2).to_numpy()])
-            fresh = len(keys) - batch.num_rows
-            found = []
-            for step in (1, 2):
-                if len(keys) <= step:
-                    continue
-                same = (keys[step:, : LEAST_DEPTH + 1] == keys[:-step, : LEAST_DEPTH + 1]).all(axis=1)
-                at = np.flatnonzero(same) + step
-                at = at[at >= fresh]
-                found.append(np.stack([nodes[at], nodes[at - step]], axis=1))
-            pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            keys = np.vstack([keys[-1:], _keys(batch)])
+            nodes = np.concatenate([nodes[-1:], batch.column(2).to_numpy()])
+            same = (keys[1:, : LEAST_DEPTH + 1] == keys[:-1, : LEAST_DEPTH + 1]).all(axis=1)
+            at = np.flatnonzero(same)
+            pairs = np.stack([nodes[at], nodes[at + 1]], axis=1)
             yield _pairs(pairs)
 
     return sorted_entries.mapInArrow(run, "a bigint, b bigint").distinct()
