@@ -27,8 +27,9 @@ from millrace.operators.scaling import computed_once
 KMER, SLOTS, PICKED = 3, 32, 2
 #: Draws per slot that a document makes at least; a slot then lacks a second one in 8 of 100,000 cases.
 DRAWS = 12
-#: Ranges of ids for each shuffle partition: the texts of a range are in one task.
-RANGES_PER_PARTITION = 6
+#: Bytes of text that a task takes on average, and ranges of ids in it. A word becomes two or
+#: more rows of about 80 bytes that a task sorts, so this sets its memory; larger executors may take more.
+TASK_BYTES, RANGES_PER_TASK = 2_000_000, 6
 
 # --- fixed values: ASCII white space, which separates words ---------------------
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -92,6 +93,12 @@ def range_starts(documents: DataFrame, count: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def task_count(documents: DataFrame, task_bytes: int) -> int:
+    """Tasks of ``task_bytes`` of text each, but not fewer than shuffles have."""
+    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
+
+
 def range_of(id_: Column, starts: list[int]) -> Column:
     """How many starts an id has reached, found in two steps."""
     step = max(1, int(len(starts) ** 0.5))
@@ -103,7 +110,7 @@ def range_of(id_: Column, starts: list[int]) -> Column:
     return F.when(group == 0, 0).otherwise((group - 1) * step + F.size(F.filter(inside, lambda s: s <= id_)))
 
 
-def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
     """``range, place, copy, id, text, next_text``: each document and the text after it in descending order of ids.
 
     After the last document comes the first; documents without an id come last,
@@ -112,9 +119,9 @@ def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     time, marked as ``copy``, to the range whose last document it follows. What is
     broadcast has a row for each range.
     """
-    spark = documents.sparkSession
-    count = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    tasks = task_count(rows, task_bytes)
+    count = RANGES_PER_TASK * tasks
     number = F.when(F.col("id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(count))).otherwise(
         range_of(F.col("id"), range_starts(rows.select("id"), count))
     ).cast("int")
@@ -130,7 +137,8 @@ def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         placed.join(F.broadcast(heads), "range")
         .select("id", "text", F.explode(F.when(is_head, F.array(stays, goes)).otherwise(F.array(stays))).alias("_to"))
         .select(F.col("_to.range").alias("range"), F.col("_to.copy").alias("copy"), "id", "text")
-        .repartition("range")
+        .where("range IS NOT NULL")
+        .repartition(tasks, "range")
     )
     after = Window.partitionBy("range").orderBy("copy", F.col("id").desc_nulls_last(), F.xxhash64("text").desc(), "text")
     return dealt.select("range", F.row_number().over(after).alias("place"), "copy", "id", "text", F.lead("text").over(after).alias("next_text"))
@@ -153,9 +161,10 @@ def compare(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = with_next(documents, id_col, text_col).withColumn("edited", F.when(~F.col("copy"), edited(F.col("text"), F.col("next_text"))))
     versions = F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))
-    texts = rows.select("range", "place", F.explode(versions).alias("_v")).select("range", "place", "_v.which", "_v.text").where("text IS NOT NULL")
-    found = tuples_of(texts, ["range", "place", "which"], slots).groupBy("range", "place").agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("which") * slots + F.col("slot")).alias("k"), F.col("tuple")))).alias("_by")
+    texts = rows.select("range", "place", F.explode(versions).alias("_v")).where("_v.text IS NOT NULL")
+    texts = texts.select("range", (2 * F.col("place") + F.col("_v.which")).alias("version"), "_v.text")
+    found = tuples_of(texts, ["range", "version"], slots).groupBy("range", F.shiftright("version", 1).alias("place")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("version") % 2 * slots + F.col("slot")).alias("k"), F.col("tuple")))).alias("_by")
     )
 
     def side(which: int) -> Column:
