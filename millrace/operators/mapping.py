@@ -33,6 +33,35 @@ def map_records(
     return records.select(*[c for c in records.columns if c != record], *typed)
 
 
+def misfits(values: dict[str, Column], types: dict[str, str]) -> Column:
+    """Whether a value is there but can't become its column's type.
+
+    Missing and null values fit every column. A destination refuses such a
+    record, so its page fails to load; it is never loaded as NULL.
+    """
+    unfit = F.lit(False)
+    for column, kind in types.items():
+        if column in values:
+            value = values[column]
+            there = value.isNotNull() & ~F.is_variant_null(value)
+            unfit = unfit | (there & F.try_variant_get(value, "$", kind).isNull())
+    return unfit
+
+
+def type_failures(
+    records: DataFrame, mapping: dict[str, str], types: dict[str, str], record: str = "record"
+) -> DataFrame:
+    """Pages that hold a value which doesn't fit its column, with the first such record."""
+    unfit = misfits(map_columns(F.col(record), mapping), types)
+    return (
+        computed_once(records, _unfit=unfit)
+        .where("_unfit")
+        .groupBy("run", "page")
+        .agg(F.count(F.lit(1)).alias("bad_records"), F.min("pos").alias("first_pos"))
+        .withColumn("category", F.lit("LoadFailed"))
+    )
+
+
 def mapping_problem(record: Column, mapping: dict[str, str], strict: bool) -> Column:
     """Why a record cannot be mapped, NULL when it can."""
     problem = F.when(~is_object(record), "not an object")

@@ -37,8 +37,8 @@ SELECT run,
 FROM (SELECT DISTINCT o_custkey % 75 AS run FROM @orders) r
 """
 FIXTURES["order_pages"] = """
-SELECT CAST(floor(floor(o_orderkey / 100) / 64) AS BIGINT) AS run,
-       CAST(floor(o_orderkey / 100) AS BIGINT) % 64 + 1 AS page,
+SELECT CAST(floor(floor(o_orderkey / 100) / 12) AS BIGINT) AS run,
+       CAST(floor(o_orderkey / 100) AS BIGINT) % 12 + 1 AS page,
        CAST(floor(o_orderkey / 100) AS BIGINT) % 50 AS variant,
        o_orderkey, o_custkey, o_orderstatus,
        CAST(round(o_totalprice * 100) AS BIGINT) AS cents
@@ -71,13 +71,26 @@ SELECT run, page, variant,
 FROM page_items
 """
 FIXTURES["landed_runs"] = """
-SELECT run, CAST(1 AS BIGINT) AS start_page,
+SELECT run, run % 5 AS config_id, CAST(1 AS BIGINT) AS start_page,
        CAST(CASE WHEN run % 3 <> 1 THEN 100 END AS BIGINT) AS page_size,
        CAST(CASE WHEN run % 4 = 3 THEN 5 ELSE 500 END AS BIGINT) AS max_pages,
-       CASE WHEN run % 4 = 2 THEN '21' WHEN run % 7 = 5 THEN '30' END AS cursor,
-       run % 2 = 0 AS retain_empty
+       CASE WHEN run % 4 = 2 THEN '4' WHEN run % 7 = 5 THEN '11' WHEN run % 7 = 3 THEN '10' END AS cursor,
+       run % 2 = 0 AS retain_empty,
+       CAST(CASE WHEN run % 4 = 2 THEN 3 WHEN run % 7 = 5 THEN 10 WHEN run % 7 = 3 THEN 9 ELSE 0 END AS BIGINT) AS pages_extracted,
+       CAST(CASE WHEN run % 4 = 2 THEN 300 WHEN run % 7 = 5 THEN 940 WHEN run % 7 = 3 THEN 900 ELSE 0 END AS BIGINT) AS records_extracted,
+       CAST(CASE WHEN run % 4 = 2 THEN 300 WHEN run % 7 = 5 THEN 940 WHEN run % 7 = 3 THEN 900 ELSE 0 END AS BIGINT) AS records_loaded,
+       CAST(CASE WHEN run % 4 = 2 THEN 4 WHEN run % 7 = 5 THEN 10 WHEN run % 7 = 3 THEN 9 ELSE 0 END AS BIGINT) AS raw_payload_count,
+       CASE WHEN run % 6 < 5 THEN concat('tenant-', run % 5) END AS tenant_uuid
 FROM (SELECT DISTINCT run FROM order_pages) r
 """
+# Pages as they arrive, with what went wrong outside of their bodies, and values that fit no column.
+FIXTURES["troubled_pages"] = """
+SELECT run, page, variant,
+       CASE WHEN (run * 12 + page) % 29 = 9 THEN replace(body, '"cents":', '"cents":"n/a","_":') ELSE body END AS body,
+       CASE WHEN (run * 12 + page) % 31 = 17 THEN 'FetchFailed' END AS fetch_error,
+       CASE WHEN (run * 12 + page) % 37 = 21 THEN 'LoadFailed' END AS load_error
+FROM page_bodies
+"""
 FIXTURES["response_log"] = """
 SELECT CAST(floor(event_id / 2) AS BIGINT) % 97 AS run,
        CAST(floor(event_id / 2) AS BIGINT) AS page,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.keys import logical_key
-from millrace.operators.mapping import map_records, mapping_problem
-from millrace.operators.paging import kept_pages, scan_outcomes
+from millrace.functions.keys import logical_key, object_uri, tenant_key
+from millrace.functions.paths import lookup
+from millrace.operators.mapping import map_records, mapping_problem, misfits
+from millrace.operators.paging import kept_pages, resume_runs, scan_outcomes
 from millrace.operators.records import (
     MALFORMED,
     body_problem,
@@ -17,10 +18,14 @@ from millrace.operators.records import (
     page_records,
     parse_body,
 )
-from millrace.operators.runs import run_counters
-from millrace.operators.scaling import computed_once, join_for
+from millrace.operators.runs import COUNTERS, run_counters
+from millrace.operators.scaling import BROADCAST_ROWS, Join, computed_once, join_for
+from millrace.schemas import DEFAULT_MAX_PAGES
 from millrace.session import cut_lineage
 
+#: Failures after a page's payload was stored; all others leave no raw record.
+AFTER_STORAGE = ["MappingError", "LoadFailed"]
+
 
 @dataclass(frozen=True)
 class Ingestion:
@@ -31,26 +36,94 @@ class Ingestion:
     loaded: DataFrame
 
 
+def with_settings(runs: DataFrame) -> DataFrame:
+    """Runs with the columns that may be left out: pipeline, tenant and saved counters.
+
+    A run without ``config_id`` stands for a pipeline of its own; saved counters
+    start at 0; a run without ``tenant_uuid`` has keys without a tenant.
+    """
+    given = set(runs.columns)
+    added = {}
+    if "config_id" not in given:
+        added["config_id"] = F.col("run")
+    if "tenant_uuid" not in given:
+        added["tenant_uuid"] = F.lit(None).cast("string")
+    for name in COUNTERS:
+        added[name] = F.coalesce(F.col(name), F.lit(0)).cast("bigint") if name in given else F.lit(0).cast("bigint")
+    return runs.withColumns(added)
+
+
+def within_budget(landed: DataFrame, runs: DataFrame, join: Join) -> DataFrame:
+    """Landed pages that a run may read at all: from its resume page on, as many as its budget.
+
+    Applied before anything is parsed, so that a run which resumes near the end
+    of a long landing reads only what is left.
+    """
+    started = resume_runs(runs).where(~F.col("bad_cursor"))
+    last = F.col("start") + F.coalesce(F.col("max_pages"), F.lit(DEFAULT_MAX_PAGES)) - 1
+    bounds = started.select("run", F.col("start").alias("_first"), last.alias("_last"))
+    return join(landed, bounds, ["run"], ["page"]).where("page BETWEEN _first AND _last").drop("_first", "_last")
+
+
 def page_states(
-    landed: DataFrame, records_path: str, mapping: dict[str, str], strict: bool
+    landed: DataFrame,
+    records_path: str,
+    mapping: dict[str, str],
+    strict: bool,
+    types: dict[str, str] | None = None,
 ) -> DataFrame:
     """Thin facts of every landed page, bodies read once and left behind.
 
-    A fetch or parse error leaves no raw record; a mapping error does, which
-    is why the stage is kept.
+    A page fails for the first of: a fetch error that came with it, a malformed
+    body, a record that can't be mapped, a value that doesn't fit its column, a
+    load error that came with it. The last three leave a raw record.
     """
     parsed = computed_once(landed, _data=parse_body(F.col("body")))
     parsed = computed_once(parsed, _records=page_records(F.col("_data"), records_path))
     unmappable = F.exists("_records", lambda r: mapping_problem(r, mapping, strict).isNotNull())
+    unfit = F.exists("_records", lambda r: misfits({c: lookup(r, p) for c, p in mapping.items()}, types or {}))
     malformed = body_problem(F.col("_data"), records_path).isNotNull()
-    return parsed.select(
+
+    def given(name: str) -> Column:
+        return F.col(name) if name in landed.columns else F.lit(None).cast("string")
+
+    error = (
+        F.when(given("fetch_error").isNotNull(), given("fetch_error"))
+        .when(malformed, MALFORMED)
+        .when(unmappable, "MappingError")
+        .when(unfit, "LoadFailed")
+        .otherwise(given("load_error"))
+    )
+    judged = computed_once(parsed, error=error, _stored=given("fetch_error").isNull() & ~malformed)
+    return judged.select(
         "run",
         "page",
         F.size("_records").cast("bigint").alias("n"),
         F.octet_length("body").cast("bigint").alias("size_bytes"),
         F.sha2(F.col("body").cast("binary"), 256).alias("checksum_sha256"),
-        F.when(malformed, MALFORMED).when(unmappable, "MappingError").alias("error"),
-        (~malformed & unmappable).alias("fails_after_storage"),
+        "error",
+        (F.col("_stored") & F.col("error").isNotNull()).alias("fails_after_storage"),
+    )
+
+
+def run_states(outcomes: DataFrame, kept: DataFrame, runs: DataFrame) -> DataFrame:
+    """Status, counters and cursor of each run: what was saved, and what its pages add.
+
+    A run that processed no page keeps its saved cursor and counters.
+    """
+    # run_counters folds per run; every kept page was loaded in full.
+    done = run_counters(kept.withColumn("loaded", F.col("n")))
+    done = done.select("run", "last_successful_cursor", *[F.col(c).alias(f"_{c}") for c in COUNTERS])
+    saved = runs.select("run", "cursor", *COUNTERS)
+    return (
+        outcomes.select("run", F.col("outcome").alias("status"), "category", "last_page")
+        .join(saved, "run")
+        .join(done, "run", "left")
+        .select(
+            "run", "status", "category", "last_page",
+            *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in COUNTERS],
+            F.coalesce("last_successful_cursor", "cursor").alias("last_successful_cursor"),
+        )
     )
 
 
@@ -61,34 +134,47 @@ def ingest(
     mapping: dict[str, str],
     types: dict[str, str],
     strict: bool = False,
+    bucket: str = "raw",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> Ingestion:
-    """Run every run's page loop at once.
+    """Run the page loop of every run of one pipeline's settings at once.
+
+    ``landed`` holds ``run, page, body`` and may hold the categories of a
+    ``fetch_error`` or ``load_error`` of a page; ``runs`` the scan settings of
+    :mod:`millrace.operators.paging` and those of :func:`with_settings`, so that
+    the states of one call are the saved state of the next.
 
-    ``landed`` holds ``run, page, body``; ``runs`` the scan settings of
-    :mod:`millrace.operators.paging`. Page facts and run outcomes are materialised
-    once, because raw records, counters and rows all need them and none needs a
-    body. The bodies are read a second time only to map the records that load,
-    and they are cut to the mapped columns before they meet the per-run bounds.
+    Without a mapping every run fails before a page is read. Page facts and run
+    outcomes are materialised once, because raw records, counters and rows all
+    need them and none needs a body. Bodies are cut to the pages of a run before
+    they are parsed, in both passes: up to ``broadcast_rows`` runs that takes no
+    shuffle of bodies, beyond that they are spread; the rows are the same.
     """
-    facts = cut_lineage(page_states(landed, records_path, mapping, strict))
-    outcomes = cut_lineage(scan_outcomes(facts.select("run", "page", "n", "error"), runs))
-    join = join_for(outcomes)
+    runs = cut_lineage(with_settings(runs))
+    join = join_for(runs, broadcast_rows)
+    if mapping:
+        facts = cut_lineage(page_states(within_budget(landed, runs, join), records_path, mapping, strict, types))
+        outcomes = cut_lineage(scan_outcomes(facts.select("run", "page", "n", "error"), runs))
+    else:
+        facts = page_states(landed.where("false"), records_path, mapping, strict, types)
+        outcomes = scan_outcomes(facts.select("run", "page", "n", "error"), runs).withColumns(
+            {"outcome": F.lit("failed"), "category": F.lit("MappingError")}
+        )
     kept = kept_pages(facts, outcomes, join)
-    # run_counters folds per run; every kept page was loaded in full.
-    counters = run_counters(kept.withColumn("loaded", F.col("n")))
-    states = (
-        outcomes.select("run", F.col("outcome").alias("status"), "category", "last_page")
-        .join(counters, "run", "left")
-        .fillna(0, ["pages_extracted", "records_extracted", "records_loaded", "raw_payload_count"])
+    states = run_states(outcomes, kept, runs)
+    bounds = outcomes.select("run", "start", "last_page", "stop_page").join(
+        runs.select("run", "config_id", "tenant_uuid", "pages_extracted"), "run"
     )
-    bounds = outcomes.select("run", "start", "last_page", "stop_page", "category", "page_size")
+    key = logical_key(F.col("config_id"), F.col("run"), F.col("sequence"), F.col("checksum_sha256"))
     stored = (
         join(facts, bounds, ["run"], ["page"])
         .where(
             F.col("page").between(F.col("start"), F.col("last_page"))
             | ((F.col("page") == F.col("stop_page")) & F.col("fails_after_storage"))
         )
-        .withColumn("sequence", F.col("page") - F.col("start") + 1)
+        .withColumn("sequence", F.col("pages_extracted") + F.col("page") - F.col("start") + 1)
+        .withColumn("logical_key", key)
+        .withColumn("_key", F.when(F.col("tenant_uuid").isNull(), F.col("logical_key")).otherwise(tenant_key(F.col("tenant_uuid"), F.col("logical_key"))))
         .select(
             "run",
             "sequence",
@@ -97,16 +183,14 @@ def ingest(
             "size_bytes",
             F.col("n").alias("item_count"),
             (F.col("page") <= F.col("last_page")).alias("loaded_successfully"),
-            logical_key(
-                F.col("run"), F.col("run"), F.col("sequence"), F.col("checksum_sha256")
-            ).alias("logical_key"),
+            "logical_key",
+            object_uri(bucket, F.col("_key")).alias("storage_uri"),
         )
     )
-    extracted = extract_records(landed.select("run", "page", "body"), records_path)
-    mapped = map_records(extracted, mapping, types)
-    loaded = (
-        join(mapped, bounds.select("run", "start", "last_page"), ["run"], ["page", "pos"])
+    inside = (
+        join(landed.select("run", "page", "body"), bounds.select("run", "start", "last_page"), ["run"], ["page"])
         .where(F.col("page").between(F.col("start"), F.col("last_page")))
-        .drop("start", "last_page")
+        .select("run", "page", "body")
     )
+    loaded = map_records(extract_records(inside, records_path), mapping, types)
     return Ingestion(states=states, raw_records=stored, loaded=loaded)

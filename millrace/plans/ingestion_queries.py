@@ -1,8 +1,12 @@
 """Queries over whole ingestion runs, loads and streams."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from millrace.operators import rawstore
+from millrace.operators.mapping import type_failures
+from millrace.operators.records import extract_records
 from millrace.plans.fixtures import fixture
 from millrace.plans.ingestion import ingest
 from millrace.plans.registry import query
@@ -15,80 +19,134 @@ from millrace.streaming import pages as stream
 MAPPING = {"order_id": "o_orderkey", "customer_id": "cust.id", "cents": "cents", "note": "note"}
 TYPES = {"order_id": "bigint", "customer_id": "bigint", "cents": "bigint", "note": "string"}
 
-# The page loop in the checking engine: facts per page, then the walk of each run.
+# The page loop in the checking engine, from the rules of a run: read page after page from the
+# saved cursor; a page that can't be fetched or read fails the run; a page is stored, then mapped
+# and loaded, and only a loaded page counts and moves the cursor; an empty page is stored only if
+# kept; the scan ends with an empty or a short page, or fails when its page budget is used up.
 _LOOP = """
 WITH facts AS (
-  SELECT run, page, variant, body,
+  SELECT run, page, variant, body, fetch_error, load_error,
          CASE WHEN variant IN (47, 48, 49) THEN NULL WHEN variant = 45 THEN 0
-              ELSE json_array_length(CASE WHEN variant = 46 THEN body ELSE body->'data'->'items' END) END AS n
-  FROM page_bodies),
+              ELSE json_array_length(CASE WHEN variant = 46 THEN body ELSE body->'data'->'items' END) END AS n,
+         CASE WHEN fetch_error IS NOT NULL THEN fetch_error
+              WHEN variant IN (47, 48, 49) THEN 'MalformedResponseError'
+              WHEN variant <> 45 AND contains(body, '"cents":"n/a"') THEN 'LoadFailed'
+              ELSE load_error END AS error
+  FROM @pages),
 started AS (SELECT *, CASE WHEN cursor IS NULL THEN start_page ELSE CAST(cursor AS BIGINT) END AS start FROM landed_runs),
 readable AS (
-  SELECT f.*, s.start, s.page_size, s.max_pages, s.retain_empty, n IS NULL AS broken,
-         coalesce(n = 0 OR n < page_size, false) AS ends, row_number() OVER (PARTITION BY f.run ORDER BY page) AS rn
+  SELECT f.*, s.start, s.page_size, s.max_pages, s.retain_empty, s.config_id, s.tenant_uuid, s.pages_extracted,
+         error IS NOT NULL AS broken, coalesce(n = 0 OR n < page_size, false) AS ends,
+         row_number() OVER (PARTITION BY f.run ORDER BY page) AS rn
   FROM facts f JOIN started s ON s.run = f.run AND f.page >= s.start),
 visited AS (
   SELECT * FROM (SELECT *, coalesce(sum(CASE WHEN broken OR ends THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY rn
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
          FROM readable WHERE page = start + rn - 1) t
   WHERE stopped = 0 AND rn <= max_pages),
-processed AS (SELECT * FROM visited WHERE NOT broken AND (n > 0 OR retain_empty))
+processed AS (SELECT * FROM visited WHERE NOT broken AND (n > 0 OR retain_empty)),
+kept_raw AS (SELECT *, NOT broken AS loaded FROM visited
+             WHERE (NOT broken AND (n > 0 OR retain_empty))
+                OR (broken AND fetch_error IS NULL AND variant NOT IN (47, 48, 49)))
 """
-
-
-def _ingest(spark, sf_dir):
-    return ingest(
-        fixture(spark, sf_dir, "page_bodies").select("run", "page", "body"),
-        fixture(spark, sf_dir, "landed_runs"),
-        RECORDS_PATH,
-        MAPPING,
-        TYPES,
-    )
-
-
-@query(
-    "run_execution",
-    _LOOP
-    + """, last AS (SELECT * FROM visited QUALIFY row_number() OVER (PARTITION BY run ORDER BY rn DESC) = 1),
+_STATES = """, last AS (SELECT * FROM visited QUALIFY row_number() OVER (PARTITION BY run ORDER BY rn DESC) = 1),
       done AS (SELECT run, count(*) AS pages, CAST(sum(n) AS BIGINT) AS records, max(page) AS page,
                       max_by(CASE WHEN ends THEN CAST(page AS VARCHAR) ELSE CAST(page + 1 AS VARCHAR) END, page) AS cursor
                FROM processed GROUP BY run)
       SELECT s.run, CASE WHEN l.run IS NULL THEN 'incomplete' WHEN l.broken THEN 'failed' WHEN l.ends THEN 'succeeded'
                WHEN l.rn = l.max_pages THEN 'failed' ELSE 'incomplete' END AS status,
-             CASE WHEN l.run IS NULL THEN NULL WHEN l.broken THEN 'MalformedResponseError' WHEN l.ends THEN NULL
+             CASE WHEN l.run IS NULL THEN NULL WHEN l.broken THEN l.error WHEN l.ends THEN NULL
                WHEN l.rn = l.max_pages THEN 'PageLimitExceededError' END AS category,
-             coalesce(d.pages, 0) AS pages_extracted, coalesce(d.records, 0) AS records_extracted,
-             coalesce(d.records, 0) AS records_loaded, coalesce(d.pages, 0) AS raw_payload_count,
-             d.cursor AS last_successful_cursor, coalesce(d.page, s.start - 1) AS last_page
-      FROM started s LEFT JOIN last l ON l.run = s.run LEFT JOIN done d ON d.run = s.run""",
-)
+             s.pages_extracted + coalesce(d.pages, 0) AS pages_extracted,
+             s.records_extracted + coalesce(d.records, 0) AS records_extracted,
+             s.records_loaded + coalesce(d.records, 0) AS records_loaded,
+             s.raw_payload_count + coalesce(d.pages, 0) AS raw_payload_count,
+             coalesce(d.cursor, s.cursor) AS last_successful_cursor, coalesce(d.page, s.start - 1) AS last_page
+      FROM started s LEFT JOIN last l ON l.run = s.run LEFT JOIN done d ON d.run = s.run"""
+_RAW = """SELECT run, pages_extracted + page - start + 1 AS sequence, page, sha256(body) AS checksum_sha256,
+                CAST(octet_length(encode(body)) AS BIGINT) AS size_bytes, CAST(n AS BIGINT) AS item_count,
+                loaded AS loaded_successfully,
+                concat(config_id, '/', run, '/', format('{:06d}', pages_extracted + page - start + 1), '-', sha256(body), '.raw') AS logical_key,
+                concat('s3://raw/', CASE WHEN tenant_uuid IS NULL THEN '' ELSE concat(tenant_uuid, '/') END,
+                       config_id, '/', run, '/', format('{:06d}', pages_extracted + page - start + 1), '-', sha256(body), '.raw') AS storage_uri
+         FROM kept_raw"""
+_LOADED = """SELECT p.run, p.page, o.o_orderkey AS order_id, o.o_custkey AS customer_id, o.cents,
+                CASE WHEN o.o_orderkey % 7 > 1 THEN concat('n', o.o_orderkey % 10) END AS note
+         FROM processed p JOIN order_pages o ON o.run = p.run AND o.page = p.page
+         WHERE p.variant <> 45 AND (p.variant NOT BETWEEN 40 AND 44 OR o.o_orderkey % 100 < 60)"""
+
+
+def _loop(pages: str) -> str:
+    plain = "(SELECT *, CAST(NULL AS VARCHAR) AS fetch_error, CAST(NULL AS VARCHAR) AS load_error FROM page_bodies) b"
+    return _LOOP.replace("@pages", plain if pages == "page_bodies" else pages)
+
+
+def _ingest(spark, sf_dir, pages="troubled_pages"):
+    landed = fixture(spark, sf_dir, pages).drop("variant")
+    return ingest(landed, fixture(spark, sf_dir, "landed_runs"), RECORDS_PATH, MAPPING, TYPES)
+
+
+@query("run_execution", _loop("page_bodies") + _STATES)
 def run_execution(spark, sf_dir):
+    return _ingest(spark, sf_dir, "page_bodies").states
+
+
+@query("run_raw_records", _loop("troubled_pages") + _RAW)
+def run_raw_records(spark, sf_dir):
+    return _ingest(spark, sf_dir).raw_records
+
+
+@query("run_loaded_rows", _loop("troubled_pages") + _LOADED)
+def run_loaded_rows(spark, sf_dir):
+    return _ingest(spark, sf_dir).loaded.drop("pos")
+
+
+@query("load_failure_cutoff", _loop("troubled_pages") + _STATES)
+def load_failure_cutoff(spark, sf_dir):
     return _ingest(spark, sf_dir).states
 
 
+def _numbered(sql: str, k: int) -> str:
+    """The loop's tables under names of their own."""
+    return re.sub(r"\b(facts|started|readable|visited|processed|kept_raw|last|done)\b", rf"\1_{k}", sql)
+
+
+# A first attempt over pages in which things went wrong, then a second one of the runs that failed,
+# over the mended pages and from the state that the first one left.
 @query(
-    "run_raw_records",
-    _LOOP
-    + """SELECT run, page - start + 1 AS sequence, page, sha256(body) AS checksum_sha256,
-                CAST(octet_length(encode(body)) AS BIGINT) AS size_bytes, CAST(n AS BIGINT) AS item_count,
-                true AS loaded_successfully,
-                concat(run, '/', run, '/', format('{:06d}', page - start + 1), '-', sha256(body), '.raw') AS logical_key
-         FROM processed""",
+    "resumed_execution",
+    _numbered(_loop("troubled_pages") + _STATES.replace("SELECT s.run, CASE", "states_1 AS (SELECT s.run, CASE", 1).replace(
+        "GROUP BY run)", "GROUP BY run),", 1), 1)
+    + """),
+      retried AS (
+        SELECT r.run, r.config_id, r.start_page, r.page_size, r.max_pages, s.last_successful_cursor AS cursor, r.retain_empty,
+               s.pages_extracted, s.records_extracted, s.records_loaded, s.raw_payload_count, r.tenant_uuid
+        FROM landed_runs r JOIN states_1 s ON s.run = r.run WHERE s.status = 'failed'),"""
+    + _numbered(_loop("page_bodies").replace("WITH facts", "facts").replace("FROM landed_runs", "FROM retried") + _STATES, 2),
 )
-def run_raw_records(spark, sf_dir):
-    return _ingest(spark, sf_dir).raw_records
+def resumed_execution(spark, sf_dir):
+    runs = fixture(spark, sf_dir, "landed_runs")
+    states = _ingest(spark, sf_dir).states
+    again = (
+        runs.drop("cursor", "pages_extracted", "records_extracted", "records_loaded", "raw_payload_count")
+        .join(states.where("status = 'failed'").withColumnRenamed("last_successful_cursor", "cursor"), "run")
+        .drop("status", "category", "last_page")
+    )
+    landed = fixture(spark, sf_dir, "page_bodies").select("run", "page", "body")
+    return ingest(landed, again, RECORDS_PATH, MAPPING, TYPES).states
 
 
 @query(
-    "run_loaded_rows",
-    _LOOP
-    + """SELECT p.run, p.page, o.o_orderkey AS order_id, o.o_custkey AS customer_id, o.cents,
-                CASE WHEN o.o_orderkey % 7 > 1 THEN concat('n', o.o_orderkey % 10) END AS note
-         FROM processed p JOIN order_pages o ON o.run = p.run AND o.page = p.page
-         WHERE p.variant <> 45 AND (p.variant NOT BETWEEN 40 AND 44 OR o.o_orderkey % 100 < 60)""",
+    "map_type_failures",
+    """SELECT run, page, count(*) AS bad_records, 0 AS first_pos, 'LoadFailed' AS category
+       FROM troubled_pages JOIN order_pages USING (run, page)
+       WHERE (run * 12 + page) % 29 = 9 AND troubled_pages.variant NOT IN (45, 47, 48, 49)
+         AND (troubled_pages.variant NOT BETWEEN 40 AND 44 OR o_orderkey % 100 < 60)
+       GROUP BY run, page""",
 )
-def run_loaded_rows(spark, sf_dir):
-    return _ingest(spark, sf_dir).loaded.drop("pos")
+def map_type_failures(spark, sf_dir):
+    pages = fixture(spark, sf_dir, "troubled_pages").select("run", "page", "body")
+    return type_failures(extract_records(pages, RECORDS_PATH), MAPPING, TYPES)
 
 
 @query(

@@ -115,14 +115,67 @@ def test_both_readers_see_the_same_pages(spark, tmp_path, rows):
 # --- whole runs --------------------------------------------------------------------
 
 
-def ingested(spark, pages, strict=False, **settings):
-    df = spark.createDataFrame([(r, p, t) for (r, p), t in pages.items()], "run bigint, page bigint, body string")
-    setting = {"page_size": None, "max_pages": 500, "cursor": None, **settings}
-    runs = spark.createDataFrame([(1, 1, setting["page_size"], setting["max_pages"], setting["cursor"], False)], RUN)
-    result = ingest(df, runs, "results", MAPPING, TYPES, strict)
+COUNTED = ["pages_extracted", "records_extracted", "records_loaded", "raw_payload_count"]
+
+
+def ingested(spark, pages, strict=False, saved=None, mapping=MAPPING, troubles=None, extra=None, **settings):
+    rows = [(r, p, t, *(troubles or {}).get((r, p), (None, None))) for (r, p), t in pages.items()]
+    df = spark.createDataFrame(rows, "run bigint, page bigint, body string, fetch_error string, load_error string")
+    setting = {"page_size": None, "max_pages": 500, "cursor": saved and saved.last_successful_cursor, **settings}
+    counters = [saved[c] if saved else 0 for c in COUNTED]
+    runs = spark.createDataFrame(
+        [(1, 1, setting["page_size"], setting["max_pages"], setting["cursor"], False, *counters)],
+        RUN + "".join(f", {c} bigint" for c in COUNTED),
+    )
+    result = ingest(df, runs if saved else runs.drop(*COUNTED), "results", mapping, TYPES, strict, **(extra or {}))
     return result, result.states.first()
 
 
+def test_saved_cursor_survives_a_run_without_a_page(spark):
+    _, state = ingested(spark, {(1, 3): body(policy(3)), (1, 4): "not json"}, cursor="4")
+    assert (state.status, state.category, state.last_successful_cursor, state.pages_extracted) == (
+        "failed", "MalformedResponseError", "4", 0,
+    )
+
+
+def test_nothing_is_read_without_a_mapping(spark):
+    result, state = ingested(spark, {(1, 1): body(policy(1))}, mapping={}, cursor="1")
+    assert (state.status, state.category, state.last_successful_cursor) == ("failed", "MappingError", "1")
+    assert result.raw_records.isEmpty() and result.loaded.isEmpty()
+
+
+def test_misfit_fails_the_load_and_keeps_the_raw_page(spark, rows):
+    pages = {(1, 1): body(policy(1)), (1, 2): body(policy(2), {"id": "P9", "premium": "abc"}), (1, 3): body(policy(3))}
+    result, state = ingested(spark, pages)
+    assert (state.status, state.category, state.pages_extracted, state.last_successful_cursor) == ("failed", "LoadFailed", 1, "2")
+    assert rows(result.raw_records, "sequence", "loaded_successfully") == [(1, True), (2, False)]
+    assert rows(result.loaded, "policy_id", "premium") == [("P1", 100)]
+
+
+def test_fetch_and_load_errors_end_a_run(spark, rows):
+    pages = {(1, p): body(policy(p)) for p in range(1, 5)}
+    lost, state = ingested(spark, pages, troubles={(1, 3): ("FetchFailed", None)})
+    assert (state.category, state.pages_extracted, lost.raw_records.count()) == ("FetchFailed", 2, 2)
+    refused, state = ingested(spark, pages, troubles={(1, 3): (None, "LoadFailed")})
+    assert (state.category, state.pages_extracted, refused.raw_records.count(), refused.loaded.count()) == ("LoadFailed", 2, 3, 2)
+
+
+def test_both_ways_of_joining_give_the_same(spark, rows):
+    pages = {(1, p): body(policy(p), policy(10 + p)) for p in range(1, 6)}
+    few, _ = ingested(spark, pages, max_pages=4)
+    many, _ = ingested(spark, pages, max_pages=4, extra={"broadcast_rows": 0})
+    for one, other in ((few.states, many.states), (few.raw_records, many.raw_records), (few.loaded, many.loaded)):
+        assert rows(one, *sorted(one.columns)) == rows(other, *sorted(one.columns))
+
+
+def test_pages_are_cut_before_they_are_parsed(spark):
+    pages = spark.createDataFrame([(1, 1, body(policy(1)))], "run bigint, page bigint, body string")
+    runs = spark.createDataFrame([(1, 1, None, 5, "1", False)], RUN)
+    result = ingest(pages, runs, "results", MAPPING, TYPES)
+    plan = result.loaded._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+    assert plan.index("parsejson") < plan.index("join")
+
+
 def test_short_last_page_succeeds_and_leaves_its_own_cursor(spark, rows):
     result, state = ingested(spark, {(1, 1): body(policy(1), policy(2)), (1, 2): body(policy(3))}, page_size=2)
     assert (state.status, state.pages_extracted, state.records_loaded, state.last_successful_cursor) == ("succeeded", 2, 3, "2")
@@ -135,8 +188,9 @@ def test_page_limit_keeps_its_pages_and_the_next_cursor(spark):
     result, state = ingested(spark, pages, max_pages=3)
     assert (state.status, state.category) == ("failed", "PageLimitExceededError")
     assert (state.pages_extracted, state.last_successful_cursor, result.loaded.count()) == (3, "4", 3)
-    _, resumed = ingested(spark, {**pages, (1, 6): body()}, cursor=state.last_successful_cursor)
-    assert (resumed.status, resumed.pages_extracted) == ("succeeded", 2)
+    again, resumed = ingested(spark, {**pages, (1, 6): body()}, saved=state)
+    assert (resumed.status, resumed.pages_extracted, resumed.records_extracted) == ("succeeded", 5, 5)
+    assert sorted(r.sequence for r in again.raw_records.collect()) == [4, 5]
 
 
 def test_malformed_page_stores_nothing(spark):
