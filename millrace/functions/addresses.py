@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 INVALID = "invalid"
 
@@ -37,7 +36,8 @@ def ipv4_number(address: Column) -> Column:
     parts = F.split(address, r"\.")
     octets = [F.try_element_at(parts, F.lit(i)).try_cast("bigint") for i in range(1, 5)]
     number = octets[0] * (1 << 24) + octets[1] * (1 << 16) + octets[2] * (1 << 8) + octets[3]
-    well_formed = address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    # A leading zero might mean an octal number elsewhere, so it is refused.
+    well_formed = address.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$")
     return F.when(well_formed & (F.greatest(*octets) <= 255), number)
 
 
@@ -51,34 +51,95 @@ def ipv4_category(address: Column) -> Column:
     return category
 
 
-@F.pandas_udf(StringType())
-def _ipv6_category(addresses: pd.Series) -> pd.Series:
-    """Batches of IPv6 texts; other rows arrive as NULL and stay NULL."""
+# --- fixed values: blocked IPv6 ranges, first match wins ---
+IPV6_RANGES = [
+    ("loopback", "::1/128"),
+    ("link-local", "fe80::/10"),
+    ("multicast", "ff00::/8"),
+    ("unspecified", "::/128"),
+    (None, "2001:1::1/128"),
+    (None, "2001:1::2/128"),
+    (None, "2001:3::/32"),
+    (None, "2001:4:112::/48"),
+    (None, "2001:20::/28"),
+    (None, "2001:30::/28"),
+    ("private", "64:ff9b:1::/48"),
+    ("private", "100::/64"),
+    ("private", "2001::/23"),
+    ("private", "2001:db8::/32"),
+    ("private", "2002::/16"),
+    ("private", "fc00::/7"),
+]
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def category(text):
-        if text is None:
-            return None
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return INVALID
-        tests = {
-            "loopback": ip.is_loopback,
-            "link-local": ip.is_link_local,
-            "multicast": ip.is_multicast,
-            "unspecified": ip.is_unspecified,
-            "private": ip.is_private,
-        }
-        return next((name for name, hit in tests.items() if hit), None)
 
-    return addresses.map(category, na_action="ignore").astype(object)
+def ipv6_groups(address: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers, NULL when it is not one.
+
+    A zone after ``%`` is left out; a dotted tail counts as two groups.
+    """
+    none = F.array().cast("array<string>")
+
+    def without_zone(zone: Column) -> Column:
+        good = (F.size(zone) == 1) | ((F.size(zone) == 2) & (F.get(zone, F.lit(1)) != ""))
+        return F.when(good, F.get(zone, F.lit(0)))
+
+    def without_dots(plain: Column) -> Column:
+        tail = F.regexp_extract(plain, r"^.*:([^:]*\.[^:]*)$", 1)
+        head = F.regexp_replace(plain, r"[^:]*\.[^:]*$", "")
+        words = _with(ipv4_number(tail), lambda n: F.concat(head, F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(0xFFFF))))
+        return F.when(plain.contains("."), words).otherwise(plain)
+
+    def sides(halves: Column) -> Column:
+        parts = F.transform(halves, lambda h: F.when(h == "", none).otherwise(F.split(h, ":", -1)))
+        return F.when(F.size(halves) <= 2, parts)
+
+    def filled(parts: Column) -> Column:
+        missing = 8 - F.size(F.flatten(parts))
+        short = F.size(parts) == 2
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        whole = F.when(short, F.concat(F.get(parts, F.lit(0)), zeros, F.get(parts, F.lit(1)))).otherwise(F.get(parts, F.lit(0)))
+        return F.when(F.when(short, missing >= 1).otherwise(missing == 0), whole)
+
+    def numbers(groups: Column) -> Column:
+        good = F.forall(groups, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+        return F.when(good, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("bigint")))
+
+    plain = _with(F.split(address, "%"), without_zone)
+    halves = F.split(_with(plain, without_dots), "::", -1)
+    return _with(_with(_with(halves, sides), filled), numbers)
+
+
+def ipv6_category(address: Column) -> Column:
+    """Category of an IPv6 address; one that maps an IPv4 address has that one's."""
+
+    def category(groups: Column) -> Column:
+        mapped = (F.size(F.filter(F.slice(groups, 1, 5), lambda g: g != 0)) == 0) & (F.get(groups, F.lit(5)) == 0xFFFF)
+        pair = [F.get(groups, F.lit(k)) for k in (6, 7)]
+        dotted = F.concat_ws(".", *[x for g in pair for x in (F.shiftright(g, 8), g.bitwiseAND(255))])
+        found = F.when(groups.isNull(), INVALID).when(mapped, _with(dotted, ipv4_category))
+        for name, cidr in IPV6_RANGES:
+            block = ipaddress.ip_network(cidr)
+            bits = int(block.network_address)
+            inside = F.lit(True)
+            for k in range(8):
+                width = min(16, max(0, block.prefixlen - 16 * k))
+                if width:
+                    own = (bits >> (112 - 16 * k)) & 0xFFFF
+                    inside = inside & (F.shiftright(F.get(groups, F.lit(k)), 16 - width) == own >> (16 - width))
+            found = found.when(inside, F.lit(name).cast("string"))
+        return found
+
+    return _with(ipv6_groups(address), category)
 
 
 def address_category(address: Column) -> Column:
     """Blocking category of an IPv4 or IPv6 address, NULL when public.
 
-    Text that is no address is ``invalid``. Prefer :func:`ipv4_category` where
-    only IPv4 occurs: it stays inside the JVM.
+    Text that is no address is ``invalid``.
     """
-    is_v6 = address.contains(":")
-    return F.when(is_v6, _ipv6_category(F.when(is_v6, address))).otherwise(ipv4_category(address))
+    return F.when(address.contains(":"), ipv6_category(address)).otherwise(ipv4_category(address))

@@ -11,7 +11,7 @@ from millrace.schemas import CONTINUE_ROLES, MIGRATION_VIEW_ROLES, VIEW_ROLES
 def tenant_scope(rows: DataFrame, organizations: DataFrame, schema_name: str) -> DataFrame:
     """Rows of one tenant; an unknown tenant sees nothing."""
     active = organizations.where(F.col("schema_name") == schema_name).select("org_id")
-    return rows.join(F.broadcast(active.limit(1)), "org_id", "left_semi")
+    return rows.join(active, "org_id", "left_semi")
 
 
 def organizations_of(

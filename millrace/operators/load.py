@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import lookup, variant_kind
@@ -128,12 +128,12 @@ def duplicate_exposure(loaded: DataFrame, keys: list[str]) -> DataFrame:
 def keep_first(loaded: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first loaded row of each key in load order.
 
-    A minimum over whole rows combines before the shuffle, so a key with many
-    copies never reaches one task uncombined.
+    Every task keeps its first row of a key before the shuffle, so a key with
+    many copies never reaches one task as a whole. Rows that tie in ``order`` are
+    told apart by their other columns, as far as those have an order; VARIANT and
+    map columns are carried along.
     """
-    rest = [c for c in loaded.columns if c not in keys and c not in order]
-    return (
-        loaded.groupBy(*keys)
-        .agg(F.min(F.struct(*order, *rest)).alias("_first"))
-        .select(*keys, "_first.*")
-    )
+    unordered = ("variant", "map")
+    rest = [f.name for f in loaded.schema if f.name not in [*keys, *order] and f.dataType.typeName() not in unordered]
+    first = Window.partitionBy(*keys).orderBy(*order, *rest)
+    return loaded.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")

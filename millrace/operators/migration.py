@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import logical_key, object_uri, tenant_key, uri_key, uri_problem
 from millrace.operators.scaling import number_rows, running_totals
 from millrace.schemas import MIGRATION_BATCH, PROBLEM_SAMPLE
+from millrace.session import cut_lineage
 
 MIGRATED = "already_migrated"
 UNPREFIXED = "legacy_unprefixed"
@@ -32,8 +33,12 @@ COUNTERS = [
     "checksum_conflicts",
     "ready_for_migration",
     "records_skipped",
+    "records_migrated",
 ]
 
+# Keys that already begin with a tenant's identifier are never looked up by a pass.
+_TENANT_KEY = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}/"
+
 
 def classify_generation(records: DataFrame, bucket: str) -> DataFrame:
     """Key generation of each record, from its own columns rather than its URI.
@@ -62,16 +67,24 @@ def hash_objects(objects: DataFrame, body: str = "body") -> DataFrame:
     return objects.select("key", F.sha2(F.col(body).cast("binary"), 256).alias("actual_sha256"))
 
 
+def absent_objects(records: DataFrame, objects: DataFrame, bucket: str) -> DataFrame:
+    """Legacy records whose object isn't there, from the key listing alone: no body is read."""
+    legacy = classify_generation(records, bucket).where(F.col("generation").isin(UNPREFIXED, SCHEMA_PREFIXED))
+    return legacy.join(objects.select("key"), "key", "left_anti")
+
+
 def inspect_records(records: DataFrame, objects: DataFrame, bucket: str) -> DataFrame:
     """Finding for every record: migrated, unrecognised, missing, tampered or ready.
 
-    Only legacy records are looked up, and only checksums travel. Records that
+    Only legacy records are looked up, and only checksums travel. Objects at
+    tenant keys are left out before anything is hashed, so a store that is fully
+    migrated costs a listing and not its bodies. Records that
     need no lookup get a key of their own that matches nothing, because a shared
     NULL would send them all to one task.
     """
     classified = classify_generation(records, bucket)
     legacy = F.col("generation").isin(UNPREFIXED, SCHEMA_PREFIXED)
-    listing = hash_objects(objects)
+    listing = hash_objects(objects.where(~F.col("key").rlike(_TENANT_KEY)))
     probe = classified.withColumn(
         "probe_key",
         F.when(legacy, F.col("key")).otherwise(F.concat(F.lit("#"), "record_id")),
@@ -87,7 +100,7 @@ def inspect_records(records: DataFrame, objects: DataFrame, bucket: str) -> Data
     return found.withColumn("finding", finding).drop("probe_key", "actual_sha256")
 
 
-def _tests() -> dict[str, Column]:
+def _tests(migrated: bool) -> dict[str, Column]:
     finding, generation = F.col("finding"), F.col("generation")
     present = finding.isin("tampered", READY)
     return {
@@ -99,12 +112,14 @@ def _tests() -> dict[str, Column]:
         "checksum_conflicts": finding.isin("unrecognised", "tampered"),
         "ready_for_migration": finding == READY,
         "records_skipped": finding != READY,
+        "records_migrated": F.col("migrated") if migrated else F.lit(False),
     }
 
 
 def summarize(findings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Counters of one inspection, or one row per ``keys``."""
-    counts = [F.count_if(test).alias(name) for name, test in _tests().items()]
+    """Counters of one inspection, or one row per ``keys``; of a real pass if records say ``migrated``."""
+    tests = _tests("migrated" in findings.columns)
+    counts = [F.count_if(test).alias(name) for name, test in tests.items()]
     return findings.groupBy(*keys).agg(*counts)
 
 
@@ -128,11 +143,13 @@ def problem_sample(findings: DataFrame, limit: int = PROBLEM_SAMPLE) -> DataFram
     )
 
 
+def _new_key() -> Column:
+    return tenant_key(F.col("tenant_uuid"), F.col("expected_key"))
+
+
 def moved_objects(findings: DataFrame, objects: DataFrame) -> DataFrame:
     """Objects to append at tenant keys for ready records; old objects stay."""
-    ready = findings.where(F.col("finding") == READY).select(
-        "key", tenant_key(F.col("tenant_uuid"), F.col("expected_key")).alias("new_key")
-    )
+    ready = findings.where(F.col("finding") == READY).select("key", _new_key().alias("new_key"))
     # Sources of one new key hold the same verified bytes, so any of them will do.
     once = ready.groupBy("new_key").agg(F.min("key").alias("key"))
     fresh = once.join(objects.select(F.col("key").alias("new_key")), "new_key", "left_anti")
@@ -143,49 +160,76 @@ def moved_objects(findings: DataFrame, objects: DataFrame) -> DataFrame:
     )
 
 
-def repoint_records(findings: DataFrame, bucket: str) -> DataFrame:
-    """Records after a real pass: ready ones point at their tenant key."""
-    moved = object_uri(bucket, tenant_key(F.col("tenant_uuid"), F.col("expected_key")))
-    return findings.withColumns(
-        {
-            "storage_uri": F.when(F.col("finding") == READY, moved).otherwise(F.col("storage_uri")),
-            "migrated": F.col("finding") == READY,
-        }
+def reuse_conflicts(findings: DataFrame, objects: DataFrame) -> DataFrame:
+    """Ready records whose tenant key already holds other bytes than theirs.
+
+    Such an object must not be taken for the migrated one; a pass that meets it
+    ends with an integrity error, and the record keeps its legacy key. Only
+    objects at keys that a ready record would reuse are hashed.
+    """
+    ready = findings.where(F.col("finding") == READY).select("record_id", "checksum_sha256", _new_key().alias("new_key"))
+    reused = objects.join(ready.select(F.col("new_key").alias("key")).distinct(), "key", "left_semi")
+    return (
+        hash_objects(reused).withColumnRenamed("key", "new_key").join(ready, "new_key")
+        .where("actual_sha256 <> checksum_sha256")
+        .select("record_id", "new_key", "checksum_sha256", "actual_sha256", F.lit("RawPayloadIntegrityError").alias("category"))
+    )
+
+
+def repoint_records(findings: DataFrame, bucket: str, conflicts: DataFrame | None = None) -> DataFrame:
+    """Records after a real pass: ready ones point at their tenant key, unless it is in ``conflicts``."""
+    moves = F.col("finding") == READY
+    if conflicts is not None:
+        refused = conflicts.select("record_id", F.lit(True).alias("_refused"))
+        findings = findings.join(refused, "record_id", "left")
+        moves = moves & F.col("_refused").isNull()
+    moved = findings.withColumn("migrated", moves).drop("_refused")
+    return moved.withColumn(
+        "storage_uri", F.when(F.col("migrated"), object_uri(bucket, _new_key())).otherwise(F.col("storage_uri"))
+    )
+
+
+def _batches(thin: DataFrame, batch: int) -> DataFrame:
+    """Records with the number of their batch, in record-id order."""
+    return number_rows(thin, ["record_id"], "_position").withColumn(
+        "batch", F.floor(F.col("_position") / batch).cast("bigint")
     )
 
 
 def progress_reports(findings: DataFrame, batch: int = MIGRATION_BATCH) -> DataFrame:
-    """Counters as reported after each full batch of records, and once at the end.
+    """Counters as reported after each full batch of records, and once more at the end.
 
-    Batches follow record-id order. Records are folded to one row per batch
-    before anything is added up in order.
+    Batches follow record-id order. The last report is sent however many records
+    there are; it alone has the skipped count filled in, and stands behind the
+    batches under the number that follows them. Records are folded to one row per
+    batch before anything is added up in order.
     """
-    # The skipped count is only filled in when the pass ends, hence not here.
+    thin = [c for c in ("record_id", "finding", "generation", "migrated") if c in findings.columns]
+    numbered = cut_lineage(_batches(findings.select(*thin), batch))
     names = [n for n in COUNTERS if n != "records_skipped"]
-    numbered = number_rows(
-        findings.select("record_id", "finding", "generation"), ["record_id"], "_position"
-    )
-    per_batch = summarize(
-        numbered.withColumn("batch", F.floor(F.col("_position") / batch).cast("bigint")), ("batch",)
-    )
-    return running_totals(
+    per_batch = summarize(numbered, ("batch",)).withColumn("full", F.col("records_inspected") == batch)
+    running = running_totals(
         per_batch.withColumn("_all", F.lit(0)), ["_all"], "batch", {n: F.col(n) for n in names}
-    ).select("batch", *names)
+    ).where("full").select("batch", F.lit(False).alias("final"), *names, F.lit(0).cast("bigint").alias("records_skipped"))
+    after = F.ceil(F.col("records_inspected") / batch).cast("bigint")
+    whole = summarize(numbered).select(after.alias("batch"), F.lit(True).alias("final"), *names, "records_skipped")
+    return running.unionByName(whole)
 
 
 def cancelled_pass(
-    findings: DataFrame, cancels: DataFrame, batch: int = MIGRATION_BATCH
+    records: DataFrame, objects: DataFrame, bucket: str, cancels: DataFrame, batch: int = MIGRATION_BATCH
 ) -> DataFrame:
-    """Findings kept when a pass stops after the first full batch polled with a cancel.
+    """Findings of a pass that stops after the first full batch polled with a cancel.
 
-    ``cancels`` holds the batch numbers at whose end a cancel was pending.
+    ``cancels`` holds the batch numbers at whose end a cancel was pending. Record
+    ids are numbered first; only records up to the stop are inspected, and only
+    their objects looked at.
     """
-    numbered = number_rows(findings, ["record_id"], "_position").withColumn(
-        "batch", F.floor(F.col("_position") / batch).cast("bigint")
-    )
-    inspected = findings.agg(F.count(F.lit(1)).alias("n")).scalar()
-    stop = cancels.where((F.col("batch") + 1) * batch <= inspected).agg(F.min("batch")).scalar()
-    return numbered.where(F.coalesce(F.col("batch") <= stop, F.lit(True))).drop("_position")
+    numbered = cut_lineage(_batches(records.select("record_id"), batch).select("record_id", "batch"))
+    total = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
+    stop = cancels.where((F.col("batch") + 1) * batch <= total).agg(F.min("batch")).scalar()
+    polled = numbered.where(F.coalesce(F.col("batch") <= stop, F.lit(True)))
+    return inspect_records(records.join(polled, "record_id"), objects, bucket)
 
 
 def final_status(jobs: DataFrame) -> DataFrame:

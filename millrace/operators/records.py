@@ -40,10 +40,16 @@ def body_problem(data: Column, path: str) -> Column:
 
 
 def choose_records_path(config: Column) -> Column:
-    """Configured path, else configured key, else the default; only an empty path falls through."""
+    """Configured path, else configured key, else the default; only an empty path falls through.
+
+    A key that is there as null gives no path at all, so that the run fails.
+    """
     path = F.try_variant_get(config, "$.records_path", "string")
     key = F.try_variant_get(config, "$.records_key", "string")
-    return F.coalesce(F.when(path != "", path), key, F.lit(DEFAULT_RECORDS_PATH))
+    nulled = F.is_variant_null(F.try_variant_get(config, "$.records_key", "variant"))
+    return F.when(path != "", path).when(
+        F.coalesce(nulled, F.lit(False)), F.lit(None).cast("string")
+    ).otherwise(F.coalesce(key, F.lit(DEFAULT_RECORDS_PATH)))
 
 
 def page_facts(pages: DataFrame, path: str, body: str = "body") -> DataFrame:

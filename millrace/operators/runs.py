@@ -242,14 +242,18 @@ def continuation_lineage(runs: DataFrame) -> DataFrame:
 
     Pointer doubling: every round joins each unfinished link to the link of the
     run it points at, so a chain of any length takes its logarithm in rounds.
-    Each round is materialised in the checkpoint folder.
+    What is still open when the longest possible chain would have ended runs in a
+    circle: it has no first run, and both columns are NULL. Each round is
+    materialised in the checkpoint folder.
     """
     links = runs.where("continued_from IS NOT NULL").select(
         "run_id", F.col("continued_from").alias("root_run"), F.lit(1).cast("bigint").alias("depth"),
         F.lit(True).alias("open"),
     )
     state = cut_lineage(links)
-    while not state.where("open").isEmpty():
+    rounds = state.count().bit_length() + 1
+    while rounds and not state.where("open").isEmpty():
+        rounds -= 1
         ahead = state.select(
             F.col("run_id").alias("root_run"),
             F.col("root_run").alias("_root"),
@@ -264,11 +268,11 @@ def continuation_lineage(runs: DataFrame) -> DataFrame:
         state = cut_lineage(state.where("NOT open").unionByName(moved))
     return (
         runs.select("run_id")
-        .join(state.drop("open"), "run_id", "left")
+        .join(state, "run_id", "left")
         .select(
             "run_id",
-            F.coalesce("root_run", "run_id").alias("root_run"),
-            F.coalesce("depth", F.lit(0)).alias("depth"),
+            F.when(~F.coalesce("open", F.lit(False)), F.coalesce("root_run", "run_id")).alias("root_run"),
+            F.when(~F.coalesce("open", F.lit(False)), F.coalesce("depth", F.lit(0))).alias("depth"),
         )
     )
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import cut_lineage
 
-SALTS = 16
+#: Salts for a key at least; more where shuffles have many partitions.
+LEAST_SALTS = 16
 BUCKET_ROWS = 250_000
 BROADCAST_ROWS = 500_000
 
@@ -35,12 +36,12 @@ def spread_join(
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join many rows to one row per key, splitting each key over ``salts`` tasks.
 
     ``per_key`` is repeated once per salt, so a key holding a third of ``rows``
-    is divided by ``salts``; ``spread_by`` must vary inside a key. ``how`` may be
+    is divided by ``salts`` (an eighth of the shuffle partitions unless given); ``spread_by`` must vary inside a key. ``how`` may be
     inner, left, left_semi or left_anti. Meant for a ``per_key`` side far smaller
     than ``rows``, such as one row per run against its pages; where the sides are
     of like size the repetition would cost more than the skew, and a plain join
@@ -48,6 +49,9 @@ def spread_join(
     broadcast by adaptive execution either way.
     """
     keys = list(keys)
+    if salts is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(LEAST_SALTS, partitions // 8)
     salted = rows.withColumn(
         _SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     )

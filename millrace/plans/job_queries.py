@@ -267,6 +267,17 @@ def tenant_scope(spark, sf_dir):
     )
 
 
+@query(
+    "org_listing",
+    """SELECT org_id, name FROM organizations
+       WHERE org_id IN (SELECT org_id FROM memberships WHERE user_id = 6 AND role IN ('owner', 'admin'))""",
+)
+def org_listing(spark, sf_dir):
+    return access.organizations_of(
+        fixture(spark, sf_dir, "organizations"), fixture(spark, sf_dir, "memberships"), 6, False
+    ).select("org_id", "name")
+
+
 @query(
     "visible_orgs",
     """SELECT user_id, bool_or(is_staff) AS is_staff, CASE WHEN bool_or(is_staff) THEN (SELECT count(*) FROM organizations)

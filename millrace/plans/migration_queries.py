@@ -52,11 +52,9 @@ def key_generation(spark, sf_dir):
     _INSPECTED + "SELECT record_id, generation, storage_uri FROM inspected WHERE finding = 'missing'",
 )
 def missing_objects(spark, sf_dir):
-    return (
-        _findings(spark, sf_dir)
-        .where("finding = 'missing'")
-        .select("record_id", "generation", "storage_uri")
-    )
+    return migration.absent_objects(
+        fixture(spark, sf_dir, "storage_records").drop("payload"), fixture(spark, sf_dir, "storage_objects"), BUCKET
+    ).select("record_id", "generation", "storage_uri")
 
 
 @query(
@@ -76,7 +74,7 @@ def checksum_conflicts(spark, sf_dir):
     "migration_summary",
     _INSPECTED
     + f"SELECT schema_name, {_COUNTS}, count(*) FILTER (finding <> 'ready') AS records_skipped"
-    + " FROM inspected GROUP BY schema_name",
+    + ", CAST(0 AS BIGINT) AS records_migrated FROM inspected GROUP BY schema_name",
 )
 def migration_summary(spark, sf_dir):
     return migration.summarize(_findings(spark, sf_dir), ("schema_name",))
@@ -130,12 +128,49 @@ def moved_objects(spark, sf_dir):
     _INSPECTED
     + f""", numbered AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY record_id) - 1) / 100) AS BIGINT) AS batch
                         FROM inspected)
-        SELECT b.batch, {_COUNTS}
-        FROM (SELECT DISTINCT batch FROM numbered) b JOIN numbered n ON n.batch <= b.batch
-        GROUP BY b.batch""",
+        SELECT b.batch, false AS final, {_COUNTS}, CAST(0 AS BIGINT) AS records_skipped,
+               count(*) FILTER (finding = 'ready') AS records_migrated
+        FROM (SELECT batch FROM numbered GROUP BY batch HAVING count(*) = 100) b JOIN numbered n ON n.batch <= b.batch
+        GROUP BY b.batch
+        UNION ALL
+        SELECT CAST(ceil(count(*) / 100) AS BIGINT), true, {_COUNTS}, count(*) FILTER (finding <> 'ready'),
+               count(*) FILTER (finding = 'ready')
+        FROM inspected""",
 )
 def migration_progress(spark, sf_dir):
-    return migration.progress_reports(_findings(spark, sf_dir))
+    return migration.progress_reports(migration.repoint_records(_findings(spark, sf_dir), BUCKET))
+
+
+@query(
+    "migration_reuse_conflict",
+    _INSPECTED
+    + """SELECT record_id, concat(tenant_uuid, '/', lk) AS new_key, checksum_sha256,
+                'RawPayloadIntegrityError' AS category
+         FROM inspected WHERE finding = 'ready' AND record_id % 7 = 2""",
+)
+def migration_reuse_conflict(spark, sf_dir):
+    findings = _findings(spark, sf_dir)
+    objects = fixture(spark, sf_dir, "storage_objects")
+    # Some tenant keys are taken already, half of them by other bytes.
+    taken = fixture(spark, sf_dir, "storage_records").where("record_id % 7 IN (2, 3) AND record_id % 5 IN (1, 2, 4)")
+    lk = F.format_string("%s/%s/%06d-%s.raw", F.col("config_id").cast("string"), F.col("run").cast("string"), "sequence", "checksum_sha256")
+    body = F.when(F.col("record_id") % 7 == 2, F.concat("payload", F.lit("?"))).otherwise(F.col("payload"))
+    planted = taken.select(F.concat_ws("/", "tenant_uuid", lk).alias("key"), F.lit("application/json").alias("content_type"), body.alias("body"))
+    return migration.reuse_conflicts(findings, objects.unionByName(planted)).drop("actual_sha256")
+
+
+@query(
+    "migration_rerun",
+    _INSPECTED
+    + """SELECT record_id, CASE WHEN finding = 'ready' THEN 'already_migrated' ELSE finding END AS finding FROM inspected""",
+)
+def migration_rerun(spark, sf_dir):
+    records = fixture(spark, sf_dir, "storage_records").drop("payload")
+    objects = fixture(spark, sf_dir, "storage_objects")
+    found = migration.inspect_records(records, objects, BUCKET)
+    grown = objects.unionByName(migration.moved_objects(found, objects).select(*objects.columns))
+    moved = migration.repoint_records(found, BUCKET, migration.reuse_conflicts(found, objects))
+    return migration.inspect_records(moved.select(*records.columns), grown, BUCKET).select("record_id", "finding")
 
 
 @query(
@@ -147,11 +182,13 @@ def migration_progress(spark, sf_dir):
          WHERE batch <= (SELECT min(CAST(floor(doc_id / 100) AS BIGINT)) FROM documents WHERE n_chars > 5000)""",
 )
 def migration_cancelled(spark, sf_dir):
-    findings = _findings(spark, sf_dir)
+    records = fixture(spark, sf_dir, "storage_records").drop("payload")
     cancels = (
         fixture(spark, sf_dir, "raw_payloads")
         .where("item_count > 5000")
         .select(F.floor(F.col("arrival") / 100).cast("bigint").alias("batch"))
         .distinct()
     )
-    return migration.cancelled_pass(findings, cancels).select("record_id", "batch", "finding")
+    return migration.cancelled_pass(
+        records, fixture(spark, sf_dir, "storage_objects"), BUCKET, cancels
+    ).select("record_id", "batch", "finding")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.operators.mapping import misfits
 from millrace.schemas import DEFAULT_LOAD_BATCH
 
 
@@ -55,13 +56,17 @@ def fit_to_table(rows: DataFrame, table: StructType) -> DataFrame:
 def append_load(rows: DataFrame, path: str, mode: str = "append") -> int:
     """Append rows to a provisioned table and return how many were written.
 
-    Refusals come in a fixed order: mode, missing table, unknown columns. The
+    No rows are no load, whether or not there is a table. Refusals come in a
+    fixed order: mode, missing table, unknown columns, values that can't become
+    their column's type. The
     count is observed while writing, so the rows are computed once. Spark's
     commit protocol publishes the files of a finished job only, and a repeated
     task replaces its own output.
     """
     if mode != "append":
         raise LoadRefused("UnsupportedCapability", f"only append is supported, not {mode!r}")
+    if rows.isEmpty():
+        return 0
     spark = rows.sparkSession
     table = destination_schema(spark, path)
     if table is None:
@@ -72,6 +77,10 @@ def append_load(rows: DataFrame, path: str, mode: str = "append") -> int:
             "SchemaMismatchError",
             f"destination has no column(s) {unknown}; known columns: {sorted(table.names)}",
         )
+    kinds = {f.name: f.dataType.simpleString() for f in table.fields}
+    variants = {f.name: F.col(f.name) for f in rows.schema.fields if f.dataType.typeName() == "variant"}
+    if variants and not rows.where(misfits(variants, {c: kinds[c] for c in variants})).isEmpty():
+        raise LoadRefused("LoadFailed", f"a value doesn't fit its column among {sorted(variants)}")
     written = Observation()
     fitted = fit_to_table(rows, table).observe(written, F.count(F.lit(1)).alias("rows"))
     fitted.write.mode("append").parquet(path)
@@ -97,7 +106,7 @@ def jdbc_options(
 
 
 def append_jdbc(rows: DataFrame, options: dict[str, str]) -> None:
-    """Append to an existing JDBC table.
+    """Append to an existing JDBC table; not run by the tests, which may start no database.
 
     Each task commits on its own, so a lost executor can leave rows that its
     repeat inserts again: delivery is at least once, see the duplicate report.

@@ -90,7 +90,6 @@ def test_hot_run_progress(spark):
 
 
 FORBIDDEN = ["CartesianProduct", "BatchEvalPython", "MapInPandas", "FlatMapGroups"]
-ARROW_ALLOWED = {"address_category_v6"}
 
 
 @pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no tables here")
@@ -103,7 +102,7 @@ def test_plans_stay_in_the_jvm_without_cross_joins(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not [word for word in FORBIDDEN if word in plan]
     assert "BroadcastNestedLoopJoin" not in plan
-    assert ("ArrowEvalPython" in plan) == (name in ARROW_ALLOWED)
+    assert "ArrowEvalPython" not in plan
 
 
 def test_filters_and_columns_reach_the_scan(spark):

@@ -142,7 +142,7 @@ def test_summary_adds_up(spark):
     total = migration.summarize(migration.inspect_records(*stored(spark, KINDS), "pile")).first().asDict()
     assert total == {
         "records_inspected": 8, "already_migrated": 1, "legacy_unprefixed": 2, "schema_prefixed": 2,
-        "missing_objects": 1, "checksum_conflicts": 3, "ready_for_migration": 3, "records_skipped": 5,
+        "missing_objects": 1, "checksum_conflicts": 3, "ready_for_migration": 3, "records_skipped": 5, "records_migrated": 0,
     }
     assert total["records_inspected"] == total["records_skipped"] + total["ready_for_migration"]
 
@@ -166,13 +166,26 @@ def test_problem_sample_is_bounded_ordered_and_free_of_bodies(spark):
 
 
 def test_progress_and_cancel_follow_batches(spark, rows):
-    found = migration.inspect_records(*stored(spark, KINDS), "pile")
-    reports = rows(migration.progress_reports(found, batch=3), "batch", "records_inspected", "ready_for_migration")
-    assert reports == [(0, 3, 2), (1, 6, 3), (2, 8, 3)]
+    records, objects = stored(spark, KINDS)
+    found = migration.repoint_records(migration.inspect_records(records, objects, "pile"), "pile")
+    reports = rows(migration.progress_reports(found, batch=3), "batch", "final", "records_inspected", "records_migrated", "records_skipped")
+    assert reports == [(0, False, 3, 2, 0), (1, False, 6, 3, 0), (3, True, 8, 3, 5)]
+    # A count that is a multiple of the batch gets its last report as well.
+    assert rows(migration.progress_reports(found, batch=4), "batch", "final") == [(0, False), (1, False), (2, True)]
     cancels = spark.createDataFrame([(1,), (2,)], "batch bigint")
-    assert migration.cancelled_pass(found, cancels, batch=3).count() == 6
+    assert migration.cancelled_pass(records, objects, "pile", cancels, batch=3).count() == 6
     # The last batch is not full, so a cancel pending there comes too late.
-    assert migration.cancelled_pass(found, cancels.where("batch = 2"), batch=3).count() == 8
+    assert migration.cancelled_pass(records, objects, "pile", cancels.where("batch = 2"), batch=3).count() == 8
+
+
+def test_other_bytes_at_the_new_key_are_no_migration(spark, rows):
+    records, objects = stored(spark, KINDS)
+    found = migration.inspect_records(records, objects, "pile")
+    new = migration.moved_objects(found, objects).select(*objects.columns)
+    spoiled = objects.unionByName(new.withColumn("body", F.lit("corrupt").cast(objects.schema["body"].dataType)))
+    conflicts = migration.reuse_conflicts(found, spoiled)
+    assert conflicts.count() == 3 and migration.reuse_conflicts(found, objects.unionByName(new)).isEmpty()
+    assert migration.repoint_records(found, "pile", conflicts).where("migrated").isEmpty()
 
 
 @pytest.mark.parametrize(

@@ -143,3 +143,29 @@ def test_allowlists_and_the_all_addresses_rule(spark, rows):
         ("any.test", False, None), ("in.test", True, "loopback"), ("none.test", True, "unresolved"),
         ("ok.test", False, None), ("out.test", True, "private"),
     ]
+
+
+def test_ipv6_against_the_standard_library(spark):
+
+    draw = random.Random(3)
+    texts = ["::", "::1", "1::", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::ffff:127.0.0.1", "fe80::1%eth0", "fe80::1%", "1::2::3", ":::", "1:2:3:4:5:6:7",
+             "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "12345::", "g::", "64:ff9b:1::1", "2001:db8::1", "2001:1::1", "2001:3::1",
+             "2002::1", "ff02::1", "fc00::1", "::1.2.3.4", "1::1.2.3.4.5", "::01.2.3.4", ":1", "1:", "2606:4700::1111"]
+    texts += [":".join(draw.choice(["", "0", "1", "ff", "fe80", "2001", "db8", "ffff"]) for _ in range(draw.randint(2, 9))) for _ in range(600)]
+
+    def want(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return "invalid"
+        tests = [("loopback", ip.is_loopback), ("link-local", ip.is_link_local), ("multicast", ip.is_multicast), ("unspecified", ip.is_unspecified), ("private", ip.is_private)]
+        return next((name for name, hit in tests if hit), None)
+
+    texts = [t for t in texts if ":" in t]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select("a", address_category(F.col("a")).alias("c")).collect()
+    assert [(r.a, r.c, want(r.a)) for r in rows if r.c != want(r.a)] == []
+
+
+def test_leading_zeros_are_no_address(spark):
+    rows = spark.createDataFrame([("008.8.8.8",), ("8.8.8.08",), ("0.8.8.8",), ("8.8.8.8",)], "a string")
+    assert [r.c for r in rows.select(address_category(F.col("a")).alias("c")).collect()] == ["invalid", "invalid", "private", None]
