@@ -225,17 +225,18 @@ def stream_dedupe(spark, sf_dir):
 
 
 def _stream_ingest(spark, sf_dir):
-    """Land page bodies as files, then ingest them as a stream."""
+    """Land page bodies as files, then ingest them as a stream of several batches."""
     out = scratch_path(spark, "stream-ingest")
     landing = fixture(spark, sf_dir, "page_bodies").select("run", "page", "body")
     landing.repartition(8, "run", "page").write.parquet(f"{out}/landing")
     source = stream.file_stream(spark, f"{out}/landing", landing.schema, files_per_batch=3)
+    runs = fixture(spark, sf_dir, "landed_runs")
     stream.drain(
         source,
-        stream.ingest_batches(f"{out}/raw", f"{out}/loaded", RECORDS_PATH, MAPPING, TYPES),
+        stream.ingest_batches(f"{out}/raw", f"{out}/loaded", RECORDS_PATH, MAPPING, TYPES, runs),
         f"{out}/progress",
     )
-    return spark.read.parquet(f"{out}/raw"), spark.read.parquet(f"{out}/loaded")
+    return out
 
 
 @query(
@@ -245,7 +246,7 @@ def _stream_ingest(spark, sf_dir):
        FROM page_bodies GROUP BY run""",
 )
 def stream_pages(spark, sf_dir):
-    raw, _ = _stream_ingest(spark, sf_dir)
+    raw = spark.read.parquet(f"{_stream_ingest(spark, sf_dir)}/raw/facts")
     return raw.groupBy("run").agg(
         F.count(F.lit(1)).alias("pages"),
         F.count("error").alias("malformed"),
@@ -253,16 +254,13 @@ def stream_pages(spark, sf_dir):
     )
 
 
-@query(
-    "stream_load",
-    """SELECT run, page, count(*) AS rows, CAST(sum(cents) AS BIGINT) AS cents
-       FROM order_pages
-       WHERE variant NOT IN (45, 47, 48, 49) AND (variant NOT BETWEEN 40 AND 44 OR o_orderkey % 100 < 60)
-       GROUP BY run, page""",
-)
+# The stream loads what the runs of a batch over the same pages load.
+@query("stream_load", _loop("page_bodies") + _LOADED)
 def stream_load(spark, sf_dir):
-    _, loaded = _stream_ingest(spark, sf_dir)
-    return loaded.groupBy("run", "page").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("cents").alias("cents")
-    )
+    return spark.read.parquet(f"{_stream_ingest(spark, sf_dir)}/loaded/rows").drop("pos", "batch")
+
 
+@query("stream_run_status", _loop("page_bodies") + _STATES + " WHERE s.run IN (SELECT run FROM page_bodies)")
+def stream_run_status(spark, sf_dir):
+    states = spark.read.parquet(f"{_stream_ingest(spark, sf_dir)}/loaded/states")
+    return stream.newest_updates(states, ["run"])

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from millrace.operators.mapping import map_records
-from millrace.operators.records import extract_records, page_facts
+from millrace.operators.paging import kept_pages, scan_outcomes
+from millrace.operators.records import extract_records
+from millrace.operators.scaling import computed_once
+from millrace.plans.ingestion import page_states, run_states, with_settings
+from millrace.session import cut_lineage
 from millrace.sources.sinks import write_batch
 
 
@@ -85,28 +90,75 @@ def first_deliveries(pages: DataFrame) -> DataFrame:
     return pages.dropDuplicates(["run", "sequence", "checksum_sha256"])
 
 
+def _earlier(spark: SparkSession, path: str, schema: StructType | str, batch_id: int) -> DataFrame:
+    """What batches before ``batch_id`` wrote below ``path``; nothing if there is none."""
+    try:
+        return spark.read.parquet(path).where(F.col("batch") < batch_id)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def ingest_batches(
     raw_path: str,
     loaded_path: str,
     records_path: str,
     mapping: dict[str, str],
     types: dict[str, str],
+    runs: DataFrame,
+    strict: bool = False,
 ) -> Callable[[DataFrame, int], None]:
-    """Handler that stores raw facts first, then maps and loads, one batch at a time.
-
-    Both writes carry the batch number, so a replay after a failure between
-    them replaces the raw side and loads once. The bodies of the batch are
-    read per write instead of being cached.
+    """Handler that applies the rules of a run to pages that arrive batch by batch.
+
+    Each batch stores what it brought first, bodies included, unless the same
+    version is stored already. Then the scans of the runs it touches are decided
+    anew over all stored facts, which are thin: where each run stops, and how. The
+    pages that a run may now load and hasn't loaded are read from the store,
+    mapped and loaded, so that a page which came early loads once the ones before
+    it are there, and nothing loads beyond an error, a terminal page or the page
+    budget. Statuses and loaded pages are written beside the rows.
+
+    All writes carry the batch number, and a batch looks at earlier ones only, so
+    a replay after a failure replaces what the failed one wrote. The page that
+    arrived first is a run's page; a later version is stored, not loaded.
     """
+    runs = with_settings(runs)
 
     def handle(pages: DataFrame, batch_id: int) -> None:
-        write_batch(page_facts(pages, records_path), raw_path, batch_id)
-        records = extract_records(pages.select("run", "page", "body"), records_path)
-        write_batch(map_records(records, mapping, types), loaded_path, batch_id)
+        spark = pages.sparkSession
+        facts = computed_once(pages, _sum=F.sha2(F.col("body").cast("binary"), 256))
+        version = ["run", "page", "checksum_sha256"]
+        states = page_states(pages, records_path, mapping, strict, types)
+        bodies = facts.select("run", "page", F.col("_sum").alias("checksum_sha256"), "body").dropDuplicates(version)
+        thin = states.dropDuplicates(version)
+        known = _earlier(spark, f"{raw_path}/facts", f"{_ddl(states)}, batch int", batch_id)
+        write_batch(thin.join(known.select(*version), version, "left_anti"), f"{raw_path}/facts", batch_id)
+        write_batch(bodies.join(known.select(*version), version, "left_anti"), f"{raw_path}/bodies", batch_id)
+
+        every = spark.read.parquet(f"{raw_path}/facts").where(F.col("batch") <= batch_id)
+        touched = pages.select("run").distinct()
+        first = every.join(touched, "run", "left_semi").groupBy("run", "page").agg(
+            F.min(F.struct("batch", "checksum_sha256", "n", "error")).alias("_first")
+        ).select("run", "page", "_first.*")
+        open_runs = runs.join(touched, "run", "left_semi")
+        outcomes = cut_lineage(scan_outcomes(first.select("run", "page", "n", "error"), open_runs))
+        kept = kept_pages(first, outcomes)
+        write_batch(run_states(outcomes, kept, open_runs), f"{loaded_path}/states", batch_id)
+        done = _earlier(spark, f"{loaded_path}/pages", "run bigint, page bigint, batch int", batch_id)
+        fresh = cut_lineage(kept.select("run", "page", "checksum_sha256").join(done.select("run", "page"), ["run", "page"], "left_anti"))
+        stored = spark.read.parquet(f"{raw_path}/bodies").where(F.col("batch") <= batch_id)
+        ready = stored.join(fresh, version, "left_semi").select("run", "page", "body")
+        write_batch(map_records(extract_records(ready, records_path), mapping, types), f"{loaded_path}/rows", batch_id)
+        write_batch(fresh.select("run", "page"), f"{loaded_path}/pages", batch_id)
 
     return handle
 
 
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+
 def stored_pages(raw: DataFrame) -> DataFrame:
     """Raw facts of a streamed landing, each version once, in the batch that came first."""
     version = ["run", "page", "checksum_sha256"]

@@ -219,34 +219,50 @@ def land_table(spark, path, pages):
     return df.schema
 
 
+def stream_runs(spark, **settings):
+    setting = {"page_size": None, "max_pages": 500, **settings}
+    return spark.createDataFrame([(1, 1, setting["page_size"], setting["max_pages"], None, False)], RUN)
+
+
 def test_stream_equals_batch_and_resumes(spark, tmp_path, rows):
     landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
-    schema = land_table(spark, landing, [(1, p, body(policy(p))) for p in range(1, 4)])
+    schema = land_table(spark, landing, [(1, p, body(policy(p))) for p in (1, 2, 4)])
 
     def run():
-        handler = stream.ingest_batches(f"{out}/raw", f"{out}/loaded", "results", MAPPING, TYPES)
+        handler = stream.ingest_batches(f"{out}/raw", f"{out}/loaded", "results", MAPPING, TYPES, stream_runs(spark))
         stream.drain(stream.file_stream(spark, landing, schema, 1), handler, f"{out}/progress")
 
     run()
-    land_table(spark, landing, [(1, 3, body(policy(3))), (1, 4, body(policy(4)))])
+    # Page 4 waits for page 3.
+    assert rows(spark.read.parquet(f"{out}/loaded/rows"), "page") == [(1,), (2,)]
+    land_table(spark, landing, [(1, 2, body(policy(2))), (1, 3, body(policy(3)))])
     run()
     run()
-    raw, loaded = spark.read.parquet(f"{out}/raw"), spark.read.parquet(f"{out}/loaded")
-    assert rows(stream.stored_pages(raw), "page", "n") == [(1, 1), (2, 1), (3, 1), (4, 1)]
-    # Page 3 was delivered twice and loaded twice: the load is at least once.
-    assert loaded.count() == 5
-    assert rows(load.duplicate_exposure(loaded, ["policy_id"])) == [("P3", 2)]
-    kept = load.keep_first(loaded, ["policy_id"], ["batch"])
-    assert rows(kept, "policy_id") == [("P1",), ("P2",), ("P3",), ("P4",)]
+    facts, loaded = spark.read.parquet(f"{out}/raw/facts"), spark.read.parquet(f"{out}/loaded/rows")
+    assert rows(stream.stored_pages(facts), "page", "n") == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    # Page 2 was delivered twice, stored once and loaded once.
+    assert facts.count() == 4 and rows(loaded, "policy_id") == [("P1",), ("P2",), ("P3",), ("P4",)]
+    state = stream.newest_updates(spark.read.parquet(f"{out}/loaded/states"), ["run"]).first()
+    assert (state.status, state.pages_extracted, state.last_successful_cursor) == ("incomplete", 4, "5")
+
+
+def test_stream_loads_nothing_beyond_an_error(spark, tmp_path, rows):
+    out = str(tmp_path)
+    handle = stream.ingest_batches(f"{out}/raw", f"{out}/loaded", "results", MAPPING, TYPES, stream_runs(spark))
+    handle(spark.createDataFrame([(1, 1, body(policy(1))), (1, 3, body(policy(3)))], PAGES), 0)
+    handle(spark.createDataFrame([(1, 2, body(policy(2), "no object"))], PAGES), 1)
+    assert rows(spark.read.parquet(f"{out}/loaded/rows"), "page") == [(1,)]
+    state = stream.newest_updates(spark.read.parquet(f"{out}/loaded/states"), ["run"]).first()
+    assert (state.status, state.category, state.pages_extracted) == ("failed", "MappingError", 1)
 
 
 def test_replayed_batch_replaces_what_it_wrote(spark, tmp_path):
-    handle = stream.ingest_batches(str(tmp_path / "raw"), str(tmp_path / "loaded"), "results", MAPPING, TYPES)
+    handle = stream.ingest_batches(str(tmp_path / "raw"), str(tmp_path / "loaded"), "results", MAPPING, TYPES, stream_runs(spark))
     batch = spark.createDataFrame([(1, 1, body(policy(1), policy(2)))], PAGES)
     handle(batch, 0)
     handle(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "loaded")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "raw")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "loaded" / "rows")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "raw" / "bodies")).count() == 1
 
 
 def test_failed_batch_is_repeated_under_its_number(spark, tmp_path):
