@@ -39,13 +39,13 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 ADDED = "crf"
 #: Texts with and without a base span that windows are learned from, at most, and tokens of a window.
 LEARN_TEXTS, WINDOW = 600, 16
-FORMS = 200_000
+FORMS = 400_000
 
-_SIGN = re.compile(r"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{24}", re.IGNORECASE | re.ASCII)
+_SIGNS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'`,;:.()[]{}<>"
 _HEXADECIMAL = re.compile("[0-9a-fA-F]+")
-_KEY = re.compile(r"pass|secret|token|key|auth|bearer|credential|pwd", re.IGNORECASE)
+_KEYS = ("pass", "secret", "token", "key", "auth", "bearer", "credential", "pwd")
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -57,9 +57,17 @@ SHAPES = [
 ]
 
 
+def has_any(text: str, words: tuple[str, ...]) -> bool:
+    """Whether a text holds one of some words, in either case."""
+    low = text.lower()
+    return any(w in low for w in words)
+
+
 def shape(token: str) -> tuple[int, ...]:
     """Numbers of the shape bits that a token has."""
     core = token.strip(_EDGE)
+    if core.isalpha() and "=" not in token and token[-1] != ":" and token[0] not in "\"'":
+        return word_shape(core, token)
     if "=" in core.rstrip("="):
         core = core.rstrip("=").rpartition("=")[2].strip(_EDGE)
     n = len(core)
@@ -70,12 +78,30 @@ def shape(token: str) -> tuple[int, ...]:
     bits = [
         n < 8, 8 <= n < 16, 16 <= n < 24, 24 <= n < 40, n >= 40, digits > 0, upper, lower, digits > 0 and letters > 0,
         upper and lower and digits > 0, n >= 8 and _HEXADECIMAL.fullmatch(core) is not None, any(c in core for c in "+/_-"),
-        n > 0 and digits >= 0.25 * n, changes >= 4, "=" in token or token[-1:] == ":", n > 2 and _KEY.search(token) is not None,
+        n > 0 and digits >= 0.25 * n, changes >= 4, "=" in token or token[-1:] == ":", n > 2 and has_any(token, _KEYS),
         token[:1] in "\"'" and n > 0, n > 0 and letters == n, letters == 0, 0 < letters == n < 16,
     ]
     return tuple([k for k, b in enumerate(bits) if b])
 
 
+def word_shape(core: str, token: str) -> tuple[int, ...]:
+    """The same for a token of letters and punctuation around them, as most are."""
+    n = len(core)
+    bits = [0 if n < 8 else 1 if n < 16 else 2 if n < 24 else 3 if n < 40 else 4]
+    if core != core.lower():
+        bits.append(6)
+    if core != core.upper():
+        bits.append(7)
+    if n >= 8 and _HEXADECIMAL.fullmatch(core):
+        bits.append(10)
+    if n > 2 and has_any(token, _KEYS):
+        bits.append(15)
+    bits.append(17)
+    if n < 16:
+        bits.append(19)
+    return tuple(bits)
+
+
 def core_of(token: str, start: int) -> tuple[int, int]:
     """Where a token's own text lies, without quotes, punctuation and a key before ``=``."""
     left = len(token) - len(token.lstrip(_EDGE))
@@ -91,10 +117,11 @@ def core_of(token: str, start: int) -> tuple[int, int]:
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the fixed patterns, by start and then by kind."""
     found = []
-    if _SIGN.search(text):
+    if has_any(text, _SIGNS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
@@ -107,7 +134,7 @@ N_FEATURES = 3 * N_SHAPE + N_FILE
 def file_bits(text: str, tokens: int) -> tuple[int, ...]:
     """Which statistics of the whole text hold: short, many signs of assignment, lines of code, a key word."""
     signs = text.count("=") + text.count(":")
-    bits = [tokens < 50, signs >= 0.05 * max(tokens, 1), text.count(";") + text.count("{") >= 3, _KEY.search(text) is not None]
+    bits = [tokens < 50, signs >= 0.05 * max(tokens, 1), text.count(";") + text.count("{") >= 3, has_any(text, _KEYS)]
     return tuple(k for k, b in enumerate(bits) if b)
 
 
