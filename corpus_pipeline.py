@@ -68,10 +68,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Replaces secrets in texts by a mark (9) and counts their characters anew."""
     ready(spark)
     name = _free(docs, "_secrets")
-    clean = secret_crf.redact(secret_crf.scan(docs, secret_crf.fit(docs), name=name), spans_col=name)
+    clean = secret_crf.redact(docs, secret_crf.fit(docs), name=name)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.col(name) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 

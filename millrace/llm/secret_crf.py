@@ -39,7 +39,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 ADDED = "crf"
 #: Texts with and without a base span that windows are learned from, at most, and tokens of a window.
 LEARN_TEXTS, WINDOW = 600, 16
-FORMS = 400_000
+FORMS = 200_000
 
 _SIGNS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"\S+")
@@ -378,23 +378,34 @@ def scan(documents: DataFrame, field: Field, text_col: str = "text", name: str =
     return documents.withColumn(name, spans(F.col(text_col)))
 
 
-def redact(documents: DataFrame, text_col: str = "text", spans_col: str = "_secrets", mark: str = "[secret]") -> DataFrame:
-    """``documents`` with the spans of their texts replaced by ``mark``; spans that meet are replaced as one."""
-
-    @F.arrow_udf("string")
-    def cleaned(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for text, spans in texts:
-            out = []
-            for t, own in zip(text.to_pylist(), spans.to_pylist(), strict=True):
-                if not own:
-                    out.append(t)
-                    continue
-                parts, at = [], 0
-                for a, b in sorted((s["start"], s["end"]) for s in own):
-                    if a >= at:
-                        parts += [t[at:a], mark]
-                    at = max(at, b)
-                out.append("".join([*parts, t[at:]]))
-            yield pa.array(out, type=pa.string())
-
-    return documents.withColumn(text_col, cleaned(F.col(text_col), F.col(spans_col)))
+def without_spans(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """A text with its spans replaced by ``mark``; spans that overlap are replaced as one."""
+    parts, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
+def redact(documents: DataFrame, field: Field, text_col: str = "text", name: str = "_secrets", mark: str = "[secret]") -> DataFrame:
+    """``documents`` with the spans that ``scan`` finds replaced by ``mark``, and their number in a column ``name``.
+
+    Found and replaced in one pass over the texts. Null texts stay null.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(field)
+
+    @F.arrow_udf("struct<text:string,spans:int>")
+    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tagger = Tagger(shared.value)
+        for batch in batches:
+            texts, counts = [], []
+            for text in batch.to_pylist():
+                base = base_spans(text) if text else []
+                every = [(a, b) for a, _, b in (base + tagger.added(text, base) if text else [])]
+                texts.append(without_spans(text, every, mark) if every else text)
+                counts.append(len(every))
+            yield pa.StructArray.from_arrays([pa.array(texts, type=pa.string()), pa.array(counts, type=pa.int32())], names=["text", "spans"])
+
+    found = documents.withColumn(name, cleaned(F.col(text_col)))
+    return found.withColumns({text_col: F.col(f"{name}.text"), name: F.col(f"{name}.spans")})

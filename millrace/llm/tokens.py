@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces in each of the two generations that a Python worker keeps.
-KEPT = 400_000
+KEPT = 300_000
 
 
 class PieceTokenizer:

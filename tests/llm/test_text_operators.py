@@ -192,7 +192,7 @@ def test_scan_and_redact_over_edge_rows(own, field):
     rows = {r["doc_id"]: r["_secrets"] for r in scanned.select("doc_id", "_secrets").collect()}
     assert [(s["kind"], s["start"], s["end"]) for s in rows[51]] == [("assign", 1000, 1048), ("hex", 1008, 1048)]
     assert rows[3] == [] and rows[4] == []
-    clean = {r["doc_id"]: r["text"] for r in secret_crf.redact(scanned).select("doc_id", "text").collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_crf.redact(documents, field).select("doc_id", "text").collect()}
     assert clean[50] == "[secret]" and clean[51] == "é" * 1000 + "[secret]" and clean[2] == edge.SAME and clean[3] is None
     assert secret_crf.scan(documents.limit(0), field).isEmpty()
     empty = secret_crf.fit(documents.limit(0))
