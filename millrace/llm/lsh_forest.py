@@ -8,11 +8,14 @@ that a region of very many like signatures lies in many tasks.
 
 First each document is paired with its neighbours in each order that share at
 least ``LEAST_DEPTH`` bytes with it. Pairs that the full sets confirm join
-documents to groups. Then the regions are searched for what is still apart:
-documents outside a region's largest group are compared with the whole region by
-signatures, at the least depth at which that isn't too much work, and only pairs
-between different groups whose signatures nearly suffice are compared by their
-full sets. So a dense region costs what its stragglers ask, not all its pairs.
+documents to groups. Then every region, the classes that share ``LEAST_DEPTH``
+bytes in an order, is searched for what is still apart: the classes outside a
+region's largest group are compared with the whole region by signatures, and
+pairs between different groups whose signatures nearly suffice by their full sets.
+No region is cut: a large one is dealt to slices, and each slice meets all classes
+outside the largest group. So a dense region costs what its stragglers ask, not all
+its pairs; a crowd that is alike but not enough has no large group, and there work
+grows with the square of the region.
 
 Copies of one set are one class from the start.
 """
@@ -31,12 +34,12 @@ from millrace.llm.common import BoundedCache, classes_of, stored
 
 WORDS = 5
 FUNCTIONS, ORDERS, DEPTH, LEAST_DEPTH = 512, 32, 16, 4
-#: Comparisons of signatures that a region may take at one depth before it is split at the next.
+#: Comparisons of signatures from which a region is dealt to several slices.
 COMPARED = 1 << 22
 #: A pair is compared by its sets if its signatures agree in a share not below the
 #: least similarity by more than four standard deviations (0.0191 at 512 functions).
 MARGIN = 0.0766
-#: Rows of one order that a task gathers before it splits them into regions.
+#: Rows of a region that a slice has at home, about.
 GATHERED = 8192
 CACHED = 400_000
 HAND_ON = 2_000_000
@@ -140,8 +143,8 @@ def sets(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "node bigint, shingles binary")
 
 
-def entries(classes: DataFrame, columns: list[str]) -> DataFrame:
-    """A row per order and class, ``tree, key`` and the named columns, sorted by range."""
+def dealt(classes: DataFrame, columns: list[str], depth: int) -> DataFrame:
+    """A row per order and class, ``tree, key`` (the first ``depth`` bytes) and the named columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,15 +153,19 @@ def entries(classes: DataFrame, columns: list[str]) -> DataFrame:
             sig = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sig")).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
             rest = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             for tree in range(ORDERS):
-                keys = np.ascontiguousarray(sig[:, _PICKED[tree]]).tobytes()
-                key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DEPTH), len(sig), [None, pa.py_buffer(keys)])
+                keys = np.ascontiguousarray(sig[:, _PICKED[tree, :depth]]).tobytes()
+                key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(depth), len(sig), [None, pa.py_buffer(keys)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(sig), tree, np.int32)), key.cast(pa.binary()), *rest], names=["tree", "key", *columns]
                 )
 
     schema = ", ".join(f"{c} {classes.schema[c].dataType.simpleString()}" for c in columns)
-    dealt = classes.mapInArrow(run, f"tree int, key binary, {schema}")
-    return dealt.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    return classes.mapInArrow(run, f"tree int, key binary, {schema}")
+
+
+def entries(classes: DataFrame, columns: list[str]) -> DataFrame:
+    """A row per order and class, ``tree, key`` and the named columns, sorted by range."""
+    return dealt(classes, columns, DEPTH).repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
 
 
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
@@ -192,71 +199,124 @@ def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def stragglers(sorted_entries: DataFrame, least: float) -> DataFrame:
-    """Pairs of a region whose groups differ and whose signatures nearly suffice; adaptive in depth."""
+def regions(labelled: DataFrame) -> DataFrame:
+    """``tree, key, most, slices`` of regions with more than one group: the largest group, and how many slices to deal to.
 
-    def region(keys, nodes, labels, sig, sizes, depth: int) -> Iterator[np.ndarray]:  # noqa: ANN001
-        if len(nodes) < 2 or (labels == labels[0]).all():
-            return
-        names, counts = np.unique(labels, return_counts=True)
-        few = np.flatnonzero(labels != names[counts.argmax()])
-        if len(few) * len(nodes) > COMPARED:
-            if depth <= DEPTH:
-                cuts = np.flatnonzero(keys[1:, depth] != keys[:-1, depth]) + 1
-            else:  # alike in the whole key: neighbours by their numbers
-                cuts = np.arange(step := int(COMPARED**0.5), len(nodes), step)
-            bounds = [0, *cuts.tolist(), len(nodes)]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                yield from region(keys[a:b], nodes[a:b], labels[a:b], sig[a:b], sizes[a:b], min(depth + 1, DEPTH + 1))
+    Slices hold about ``GATHERED`` rows at most. Smaller ones share out comparisons,
+    as long as copies for them don't outnumber the region's own rows.
+    """
+    counted = dealt(labelled, ["label"], LEAST_DEPTH).groupBy("tree", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    found = (
+        counted.groupBy("tree", "key")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("groups"))
+        .where("groups > 1")
+        .withColumn("few", F.col("n") - F.col("most.n"))
+    )
+    work = F.least(F.ceil(F.col("n") * F.col("few") / COMPARED), F.floor(F.col("n") / F.col("few")) + 1)
+    return found.select(
+        "tree", "key", F.col("most.label").alias("most"), F.greatest(F.ceil(F.col("n") / GATHERED), work).cast("int").alias("slices")
+    )
+
+
+def stragglers(labelled: DataFrame, least: float) -> DataFrame:
+    """Pairs that share a region, whose groups differ and whose signatures nearly suffice, each once.
+
+    One of such a pair is outside the region's largest group. It meets the other
+    in the slice where that one is at home, in the first of the orders that have
+    both in one region.
+    """
+    found = stored(regions(labelled), "forest-regions")
+    members = dealt(labelled, ["node", "label"], LEAST_DEPTH).join(found, ["tree", "key"]).select(
+        "node", "tree", "key", "slices", (F.col("label") != F.col("most")).alias("few")
+    )
+    home = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    sent = members.join(labelled, "node").select(
+        "tree", "key", "node", "label", "size", "sig", "few", home.alias("home"),
+        F.explode(F.when(F.col("few"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(home))).alias("slice"),
+    )
+    rows = (
+        sent.select("tree", "key", "slice", (F.col("slice") != F.col("home")).alias("guest"), "few", "node", "label", "size", "sig")
+        .repartition("tree", "key", "slice").sortWithinPartitions("tree", "key", "slice", "guest", "node")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by slice, those at home first: these are held, then guests meet them."""
+        current = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+            cuts = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if current is None or current.key != keys[a]:
+                    if current is not None:
+                        yield from current.ended()
+                    current = _Slice(keys[a], least)
+                yield from current.add(batch.slice(a, b - a))
+        if current is not None:
+            yield from current.ended()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+class _Slice:
+    """Classes of a region that are at home in a slice, as few, node, label, size and signature."""
+
+    def __init__(self, key: tuple, least: float):
+        self.key, self.least, self.parts, self.home = key, least, [], None
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        guest = rows.column(3).to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+        part = (rows.column(4).to_numpy(zero_copy_only=False), *(rows.column(k).to_numpy() for k in (5, 6, 7)), sig)
+        if not guest.all():
+            self.parts.append(tuple(x[~guest] for x in part))
+        if guest.any():
+            yield from self.closed()
+            yield from self.meet(tuple(x[guest] for x in part))
+
+    def closed(self) -> Iterator[pa.RecordBatch]:
+        """All at home are there; compares them with each other."""
+        if self.home is None:
+            self.home, self.parts = tuple(np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (), []
+            if self.home:
+                self.prefixes = _prefixes(self.home[4])
+                yield from self.meet(tuple(x[self.home[0]] for x in self.home))
+
+    def ended(self) -> Iterator[pa.RecordBatch]:
+        yield from self.closed()
+
+    def meet(self, some: tuple) -> Iterator[pa.RecordBatch]:
+        """Pairs of some classes outside the largest group with those at home."""
+        if not self.home or not len(some[1]):
             return
-        for k in range(0, len(few), 16):
-            part = few[k : k + 16]
-            alike = labels[part][:, None] != labels[None]
-            small, large = np.minimum(sizes[part][:, None], sizes[None]), np.maximum(sizes[part][:, None], sizes[None])
-            alike &= small >= least * large
+        tree, (few, nodes, labels, sizes, sig) = self.key[0], self.home
+        _, own, groups, n, sig_own = some
+        prefixes = _prefixes(sig_own)
+        for k in range(0, len(own), 16):
+            at = slice(k, k + 16)
+            alike = groups[at, None] != labels[None]
+            # Two outside the largest group meet twice, and count where the larger number is asked for.
+            alike &= ~few[None] | (own[at, None] > nodes[None])
+            alike &= np.minimum(n[at, None], sizes[None]) >= self.least * np.maximum(n[at, None], sizes[None])
             i, j = np.nonzero(alike)
-            for at in range(0, len(i), 8192):
-                x, y = part[i[at : at + 8192]], j[at : at + 8192]
-                same = sig[x] == sig[y]
-                near = np.flatnonzero(same.mean(axis=1) >= least - MARGIN)
-                # A pair comes out of the order in which its common prefix is longest.
-                best = np.cumprod(same[near][:, _PICKED], axis=2).sum(axis=2).argmax(axis=1)
-                near = near[best == keys[0, 0]]
-                if len(near):
-                    yield np.stack([nodes[x[near]], nodes[y[near]]], axis=1)
+            for c in range(0, len(i), 2048):
+                x, y = k + i[c : c + 2048], j[c : c + 2048]
+                if tree:
+                    first = ~(prefixes[x, :tree] == self.prefixes[y, :tree]).any(axis=1)
+                    x, y = x[first], y[first]
+                near = _agreeing(sig_own[x], sig[y]) / FUNCTIONS >= self.least - MARGIN
+                if near.any():
+                    yield _pairs(np.stack([own[x[near]], nodes[y[near]]], axis=1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            keys, nodes, labels, sizes, sig = (np.concatenate(x) for x in zip(*rows, strict=True))
-            cuts = np.flatnonzero((keys[1:, : LEAST_DEPTH + 1] != keys[:-1, : LEAST_DEPTH + 1]).any(axis=1)) + 1
-            bounds = [0, *cuts.tolist(), len(nodes)]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                for pairs in region(keys[a:b], nodes[a:b], labels[a:b], sig[a:b], sizes[a:b], LEAST_DEPTH + 1):
-                    yield _pairs(np.unique(np.sort(pairs, axis=1), axis=0))
+def _prefixes(sig: np.ndarray) -> np.ndarray:
+    """The first ``LEAST_DEPTH`` bytes of each order as one number."""
+    return np.ascontiguousarray(sig[:, _PICKED[:, :LEAST_DEPTH]]).view(np.uint32)[:, :, 0]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = _keys(batch)
-            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
-            row = (keys, batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), sig)
-            # What is gathered is settled where a region ends, or when it is too much.
-            ends = np.flatnonzero((keys[1:, : LEAST_DEPTH + 1] != keys[:-1, : LEAST_DEPTH + 1]).any(axis=1)) + 1
-            cut = int(ends[-1]) if len(ends) else 0
-            if cut:
-                yield from settled([*held, tuple(x[:cut] for x in row)])
-                held = [tuple(x[cut:] for x in row)]
-            else:
-                held.append(row)
-            if sum(len(x[1]) for x in held) >= GATHERED:
-                yield from settled(held)
-                held = []
-        if held:
-            yield from settled(held)
 
-    return sorted_entries.mapInArrow(run, "a bigint, b bigint").distinct()
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bytes agree in each row: sums of eight bytes at once, of 64 words at most, so that none overflows."""
+    words = (x == y).view(np.uint64)
+    return sum(words[:, k : k + 64].sum(axis=1).view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64) for k in range(0, words.shape[1], 64))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -321,13 +381,12 @@ def near_duplicates(documents: DataFrame, percent: int = 75, id_col: str = "doc_
     labels = classes_of(links)
     # Who has a likely partner may have another; the rest stands alone in every order.
     dense = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    open_ = (
+    labelled = stored(
         classes.join(dense, "node", "left_semi").join(labels, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("label"), F.col("n").alias("size"), "sig")
-    )
-    second = stored(
-        stragglers(entries(open_, ["node", "label", "size", "sig"]), least).join(first, ["a", "b"], "left_anti"), "forest-stragglers"
+        .select("node", F.coalesce("component", "node").alias("label"), F.col("n").alias("size"), "sig"),
+        "forest-labels",
     )
+    second = stored(stragglers(labelled, least).join(first, ["a", "b"], "left_anti"), "forest-stragglers")
     if not second.isEmpty():
         more = confirmed(second, classes, known, percent)
         links = stored(links.unionByName(more), "forest-all-links")

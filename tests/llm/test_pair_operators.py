@@ -168,6 +168,37 @@ def test_near_duplicates_with_small_regions(own, monkeypatch):
     assert {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == brute(rows)
 
 
+def hangers_on():
+    """A dense group, and copies of its members that are alike enough to one member only."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for k in range(300):
+        words = base[:]
+        words[5 + draw.randrange(140)] = word()
+        rows.append((k, words))
+    for k in range(80):
+        words = rows[k][1][:]
+        for at in draw.sample(range(10, 140, 6), 4):
+            words[at] = word()
+        rows.append((1000 + k, words))
+    return [(k, " ".join(words)) for k, words in rows]
+
+
+def test_near_duplicates_of_regions_beyond_what_a_task_holds(own, monkeypatch):
+    """A region is searched as a whole, however few of its rows are held at once."""
+    rows = hangers_on()
+    monkeypatch.setattr(lsh_forest, "GATHERED", 20)
+    batch = own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = lsh_forest.near_duplicates(own.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    finally:
+        own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute(rows)
+
+
 def test_near_duplicates_over_edge_rows(own):
     rows = lsh_forest.near_duplicates(edge.documents(own)).collect()
     assert len(rows) == len(edge.TEXTS)
