@@ -379,10 +379,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75, id_col: str = "doc_
     first = stored(likely(neighbours(entries(classes, ["node"])), classes, least), "forest-pairs")
     links = stored(confirmed(first, classes, known, percent), "forest-links")
     labels = classes_of(links)
-    # Who has a likely partner may have another; the rest stands alone in every order.
-    dense = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    # Who has no likely neighbour may still have a partner further on in a region.
     labelled = stored(
-        classes.join(dense, "node", "left_semi").join(labels, "node", "left")
+        classes.join(labels, "node", "left")
         .select("node", F.coalesce("component", "node").alias("label"), F.col("n").alias("size"), "sig"),
         "forest-labels",
     )
