@@ -195,7 +195,7 @@ class Tagger:
         return found
 
     def added(self, text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-        """Spans of the field that touch no base span."""
+        """Spans of the field, whole, that base spans don't cover."""
         tokens = text.split()
         tags = self.tags(tokens, text)
         if not tags:
@@ -210,7 +210,15 @@ class Tagger:
                 spans[-1][1] = max(end, spans[-1][1])
             else:
                 spans.append([start, end])
-        return [(a, ADDED, b) for a, b in spans if a < b and not any(a < e and s < b for s, _, e in base)]
+        return [(a, ADDED, b) for a, b in spans if not covered(a, b, base)]
+
+
+def covered(start: int, end: int, base: list[tuple[int, str, int]]) -> bool:
+    """Whether base spans, which come by start, hold every character from ``start`` to ``end``."""
+    for a, _, b in base:
+        if a <= start < b:
+            start = b
+    return start >= end
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray, before: bool, after: bool) -> list[int]:
@@ -352,8 +360,8 @@ def scan(documents: DataFrame, field: Field, text_col: str = "text", name: str =
 
     Offsets count code points, the end is exclusive. Base spans come as the fixed
     patterns give them (leftmost, not overlapping within a kind); the field adds
-    spans of kind ``crf`` that touch none of them. Sorted by start, then base
-    kinds before added ones. Null and empty texts hold none. All rows and columns
+    spans of kind ``crf`` that reach beyond them, and may overlap them. Sorted by
+    start, then base kinds before added ones. Null and empty texts hold none. All rows and columns
     stay; a column called ``name`` is replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(field)

@@ -185,6 +185,17 @@ def test_the_field_adds_what_the_patterns_miss(field):
     assert tagger.added(plain, []) == []
 
 
+def test_what_a_pattern_leaves_of_a_secret_is_added(field, monkeypatch):
+    text = "password = hunter2!Xk9#Qw and token = abcdef12"
+    base = secret_crf.base_spans(text)
+    assert [text[a:b] for a, _, b in base] == ["password = hunter2", "token = abcdef12"]
+    tagger = secret_crf.Tagger(field)
+    monkeypatch.setattr(tagger, "tags", lambda tokens, text: {2: secret_crf.BEGIN, 6: secret_crf.BEGIN})
+    added = tagger.added(text, base)
+    assert [text[a:b] for a, _, b in added] == ["hunter2!Xk9#Qw"]
+    assert secret_crf.without_spans(text, [(a, b) for a, _, b in base + added], "*") == "* and *"
+
+
 def test_scan_and_redact_over_edge_rows(own, field):
     secret = "token = " + "ab12" * 10
     documents = edge.documents(own, [*edge.TEXTS, (50, secret), (50, secret), (51, "é" * 1000 + secret)])
