@@ -3,8 +3,9 @@
 The field tags white-space-delimited tokens of a text as outside, begin or inside
 of a secret. A token's features are its shape, the shapes and key words of its
 neighbours, and statistics of the whole text. Weights are learned on the driver
-from a bounded sample of windows, labelled by the fixed patterns, and the best
-tag sequence is found by the Viterbi recursion.
+from a bounded sample of windows, labelled by the fixed patterns, and from windows
+with planted secrets of several tokens and of forms that the patterns miss; the
+best tag sequence is found by the Viterbi recursion.
 
 Scores of a token depend on its form and its neighbours' forms, which are cached.
 Where "outside" beats the other tags by more than all transitions could make up
@@ -14,12 +15,14 @@ runs exactly on the short stretches between such tokens.
 
 from __future__ import annotations
 
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,15 +213,17 @@ class Tagger:
                 spans[-1][1] = max(end, spans[-1][1])
             else:
                 spans.append([start, end])
-        return [(a, ADDED, b) for a, b in spans if not covered(a, b, base)]
+        return [(a, ADDED, b) for a, b in spans if not covered(text, a, b, base)]
 
 
-def covered(start: int, end: int, base: list[tuple[int, str, int]]) -> bool:
-    """Whether base spans, which come by start, hold every character from ``start`` to ``end``."""
+def covered(text: str, start: int, end: int, base: list[tuple[int, str, int]]) -> bool:
+    """Whether base spans, which come by start, hold all from ``start`` to ``end``, but for a closing quote and signs after it."""
+    first = start
     for a, _, b in base:
         if a <= start < b:
             start = b
-    return start >= end
+    rest = text[start:end]
+    return not rest or start > first and rest[0] in "\"'`" and not any(map(str.isalnum, rest))
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray, before: bool, after: bool) -> list[int]:
@@ -237,21 +242,13 @@ def viterbi(emit: np.ndarray, move: np.ndarray, before: bool, after: bool) -> li
     return path[::-1]
 
 
-def windows_of(text: str) -> list[tuple[list[tuple[int, ...]], list[int]]]:
-    """Windows of a text's tokens as features and tags: around base spans, else at even distances."""
-    marks = base_spans(text)
-    found = list(_TOKEN.finditer(text))
-    if not found:
-        return []
-    tokens = [m[0] for m in found]
-    tags = [OUTSIDE] * len(tokens)
-    for start, _, end in marks:
-        inside = [k for k, m in enumerate(found) if m.start() < end and m.end() > start]
-        # The secret is in the last token that a pattern touches; before it stand the key and the sign.
-        if inside:
-            tags[inside[-1]] = BEGIN
+Window = tuple[list[tuple[int, ...]], list[int]]
+
+
+def features(tokens: list[str], file: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """Of each token its own shape, its neighbours' shapes, and the statistics ``file`` of its text."""
     shapes = [shape(t) for t in tokens]
-    base = tuple(3 * N_SHAPE + k for k in file_bits(text, len(tokens)))
+    base = tuple(3 * N_SHAPE + k for k in file)
     rows = []
     for k, own in enumerate(shapes):
         row = own
@@ -260,12 +257,102 @@ def windows_of(text: str) -> list[tuple[list[tuple[int, ...]], list[int]]]:
         if k + 1 < len(shapes):
             row += tuple(2 * N_SHAPE + b for b in shapes[k + 1])
         rows.append(row + base)
+    return rows
+
+
+def labelled(text: str) -> tuple[list[str], list[int]]:
+    """A text's tokens, and the tags that base spans give them."""
+    marks = base_spans(text)
+    found = list(_TOKEN.finditer(text))
+    tags = [OUTSIDE] * len(found)
+    for start, _, end in marks:
+        inside = [k for k, m in enumerate(found) if m.start() < end and m.end() > start]
+        # The secret is in the last token that a pattern touches; before it stand the key and the sign.
+        if inside:
+            tags[inside[-1]] = BEGIN
+    return [m[0] for m in found], tags
+
+
+def windows_of(text: str) -> list[Window]:
+    """Windows of a text's tokens as features and tags: around base spans, else at even distances."""
+    tokens, tags = labelled(text)
+    if not tokens:
+        return []
+    rows = features(tokens, file_bits(text, len(tokens)))
     hits = [k for k, t in enumerate(tags) if t]
     starts = {max(0, k - WINDOW // 2) for k in hits[:4]} | {max(0, len(tokens) * j // 5) for j in range(5)}
     return [(rows[s : s + WINDOW], tags[s : s + WINDOW]) for s in sorted(starts)]
 
 
-def train(windows: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = 120, rate: float = 0.3, l2: float = 1e-3) -> Field:
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_ALPHABETS = ("0123456789ABCDEF", "0123456789abcdef", _BASE64[:-2], _BASE64)
+_LEADS = (["api_key", "="], ["auth", "="], ["auth:"], ["token", "="], ["credential:"], ["key", ":"], ["password", "="], ["pwd:"])
+
+
+def _letters(draw: random.Random, alphabet: str, least: int, most: int) -> str:
+    return "".join(draw.choices(alphabet, k=draw.randint(least, most)))
+
+
+def _with_digit(draw: random.Random, letters: str) -> str:
+    at = draw.randrange(len(letters))
+    return letters[:at] + draw.choice("0123456789") + letters[at + 1 :]
+
+
+def _key_block(draw: random.Random) -> tuple[list[str], list[int]]:
+    """A key over several lines between its marks."""
+    kind = draw.choice([["RSA", "PRIVATE"], ["EC", "PRIVATE"], ["PRIVATE"], ["OPENSSH", "PRIVATE"]])
+    lines = [_letters(draw, _BASE64, 64, 64) for _ in range(draw.randint(1, 5))] + [_letters(draw, _BASE64, 20, 62) + draw.choice(["", "=", "=="])]
+    head, foot = ["-----BEGIN", *kind, "KEY-----"], ["-----END", *kind, "KEY-----"]
+    return [*head, *lines, *foot], [OUTSIDE] * len(head) + [BEGIN] + [INSIDE] * (len(lines) - 1) + [OUTSIDE] * len(foot)
+
+
+def _broken_key(draw: random.Random) -> tuple[list[str], list[int]]:
+    """A key broken by spaces into pieces of one length, behind its name, in quotes or not."""
+    lead, alphabet, size = draw.choice(_LEADS), draw.choice(_ALPHABETS), draw.choice([4, 5, 6, 8, 16])
+    # A digit in each piece: pieces of letters alone have the shapes of words.
+    parts = [_with_digit(draw, _letters(draw, alphabet, size, size)) for _ in range(draw.randint(3, 7))]
+    if draw.random() < 0.5:
+        parts[0], parts[-1] = f'"{parts[0]}', f'{parts[-1]}"'
+    return [*lead, *parts], [OUTSIDE] * len(lead) + [BEGIN] + [INSIDE] * (len(parts) - 1)
+
+
+def _one_token(draw: random.Random) -> tuple[list[str], list[int]]:
+    """An upper-case or mixed key, or a password with other signs, behind its name."""
+    lead = draw.choice(_LEADS)
+    own = draw.choice([lambda: _letters(draw, draw.choice(_ALPHABETS), 20, 48), lambda: _letters(draw, _BASE64[:-2], 4, 10) + _letters(draw, _BASE64[:-2] + "!#$%&*@", 6, 12)])()
+    return [*lead, draw.choice(['"{}"', "{}"]).format(own)], [OUTSIDE] * len(lead) + [BEGIN]
+
+
+def _no_secret(draw: random.Random) -> tuple[list[str], list[int]]:
+    """A word or number over and over, which is no key."""
+    word = draw.choice([str.title, str.upper, str.lower])(_letters(draw, _BASE64[26:52], 2, 9))
+    word = draw.choice([word, word, word, _letters(draw, _BASE64[52:62], 1, 5)]) + draw.choice(["", "", ".", ",", ":"])
+    own = draw.choice([[], *_LEADS]) + [word] * draw.randint(4, 12)
+    return own, [OUTSIDE] * len(own)
+
+
+#: Kinds of planted secrets, and of what looks like them.
+PLANTED: tuple[Callable[[random.Random], tuple[list[str], list[int]]], ...] = (_key_block, _broken_key, _one_token, _no_secret)
+
+
+def planted_windows(text: str) -> list[Window]:
+    """Windows of a text with a secret of each kind put between its tokens, drawn by a hash of the text."""
+    tokens, tags = labelled(text)
+    draw = random.Random(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+    found = []
+    for kind in PLANTED if tokens else ():
+        own, own_tags = kind(draw)
+        at = draw.randint(0, len(tokens))
+        near, after = slice(max(0, at - WINDOW), at), slice(at, at + WINDOW)
+        file = file_bits(f"{text} {' '.join(own)}", len(tokens) + len(own))
+        rows = features(tokens[near] + own + tokens[after], file)
+        every = tags[near] + own_tags + tags[after]
+        start = max(0, len(tokens[near]) - draw.randint(1, WINDOW // 2 - 2))
+        found.append((rows[start : start + WINDOW], every[start : start + WINDOW]))
+    return found
+
+
+def train(windows: list[Window], rounds: int = 120, rate: float = 0.3, l2: float = 1e-3) -> Field:
     """Maximum likelihood by full-batch Adam; forward and backward sums run over all windows at once.
 
     Without a window that holds a secret, the field tags everything outside.
@@ -330,7 +417,8 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """Learn a field from at most ``learn_texts`` texts with a base span and as many without.
 
     Taken are the texts whose hashes are smallest; the windows of a text number
-    nine at most, so what reaches the driver is bounded.
+    nine at most and one more for each kind of planted secrets, so what reaches
+    the driver is bounded.
     """
     rows = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(
         F.length("text") > 0
@@ -345,7 +433,7 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [w for t in texts_of(batch, "text") for w in windows_of(t)]
+            own = [w for t in texts_of(batch, "text") for w in windows_of(t) + planted_windows(t)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([[list(r) for r in rows] for rows, _ in own], type=pa.list_(pa.list_(pa.int32()))), pa.array([t for _, t in own], type=pa.list_(pa.int32()))],
                 names=["rows", "tags"],

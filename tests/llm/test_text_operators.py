@@ -185,6 +185,22 @@ def test_the_field_adds_what_the_patterns_miss(field):
     assert tagger.added(plain, []) == []
 
 
+def test_a_learned_field_finds_secrets_of_several_tokens(own):
+    draw = random.Random(11)
+    words = lambda n: " ".join(draw.choice(["alpha", "beta", "gamma", "12", "delta,", "key", "Token."]) for _ in range(n))
+    secret = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    texts = [(k, f'{words(40)} token = "{secret()}" {words(40)}' if k % 2 else words(80)) for k in range(300)]
+    learned = secret_crf.fit(own.createDataFrame(texts, "doc_id bigint, text string"))
+    tagger = secret_crf.Tagger(learned)
+    lines = ["".join(draw.choices(secret_crf._BASE64, k=64)) for _ in range(3)]
+    for hidden in ("9F8E7D 1B4A39 28F706 E5D3C2", "q7Rt 9xLm 2Vb8 Zk4P", "\n".join(lines)):
+        lead = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----" if "\n" in hidden else "auth = {}"
+        text = f"{words(30)} {lead.format(hidden)} {words(30)}"
+        assert hidden in [text[a:b] for a, _, b in tagger.added(text, secret_crf.base_spans(text))]
+    for plain in (words(200), f"{words(30)} {'Der ' * 30}{'Ating. ' * 30}{words(30)}"):
+        assert tagger.added(plain, []) == []
+
+
 def test_what_a_pattern_leaves_of_a_secret_is_added(field, monkeypatch):
     text = "password = hunter2!Xk9#Qw and token = abcdef12"
     base = secret_crf.base_spans(text)
