@@ -22,8 +22,8 @@ from millrace.llm import langid, lsh_forest, quality, secret_crf
 from millrace.llm.common import ready, stored, table
 from millrace.llm.queries import packed
 
-#: A document goes if bad quality is likelier than good.
-LEAST_QUALITY = 0.5
+#: A document goes if operator 8 would not predict good quality for it: the threshold is that of ``op8_quality_trees``.
+LEAST_QUALITY = quality.GOOD
 
 
 def _free(docs: DataFrame, name: str) -> str:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import texts_of
 
+#: Scores from which on quality is predicted to be good.
+GOOD = 0.7
 #: Labelled rows that a model learns from at most: those whose hashed ids are smallest.
 LEARN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE = 80, 4, 64, 0.15

@@ -83,7 +83,7 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"),
         F.col("_quality").alias("score"),
-        (F.col("_quality") >= 0.7).cast("int").alias("predicted"),
+        (F.col("_quality") >= quality.GOOD).cast("int").alias("predicted"),
     )
 
 

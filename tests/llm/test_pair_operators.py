@@ -294,6 +294,13 @@ def test_stages_over_edge_rows(own):
     assert corpus_pipeline.packing(own, docs.limit(0), SF).isEmpty()
 
 
+def test_quality_stage_decides_like_its_operator(own, monkeypatch):
+    docs = edge.documents(own)
+    for score, kept in ((0.6, 0), (0.7, len(edge.TEXTS))):
+        monkeypatch.setattr(corpus_pipeline.quality, "grade", lambda docs, model, name, score=score: docs.withColumn(name, F.lit(score)))
+        assert corpus_pipeline.good_quality(own, docs, SF).count() == kept
+
+
 def test_pipeline_against_its_stages(own):
     documents = {r["doc_id"]: r for r in own.read.parquet(f"{SF}/documents.parquet").collect()}
     docs = own.read.parquet(f"{SF}/documents.parquet")
