@@ -34,10 +34,16 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (7). Learns from all documents that name theirs."""
+    """Rejects documents without a language (7). Learns from all documents that name theirs.
+
+    If none does, no language can be told, and documents with a letter stay.
+    """
     ready(spark)
+    model = langid.fit(docs, F.lit(True))
+    if not model.languages:
+        return docs.where(F.udf(langid.has_letter, "boolean")("text"))
     name = _free(docs, "_language")
-    found = langid.identify(docs, langid.fit(docs, F.lit(True)), name=name)
+    found = langid.identify(docs, model, name=name)
     return found.where(F.col(f"{name}.lang_pred") != langid.NO_LANGUAGE).drop(name)
 
 

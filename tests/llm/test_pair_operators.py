@@ -301,6 +301,13 @@ def test_quality_stage_decides_like_its_operator(own, monkeypatch):
         assert corpus_pipeline.good_quality(own, docs, SF).count() == kept
 
 
+def test_language_stage_without_a_known_language(own):
+    """Where no document names its language, those with letters stay."""
+    docs = edge.documents(own).withColumn("lang", F.lit(None).cast("string"))
+    kept = [r["text"] for r in corpus_pipeline.language(own, docs, SF).select("text").collect()]
+    assert sorted(kept) == sorted(t for _, t in edge.TEXTS if t and any(map(str.isalpha, t)))
+
+
 def test_pipeline_against_its_stages(own):
     documents = {r["doc_id"]: r for r in own.read.parquet(f"{SF}/documents.parquet").collect()}
     docs = own.read.parquet(f"{SF}/documents.parquet")
