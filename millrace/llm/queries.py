@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bitplanes, bpe, chat, cost_packing, langid, lsh_forest, metric_join, order_minhash, quality, secret_crf
+from millrace.llm import (
+    bitplanes, bpe, chat, cost_packing, langid, link_trust, lsh_forest, metric_join, order_minhash, periodic_runs, quality, secret_crf,
+    term_pipeline,
+)
 from millrace.llm.common import table
 from millrace.session import scratch_path
 
@@ -124,6 +127,118 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near(table(spark, sf_dir, "embeddings"), least_cosine=0.95).withColumnRenamed("id", "vec_id")
 
 
+def planted_runs(documents: DataFrame) -> DataFrame:
+    """``documents`` with a tenth of the texts made periodic from a place on, as crc32 of their ids tells.
+
+    Texts of null ids stay as they are.
+    """
+    code = F.crc32(F.col("doc_id").cast("string"))
+    words = "filter(split(text, '[ \\t-\\r]+'), w -> w <> '')"
+    text = documents.select("doc_id", "text", code.alias("_h")).withColumn("_g", F.expr("_h div 10"))
+    place = "_g % size(_w)"
+    period = f"(1 + (size(_w) - {place}) div (3 + _g % 8))"
+    repeated = f"transform(_w, (w, i) -> if(i >= {place}, _w[cast({place} + (i - {place}) % {period} AS int)], w))"
+    chosen = text.withColumn("_w", F.when(F.col("_h") % 10 == 0, F.expr(words)))
+    return chosen.select("doc_id", F.when(F.size("_w") > 0, F.expr(f"array_join({repeated}, ' ')")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), best=10)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP12_SQL = """
+WITH texts AS (
+    SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+    FROM documents WHERE text IS NOT NULL
+), counted AS (SELECT line, doc_id, words, len(words) AS n FROM texts WHERE len(words) > 0),
+sizes AS (SELECT count(*) AS total, sum(n)::BIGINT AS length FROM counted),
+found AS (
+    SELECT line, doc_id, n, term, count(*) AS tf
+    FROM (SELECT line, doc_id, n, unnest(words) AS term FROM counted) GROUP BY line, doc_id, n, term
+), frequency AS (SELECT term, count(*) AS df FROM found GROUP BY term),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM frequency, sizes
+), scored AS (
+    SELECT item_id, line, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * total) // length))))::BIGINT AS score
+    FROM asked JOIN found USING (term) JOIN weights USING (term), sizes GROUP BY item_id, line, doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line) AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+#: The rules of op13: verdict, host with its subdomains, and how the path begins.
+URL_RULES = [
+    link_trust.Rule("allow", "com", "/"), link_trust.Rule("block", "example.com", "/en/"), link_trust.Rule("allow", "www.example.com", "/en/"),
+    link_trust.Rule("block", "net", "/es/"), link_trust.Rule("block", "net", "/fr/"),
+]
+
+
+def op13_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
+def _op13_sql() -> str:
+    """Rounds of the propagation as one common table expression each."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host, path, link = (x.replace("'", "''") for x in (link_trust.HOST, link_trust.PATH, link_trust.LINK))
+    cases = {what: "" for what in ("rule", "verdict")}
+    for r in sorted(URL_RULES, key=lambda r: -len(r.host) - len(r.path)):
+        for what, value in (("rule", r.host + r.path), ("verdict", r.verdict)):
+            cases[what] += f" WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{value}'"
+    parts = [
+        f"named AS (SELECT page_id, coalesce({lower.format(f"regexp_extract(url, '{host}', 1)")}, '') AS host,"
+        f" coalesce(regexp_extract(url, '{path}', 1), '') AS path, html FROM pages)",
+        f"judged AS (SELECT page_id, host, path, html, CASE{cases['rule']} END AS rule, CASE{cases['verdict']} END AS ruled FROM named)",
+        f"links AS (SELECT host AS a, {lower.format("regexp_extract(link, '//([^/?#]*)$', 1)")} AS b"
+        f" FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM named))",
+        "linked AS (SELECT a, b, count(*) AS n FROM links WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b)",
+        "hosts AS (SELECT host FROM named WHERE host <> '' UNION SELECT b FROM linked)",
+        "family AS (SELECT x.host, y.host AS domain FROM hosts x JOIN hosts y ON y.host = regexp_replace(x.host, '^[^.]*[.]?', ''))",
+        "edges AS (SELECT a, b, sum(n)::BIGINT AS n FROM (SELECT a, b, n FROM linked UNION ALL SELECT host, domain, 1 FROM family"
+        " UNION ALL SELECT domain, host, 1 FROM family) GROUP BY a, b)",
+    ]
+    for name, verdict, a, b in (("trust", "allow", "a", "b"), ("distrust", "block", "b", "a")):
+        parts += [
+            f"{name}_seed AS (SELECT host, {link_trust.UNIT} * count(*) FILTER (ruled = '{verdict}') // count(*) AS seed FROM judged"
+            f" WHERE host <> '' GROUP BY host HAVING count(*) FILTER (ruled = '{verdict}') > 0)",
+            f"{name}_edge AS (SELECT {a} AS a, {b} AS b, n, sum(n) OVER (PARTITION BY {a})::BIGINT AS total FROM edges)",
+            f"{name}0 AS (SELECT host, seed AS score FROM {name}_seed)",
+        ]
+        share = f"(score * {link_trust.PASSED_ON} // 100)"
+        for k in range(link_trust.ROUNDS):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT host, sum(score)::BIGINT AS score FROM (SELECT b AS host, ({share} // total) * n + ({share} % total) * n // total"
+                f" AS score FROM {name}_edge JOIN {name}{k} ON host = a UNION ALL SELECT host, seed FROM {name}_seed) GROUP BY host)"
+            )
+    last = link_trust.ROUNDS
+    return (
+        "WITH " + ",\n".join(parts) + f"\nSELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.score, 0) - coalesce(t.score, 0)"
+        f" >= {link_trust.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(t.score, 0) AS trust, coalesce(d.score, 0) AS distrust\n"
+        f"FROM judged j LEFT JOIN trust{last} t ON t.host = j.host LEFT JOIN distrust{last} d ON d.host = j.host"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_order_minhash": op2_order_minhash,
@@ -135,8 +250,11 @@ QUERIES: dict[str, Query] = {
     "op8_quality_trees": op8_quality_trees,
     "op9_secret_crf": op9_secret_crf,
     "op10_metric_join": op10_metric_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_term_pipeline": op12_term_pipeline,
+    "op13_link_trust": op13_link_trust,
 }
 
-#: None of the ten can be stated in SQL: tokenizers, sketches, trained models, packing
-#: and transitive closures. Their tests restate them by brute force.
-ORACLES: dict[str, str] = {}
+#: The others can't be stated in SQL: tokenizers, sketches, trained models, packing,
+#: transitive closures and grammars. Their tests restate them by brute force.
+ORACLES: dict[str, str] = {"op12_term_pipeline": OP12_SQL, "op13_link_trust": _op13_sql()}
