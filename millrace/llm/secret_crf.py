@@ -42,6 +42,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 ADDED = "crf"
 #: Texts with and without a base span that windows are learned from, at most, and tokens of a window.
 LEARN_TEXTS, WINDOW = 600, 16
+#: Rows that are searched for texts to learn from, as a multiple of these texts.
+DRAWN = 64
 FORMS = 200_000
 
 _SIGNS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -416,15 +418,18 @@ def train(windows: list[Window], rounds: int = 120, rate: float = 0.3, l2: float
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_texts: int = LEARN_TEXTS) -> Field:
     """Learn a field from at most ``learn_texts`` texts with a base span and as many without.
 
-    Taken are the texts whose hashes are smallest; the windows of a text number
-    nine at most and one more for each kind of planted secrets, so what reaches
-    the driver is bounded.
+    First about ``DRAWN`` times as many rows are drawn by a hash, whatever the size of
+    the table; only their texts are searched for the patterns, and of these the texts
+    whose hashes are smallest are taken. The windows of a text number nine at most and
+    one more for each kind of planted secrets, so what reaches the driver is bounded.
     """
     rows = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(
         F.length("text") > 0
     )
     sign = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     order = [F.xxhash64("id", F.lit("secrets")), F.xxhash64("text")]
+    share = min(1.0, DRAWN * learn_texts / max(1, documents.count()))
+    rows = rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     drawn = [
         rows.where(part).select("text", *[o.alias(f"_o{k}") for k, o in enumerate(order)])
         .orderBy("_o0", "_o1", "text").limit(learn_texts).select("text")
