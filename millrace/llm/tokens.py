@@ -13,8 +13,10 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces in each of the two generations that a Python worker keeps.
-KEPT = 300_000
+#: Pieces in each of the two generations that a Python worker keeps; longer ones are not kept.
+KEPT, KEPT_LENGTH = 300_000, 48
+#: Pieces that go to the library as one text.
+JOINED = 1000
 
 
 class PieceTokenizer:
@@ -33,6 +35,10 @@ class PieceTokenizer:
         own.no_truncation()
         self.own = own
         self.drops_space = own.encode(" ", add_special_tokens=False).ids == []
+        # Texts on both sides of a special token are tokenized apart, so many go to the library between such tokens.
+        special = [(t.content, k) for k, t in own.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark, self.mark_id = special[-1] if special else (None, None)
+        self.added = [t.content for t in own.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -40,33 +46,73 @@ class PieceTokenizer:
         """The text's pieces; None if it must stay whole."""
         if self.drops_space:  # Python splits at the information separators, the tokenizer doesn't
             return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
+        if "\0" in text:
+            return None
+        if "\n" in text and not any(c in text for c in ("\n\n", "\n ", " \n", "\t", "\r", "\v", "\f")) and text[0] != "\n" != text[-1]:
+            text = text.replace("\n", "\0\n\0")  # one line feed between words is a piece of its own
+        return text.replace(" ", "\0 ").split("\0")
 
     def _loose(self, piece: str) -> bool:
         """Whether a byte-level piece ends or goes on with white space, so that a cut beside it was wrong."""
-        return piece[-1:].isspace() or (piece[:1] == " " and piece[1:2].isspace())
+        return piece != "\n" and (piece[-1:].isspace() or (piece[:1] == " " and piece[1:2].isspace()))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cuts = [self.cut(t) for t in texts]
         if len(self.young) > KEPT:
             self.young, self.old = {}, self.young
-        new = set().union(*(c for c in cuts if c)).difference(self.young)
-        if self.old:
-            again = {p: self.old[p] for p in new if p in self.old}
-            self.young.update(again)
-            new.difference_update(again)
-        if not self.drops_space and (loose := {p for p in new if self._loose(p)}):
+        new = self._unknown(set().union(*(c for c in cuts if c)))
+        if not self.drops_space and (loose := {p for p in new if not p[-1:].isalnum() and self._loose(p) or p[1:2].isspace()}):
             cuts = [c if c is None or loose.isdisjoint(c) else None for c in cuts]
             new -= loose
-        new = list(new)
-        self.young.update(zip(new, self._bytes(new), strict=True))
+        passing = self._learn(new)
         whole = [k for k, c in enumerate(cuts) if c is None]
         found = dict(zip(whole, self._bytes([texts[k] for k in whole]), strict=True))
         get = self.young.__getitem__
-        return [
+        ids = [
             np.frombuffer(found[k] if c is None else b"".join(map(get, c)), dtype="<u4")
             for k, c in enumerate(cuts)
         ]
+        for piece in passing:
+            del self.young[piece]
+        return ids
+
+    def _unknown(self, pieces: set[str]) -> set[str]:
+        """The pieces that are in neither generation; those of the older one are taken over."""
+        new = pieces.difference(self.young)
+        if self.old:
+            again = {p: self.old[p] for p in new if p in self.old}
+            self.young.update(again)
+            new.difference_update(again)
+        return new
+
+    def _learn(self, pieces: set[str]) -> set[str]:
+        """Puts the ids of pieces into the young generation; gives those that are too long to be kept.
+
+        A word and the full stop or comma after it are never one token.
+        """
+        ended = [p for p in pieces if p[-1:] in (".", ",") and p[1:-1].isalpha() and p.isascii()]
+        parts = pieces.difference(ended)
+        parts.update(self._unknown({p[:-1] for p in ended} | {p[-1] for p in ended}))
+        new = list(parts)
+        self.young.update(zip(new, self._bytes_joined(new), strict=True))
+        young = self.young
+        young.update([(p, young[p[:-1]] + young[p[-1]]) for p in ended])
+        return {p for p in (*new, *ended) if len(p) > KEPT_LENGTH}
+
+    def _bytes_joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of short texts, many of them handed over as one."""
+        if self.mark is None or "" in pieces or any(a in p for a in self.added for p in pieces if "<" in p or a[0] != "<"):
+            return self._bytes(pieces)
+        found: list[bytes] = []
+        texts = [self.mark.join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]
+        for encoding in self.own.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(encoding.ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
+            data, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                found.append(data[at:end])
+                at = end + 4
+        return found
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
