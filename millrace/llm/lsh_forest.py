@@ -11,9 +11,10 @@ least ``LEAST_DEPTH`` bytes with it. Pairs that the full sets confirm join
 documents to groups. Then every region, the classes that share ``LEAST_DEPTH``
 bytes in an order, is searched for what is still apart: the classes outside a
 region's largest group are compared with the whole region by signatures, and
-pairs between different groups whose signatures nearly suffice by their full sets.
-No region is cut: a large one is dealt to slices, and each slice meets all classes
-outside the largest group. So a dense region costs what its stragglers ask, not all
+pairs between different groups whose signatures nearly suffice by their full sets,
+which come to where the pairs meet; of the pairs only links come out, one for a class
+and a group in a slice at most, since more of them join nothing. No region is cut: a
+large one is dealt to slices, and each slice meets all classes outside the largest group. So a dense region costs what its stragglers ask, not all
 its pairs; a crowd that is alike but not enough has no large group, and there work
 grows with the square of the region.
 
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BoundedCache, classes_of, stored
+from millrace.operators.scaling import spread_join
 
 WORDS = 5
 FUNCTIONS, ORDERS, DEPTH, LEAST_DEPTH = 512, 32, 16, 4
@@ -218,12 +220,13 @@ def regions(labelled: DataFrame) -> DataFrame:
     )
 
 
-def stragglers(labelled: DataFrame, least: float) -> DataFrame:
-    """Pairs that share a region, whose groups differ and whose signatures nearly suffice, each once.
+def straggler_links(labelled: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between different groups of a region: one at least for each class and group of which there are any.
 
-    One of such a pair is outside the region's largest group. It meets the other
+    One of the two is outside the region's largest group. It meets the other
     in the slice where that one is at home, in the first of the orders that have
-    both in one region.
+    both in one region. First slices find the classes of which a pair's signatures
+    nearly suffice; these alone meet there again with their full sets.
     """
     found = stored(regions(labelled), "forest-regions")
     members = dealt(labelled, ["node", "label"], LEAST_DEPTH).join(found, ["tree", "key"]).select(
@@ -234,10 +237,20 @@ def stragglers(labelled: DataFrame, least: float) -> DataFrame:
         "tree", "key", "node", "label", "size", "sig", "few", home.alias("home"),
         F.explode(F.when(F.col("few"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(home))).alias("slice"),
     )
-    rows = (
-        sent.select("tree", "key", "slice", (F.col("slice") != F.col("home")).alias("guest"), "few", "node", "label", "size", "sig")
-        .repartition("tree", "key", "slice").sortWithinPartitions("tree", "key", "slice", "guest", "node")
+    at = ["tree", "key", "slice"]
+    thin = sent.select(*at, (F.col("slice") != F.col("home")).alias("guest"), "few", "node", "label", "size", "sig")
+    taking_part = stored(_met(thin, percent, False).distinct(), "forest-stragglers")
+    nodes = taking_part.select("node").distinct()
+    own = stored(_sets_of(nodes, classes, documents), "straggler-sets")
+    again = taking_part.join(labelled, "node").join(own, "node").select(
+        *at, "guest", "few", "node", "label", "size", "sig", "shingles"
     )
+    return _met(again, percent, True)
+
+
+def _met(rows: DataFrame, percent: int, by_sets: bool) -> DataFrame:
+    """What comes of the slices of ``rows``: links by full sets, or the classes that take part in likely pairs."""
+    dealt_out = rows.repartition("tree", "key", "slice").sortWithinPartitions("tree", "key", "slice", "guest", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by slice, those at home first: these are held, then guests meet them."""
@@ -249,29 +262,32 @@ def stragglers(labelled: DataFrame, least: float) -> DataFrame:
                 if current is None or current.key != keys[a]:
                     if current is not None:
                         yield from current.ended()
-                    current = _Slice(keys[a], least)
+                    current = _Slice(keys[a], percent, by_sets)
                 yield from current.add(batch.slice(a, b - a))
         if current is not None:
             yield from current.ended()
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return dealt_out.mapInArrow(run, "a bigint, b bigint" if by_sets else "tree int, key binary, slice int, guest boolean, few boolean, node bigint")
 
 
 class _Slice:
-    """Classes of a region that are at home in a slice, as few, node, label, size and signature."""
+    """Classes of a region that are at home in a slice, as few, node, label, size, signature and set."""
 
-    def __init__(self, key: tuple, least: float):
-        self.key, self.least, self.parts, self.home = key, least, [], None
+    def __init__(self, key: tuple, percent: int, by_sets: bool):
+        self.key, self.percent, self.least, self.by_sets, self.parts, self.home = key, percent, percent / 100, by_sets, [], None
 
     def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         guest = rows.column(3).to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
-        part = (rows.column(4).to_numpy(zero_copy_only=False), *(rows.column(k).to_numpy() for k in (5, 6, 7)), sig)
+        own = np.empty(len(sig), object)
+        if self.by_sets:
+            own[:] = rows.column(9).to_pylist()
+        part = (rows.column(4).to_numpy(zero_copy_only=False), *(rows.column(k).to_numpy() for k in (5, 6, 7)), sig, own)
         if not guest.all():
             self.parts.append(tuple(x[~guest] for x in part))
         if guest.any():
             yield from self.closed()
-            yield from self.meet(tuple(x[guest] for x in part))
+            yield from self.meet(tuple(x[guest] for x in part), True)
 
     def closed(self) -> Iterator[pa.RecordBatch]:
         """All at home are there; compares them with each other."""
@@ -279,18 +295,32 @@ class _Slice:
             self.home, self.parts = tuple(np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (), []
             if self.home:
                 self.prefixes = _prefixes(self.home[4])
-                yield from self.meet(tuple(x[self.home[0]] for x in self.home))
+                self.met = np.zeros(len(self.home[1]), bool)
+                yield from self.meet(tuple(x[self.home[0]] for x in self.home), False)
 
     def ended(self) -> Iterator[pa.RecordBatch]:
         yield from self.closed()
-
-    def meet(self, some: tuple) -> Iterator[pa.RecordBatch]:
-        """Pairs of some classes outside the largest group with those at home."""
+        if self.home and not self.by_sets and self.met.any():
+            few, nodes = (x[self.met] for x in self.home[:2])
+            yield self._taking_part(few, nodes, False)
+
+    def _taking_part(self, few: np.ndarray, nodes: np.ndarray, guest: bool) -> pa.RecordBatch:
+        n = len(nodes)
+        tree, key, place = self.key
+        columns = [pa.array([tree] * n, pa.int32()), pa.array([key] * n, pa.binary()), pa.array([place] * n, pa.int32())]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array([guest] * n, pa.bool_()), pa.array(few, pa.bool_()), pa.array(nodes, pa.int64())],
+            names=["tree", "key", "slice", "guest", "few", "node"],
+        )
+
+    def meet(self, some: tuple, guests: bool) -> Iterator[pa.RecordBatch]:
+        """Compares some classes outside the largest group with those at home."""
         if not self.home or not len(some[1]):
             return
-        tree, (few, nodes, labels, sizes, sig) = self.key[0], self.home
-        _, own, groups, n, sig_own = some
+        tree, (few, nodes, labels, sizes, sig, _) = self.key[0], self.home
+        own_few, own, groups, n, sig_own, _ = some
         prefixes = _prefixes(sig_own)
+        took_part = np.zeros(len(own), bool)
         for k in range(0, len(own), 16):
             at = slice(k, k + 16)
             alike = groups[at, None] != labels[None]
@@ -304,8 +334,34 @@ class _Slice:
                     first = ~(prefixes[x, :tree] == self.prefixes[y, :tree]).any(axis=1)
                     x, y = x[first], y[first]
                 near = _agreeing(sig_own[x], sig[y]) / FUNCTIONS >= self.least - MARGIN
-                if near.any():
-                    yield _pairs(np.stack([own[x[near]], nodes[y[near]]], axis=1))
+                x, y = x[near], y[near]
+                if not len(x):
+                    continue
+                if self.by_sets:
+                    yield self._linked(some, x, y)
+                else:
+                    took_part[x] = True
+                    self.met[y] = True
+        if not self.by_sets and guests and took_part.any():
+            yield self._taking_part(own_few[took_part], own[took_part], True)
+        elif not self.by_sets and took_part.any():  # those at home, in the order of the home
+            self.met[np.flatnonzero(few)[took_part]] = True
+
+    def _linked(self, some: tuple, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        """Links among pairs by their full sets; once a class is linked with a group, its other pairs with it are passed over."""
+        links, done, last, mine = [], set(), None, None
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            group = (i, int(self.home[2][j]))
+            if group in done:
+                continue
+            if i != last:
+                last, mine = i, unpacked(some[5][i])
+            other = unpacked(self.home[5][j])
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            if 100 * both >= self.percent * (len(mine) + len(other) - both):
+                done.add(group)
+                links.append((int(some[1][i]), int(self.home[1][j])))
+        return _pairs(np.array(links, np.int64).reshape(-1, 2))
 
 
 def _prefixes(sig: np.ndarray) -> np.ndarray:
@@ -336,12 +392,16 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _sets_of(nodes: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """``node, shingles`` of distinct ``node``, made anew from one document of each class."""
+    wanted = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("id"))
+    return sets(documents.join(wanted, "id", "left_semi")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are alike enough; sets are made anew for the documents that occur."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("id"))
-    own = sets(documents.join(wanted, "id", "left_semi")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    own = stored(own, "shingle-sets")
+    own = stored(_sets_of(nodes, classes, documents), "shingle-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,17 +445,15 @@ def near_duplicates(documents: DataFrame, percent: int = 75, id_col: str = "doc_
         .select("node", F.coalesce("component", "node").alias("label"), F.col("n").alias("size"), "sig"),
         "forest-labels",
     )
-    second = stored(stragglers(labelled, least).join(first, ["a", "b"], "left_anti"), "forest-stragglers")
-    if not second.isEmpty():
-        more = confirmed(second, classes, known, percent)
-        links = stored(links.unionByName(more), "forest-all-links")
+    more = straggler_links(labelled, classes, known, percent)
+    links = stored(links.unionByName(more).distinct(), "forest-all-links")
     # One id may stand for several sets; they are then one node.
     spread = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     same_id = named.join(spread.select("id", "a"), "id").select("a", F.col("node").alias("b"))
     parts = classes_of(links.select("a", "b").unionByName(same_id))
     whole = classes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
     component = whole.groupBy("part").agg(F.min("least").alias("component_id"))
-    found = whole.join(component, "part").select("node", "component_id")
+    found = spread_join(whole, component, ["part"], ["node"]).select("node", "component_id")
     linked = named.select("id", "n", "node").join(found, "node").select("id", "n", "component_id")
     alone = signed.where("id IS NULL OR node IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import classes_of, stored
+from millrace.operators.scaling import spread_join
 
 #: Vectors for each pivot, and the most pivots there may be: they are broadcast.
 PER_PIVOT, MAX_PIVOTS = 8192, 4096
@@ -177,7 +178,7 @@ def near(
     # A class that links with no other is its own component; components are named by their smallest id.
     named = classes.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    per_class = named.join(least, "part").join(counts, "node", "left").select("direction", "component_id", "n")
+    per_class = spread_join(named, least, ["part"], ["node"]).join(counts, "node", "left").select("direction", "component_id", "n")
     alone = rows.where("direction IS NULL").select("id", F.lit(None).cast("bigint").alias("component_id"), F.lit(None).cast("bigint").alias("n"))
     return (
         rows.where("direction IS NOT NULL").join(per_class, "direction").select("id", "component_id", "n").unionByName(alone)
