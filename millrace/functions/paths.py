@@ -33,6 +33,22 @@ def lookup(value: Column, path: str, sep: str = ".") -> Column:
     return F.try_variant_get(value, "$" + literal, "variant") if literal else value
 
 
+def literal_path(path: Column) -> Column:
+    """A dotted path in a column as the text of a VARIANT path; NULL where the syntax has no spelling for a step."""
+    steps = F.split(path, r"\.")
+    spelled = F.forall(steps, lambda s: (s != "") & ~s.rlike("[?']"))
+    return F.when(spelled, F.concat(F.lit("$['"), F.array_join(steps, "']['"), F.lit("']")))
+
+
+def lookup_at(value: Column, literal: Column, steps: Column) -> Column:
+    """Like :func:`lookup`, with the path in columns: its text if it has one, and its steps."""
+
+    def member(found: Column, step: Column) -> Column:
+        return F.try_element_at(F.try_variant_get(found, "$", "map<string,variant>"), step)
+
+    return F.when(literal.isNotNull(), F.try_variant_get(value, literal, "variant")).otherwise(F.aggregate(steps, value, member))
+
+
 def is_found(value: Column, path: str) -> Column:
     return lookup(value, path).isNotNull()
 

@@ -58,6 +58,20 @@ def pages_from_resume(pages: DataFrame, runs: DataFrame) -> DataFrame:
     return spread_join(pages, started, ["run"], ["page"]).where("page >= start")
 
 
+def first_versions(pages: DataFrame) -> DataFrame:
+    """One row per run and page: the version that came first, and how many rows landed as ``copies``.
+
+    First is the smallest ``arrival`` where there is one, then the smallest
+    ``checksum_sha256``, then the other columns; copies of a page combine before
+    the shuffle, so a page that landed very often is no hot key.
+    """
+    keys = ["run", "page"]
+    rest = [c for c in pages.columns if c not in keys]
+    ordered = sorted(rest, key=lambda c: {"arrival": 0, "checksum_sha256": 1}.get(c, 2))
+    folded = pages.groupBy(*keys).agg(F.min(F.struct(*ordered)).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    return folded.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest], "copies")
+
+
 def _is_terminal(n: Column, page_size: Column) -> Column:
     return (n == 0) | F.coalesce(n < page_size, F.lit(False))
 
@@ -84,9 +98,12 @@ def _first_gaps(read: DataFrame, broken: DataFrame) -> DataFrame:
     )
 
 
-def scan_outcomes(pages: DataFrame, runs: DataFrame) -> DataFrame:
+def scan_outcomes(pages: DataFrame, runs: DataFrame, folded: bool = False) -> DataFrame:
     """One row per run: how its scan ends and the last page it processes.
 
+    A page that landed more than once counts once, as its first version
+    (:func:`first_versions`; done already for ``folded`` pages).
+
     The stopping point is the first error, terminal page or missing page at or
     after the resume page; the page budget counts from the resume page, so a
     stop beyond it is a page-limit failure. An error wins a tie.
@@ -97,6 +114,9 @@ def scan_outcomes(pages: DataFrame, runs: DataFrame) -> DataFrame:
     if "error" not in pages.columns:
         pages = pages.withColumn("error", F.lit(None).cast("string"))
     started = resume_runs(runs)
+    if not folded:
+        seen = [c for c in ("arrival", "checksum_sha256") if c in pages.columns]
+        pages = first_versions(pages.select("run", "page", "n", "error", *seen))
     read = pages_from_resume(
         pages.select("run", "page", "n", "error"),
         runs.select("run", "start_page", "page_size", "cursor"),
@@ -171,7 +191,7 @@ def scan_outcomes(pages: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def kept_pages(pages: DataFrame, outcomes: DataFrame, join: Join = spread_join) -> DataFrame:
-    """Pages a scan yields, with the cursor used and the next cursor."""
+    """Pages a scan yields, with the cursor used and the next cursor; one row in per run and page."""
     bounds = outcomes.select("run", "start", "last_page", "page_size")
     inside = join(pages, bounds, ["run"], ["page"]).where(
         F.col("page").between(F.col("start"), F.col("last_page"))

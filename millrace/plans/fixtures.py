@@ -91,6 +91,35 @@ SELECT run, page, variant,
        CASE WHEN (run * 12 + page) % 37 = 21 THEN 'LoadFailed' END AS load_error
 FROM page_bodies
 """
+# Pages that land again, unchanged or in another version, and pages that never land, some beside a repeated one.
+FIXTURES["relanded_pages"] = """
+SELECT run, page, 0 AS arrival, variant, body FROM page_bodies WHERE (run * 12 + page) % 41 <> 6
+UNION ALL
+SELECT run, page, 1, variant, body FROM page_bodies WHERE (run * 12 + page) % 23 = 4 OR (run * 12 + page) % 41 IN (5, 7)
+UNION ALL
+SELECT run, page, 2, 47, concat('{"data":', page) FROM page_bodies WHERE (run * 12 + page) % 19 = 3
+UNION ALL
+SELECT run, page, 3, variant, body FROM page_bodies WHERE (run * 12 + page) % 23 = 4
+"""
+# Settings of pipelines: source configurations with what a pipeline overrides, and mappings as column:path;…
+FIXTURES["pipeline_settings"] = """
+SELECT config_id, base, override, mapping, types, config_id = 2 AS strict
+FROM (SELECT config_id,
+        CASE config_id WHEN 4 THEN '{"base_url":"https://a.example.test","records_key":"payload"}'
+                       WHEN 1 THEN '{"records_path":"wrong","page":1}' ELSE '{"records_path":"data.items","records_key":"rows"}' END AS base,
+        CASE config_id WHEN 1 THEN '{"records_path":"data.items"}' WHEN 4 THEN '{"records_path":""}' ELSE '{}' END AS override,
+        CASE config_id WHEN 0 THEN 'order_id:o_orderkey;customer_id:cust.id;cents:cents;note:note'
+                       WHEN 1 THEN 'number:o_orderkey;state:status' WHEN 2 THEN 'order_id:o_orderkey;state:status'
+                       WHEN 3 THEN '' ELSE 'key:o_orderkey;client:cust.id' END AS mapping,
+        CASE config_id WHEN 0 THEN 'order_id:bigint;cents:bigint;note:string' WHEN 4 THEN 'client:bigint' ELSE '' END AS types
+      FROM (SELECT DISTINCT config_id FROM landed_runs) c) s
+"""
+# Pages of these pipelines; on some a field that a strict mapping asks for has another name.
+FIXTURES["mixed_pages"] = """
+SELECT run, page, variant, CASE WHEN (run * 12 + page) % 17 = 5 THEN replace(body, '"status"', '"state"') ELSE body END AS body,
+       fetch_error, load_error
+FROM troubled_pages
+"""
 FIXTURES["response_log"] = """
 SELECT CAST(floor(event_id / 2) AS BIGINT) % 97 AS run,
        CAST(floor(event_id / 2) AS BIGINT) AS page,

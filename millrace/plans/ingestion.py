@@ -8,16 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import logical_key, object_uri, tenant_key
-from millrace.functions.paths import lookup
-from millrace.operators.mapping import map_records, mapping_problem, misfits
-from millrace.operators.paging import kept_pages, resume_runs, scan_outcomes
-from millrace.operators.records import (
-    MALFORMED,
-    body_problem,
-    extract_records,
-    page_records,
-    parse_body,
-)
+from millrace.operators.paging import first_versions, kept_pages, resume_runs, scan_outcomes
+from millrace.operators.records import MALFORMED, parse_body
+from millrace.operators.rules import RULE_COLUMNS, FixedRules, RowRules, Rules, pipeline_rules
 from millrace.operators.runs import COUNTERS, run_counters
 from millrace.operators.scaling import BROADCAST_ROWS, Join, computed_once, join_for
 from millrace.schemas import DEFAULT_MAX_PAGES
@@ -53,36 +46,31 @@ def with_settings(runs: DataFrame) -> DataFrame:
     return runs.withColumns(added)
 
 
-def within_budget(landed: DataFrame, runs: DataFrame, join: Join) -> DataFrame:
+def within_budget(landed: DataFrame, runs: DataFrame, join: Join, carried: list[str] | None = None) -> DataFrame:
     """Landed pages that a run may read at all: from its resume page on, as many as its budget.
 
     Applied before anything is parsed, so that a run which resumes near the end
-    of a long landing reads only what is left.
+    of a long landing reads only what is left. Columns of the runs named in
+    ``carried`` come along.
     """
     started = resume_runs(runs).where(~F.col("bad_cursor"))
     last = F.col("start") + F.coalesce(F.col("max_pages"), F.lit(DEFAULT_MAX_PAGES)) - 1
-    bounds = started.select("run", F.col("start").alias("_first"), last.alias("_last"))
+    bounds = started.select("run", F.col("start").alias("_first"), last.alias("_last"), *(carried or []))
     return join(landed, bounds, ["run"], ["page"]).where("page BETWEEN _first AND _last").drop("_first", "_last")
 
 
-def page_states(
-    landed: DataFrame,
-    records_path: str,
-    mapping: dict[str, str],
-    strict: bool,
-    types: dict[str, str] | None = None,
-) -> DataFrame:
-    """Thin facts of every landed page, bodies read once and left behind.
+def judged_pages(landed: DataFrame, rules: Rules) -> DataFrame:
+    """Thin facts of every landed row, bodies read once and left behind.
 
     A page fails for the first of: a fetch error that came with it, a malformed
     body, a record that can't be mapped, a value that doesn't fit its column, a
     load error that came with it. The last three leave a raw record.
     """
     parsed = computed_once(landed, _data=parse_body(F.col("body")))
-    parsed = computed_once(parsed, _records=page_records(F.col("_data"), records_path))
-    unmappable = F.exists("_records", lambda r: mapping_problem(r, mapping, strict).isNotNull())
-    unfit = F.exists("_records", lambda r: misfits({c: lookup(r, p) for c, p in mapping.items()}, types or {}))
-    malformed = body_problem(F.col("_data"), records_path).isNotNull()
+    parsed = computed_once(parsed, _records=rules.records(F.col("_data")))
+    unmappable = F.exists("_records", rules.unmappable)
+    unfit = F.exists("_records", rules.unfit)
+    malformed = rules.problem(F.col("_data")).isNotNull()
 
     def given(name: str) -> Column:
         return F.col(name) if name in landed.columns else F.lit(None).cast("string")
@@ -103,9 +91,21 @@ def page_states(
         F.sha2(F.col("body").cast("binary"), 256).alias("checksum_sha256"),
         "error",
         (F.col("_stored") & F.col("error").isNotNull()).alias("fails_after_storage"),
+        *[F.col(c) for c in ("arrival",) if c in landed.columns],
     )
 
 
+def page_states(
+    landed: DataFrame,
+    records_path: str,
+    mapping: dict[str, str],
+    strict: bool,
+    types: dict[str, str] | None = None,
+) -> DataFrame:
+    """:func:`judged_pages` under one set of rules."""
+    return judged_pages(landed, FixedRules(records_path, mapping, types or {}, strict))
+
+
 def run_states(outcomes: DataFrame, kept: DataFrame, runs: DataFrame) -> DataFrame:
     """Status, counters and cursor of each run: what was saved, and what its pages add.
 
@@ -140,26 +140,72 @@ def ingest(
     """Run the page loop of every run of one pipeline's settings at once.
 
     ``landed`` holds ``run, page, body`` and may hold the categories of a
-    ``fetch_error`` or ``load_error`` of a page; ``runs`` the scan settings of
-    :mod:`millrace.operators.paging` and those of :func:`with_settings`, so that
-    the states of one call are the saved state of the next.
-
-    Without a mapping every run fails before a page is read. Page facts and run
-    outcomes are materialised once, because raw records, counters and rows all
-    need them and none needs a body. Bodies are cut to the pages of a run before
-    they are parsed, in both passes: up to ``broadcast_rows`` runs that takes no
-    shuffle of bodies, beyond that they are spread; the rows are the same.
+    ``fetch_error`` or ``load_error`` of a page, and its ``arrival``; ``runs`` the scan
+    settings of :mod:`millrace.operators.paging` and those of :func:`with_settings`, so
+    that the states of one call are the saved state of the next.
+
+    A page may land more than once: its first version counts, once, by ``arrival`` or
+    else by checksum. Without a mapping every run fails before a page is read. Page
+    facts and run outcomes are materialised once, because raw records, counters and
+    rows all need them and none needs a body. Bodies are cut to the pages of a run
+    before they are parsed, in both passes: up to ``broadcast_rows`` runs that takes no
+    shuffle of bodies, beyond that they are spread; the rows are the same. Only bodies
+    of pages that landed more than once are shuffled, to load one of them.
     """
-    runs = cut_lineage(with_settings(runs))
+    return _ingest(landed, with_settings(runs), FixedRules(records_path, mapping, types, strict), bucket, broadcast_rows)
+
+
+def ingest_pipelines(
+    landed: DataFrame, runs: DataFrame, pipelines: DataFrame, bucket: str = "raw", broadcast_rows: int = BROADCAST_ROWS
+) -> Ingestion:
+    """Run the page loop of runs whose pipelines have settings of their own, all in one pass.
+
+    Like :func:`ingest`, with the settings of ``runs.config_id`` in ``pipelines``: a row
+    ``config_id, records_path, mapping, types, strict`` each, see
+    :func:`millrace.operators.rules.pipeline_rules`. Loaded rows have the columns of
+    different destinations, so they come as a map ``row`` beside ``config_id``;
+    :func:`destination_rows` gives those of one destination. A run whose pipeline is
+    not there has no mapping and fails.
+    """
+    settings = pipeline_rules(pipelines)
+    return _ingest(landed, with_settings(runs).join(settings, "config_id", "left"), RowRules(), bucket, broadcast_rows)
+
+
+def destination_rows(loaded: DataFrame, config_id, types: dict[str, str]) -> DataFrame:
+    """Rows that one pipeline loads, ``run, page, pos`` and the columns of ``types``."""
+    own = loaded.where(F.col("config_id") == config_id)
+    return own.select("run", "page", "pos", *[F.try_variant_get(F.try_element_at("row", F.lit(c)), "$", k).alias(c) for c, k in types.items()])
+
+
+def _one_of_each(pages: DataFrame, facts: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Landed pages without repeats: of a page that landed more than once, one row of the version that counts."""
+    repeated = facts.where("copies > 1").select("run", "page", F.col("checksum_sha256").alias("_sum"))
+    if repeated.isEmpty():
+        return pages
+    join = join_for(repeated, broadcast_rows)
+    told = join(pages, repeated, ["run", "page"], ["run", "page"], "left")
+    single = told.where("_sum IS NULL")
+    several = told.where(F.col("_sum") == F.sha2(F.col("body").cast("binary"), 256)).dropDuplicates(["run", "page"])
+    return single.unionByName(several).drop("_sum")
+
+
+def _ingest(landed: DataFrame, runs: DataFrame, rules: Rules, bucket: str, broadcast_rows: int) -> Ingestion:
+    runs = cut_lineage(runs.withColumn("_unmapped", rules.unmapped()))
+    own_rules = [c for c in RULE_COLUMNS if c in runs.columns]
     join = join_for(runs, broadcast_rows)
-    if mapping:
-        facts = cut_lineage(page_states(within_budget(landed, runs, join), records_path, mapping, strict, types))
-        outcomes = cut_lineage(scan_outcomes(facts.select("run", "page", "n", "error"), runs))
-    else:
-        facts = page_states(landed.where("false"), records_path, mapping, strict, types)
-        outcomes = scan_outcomes(facts.select("run", "page", "n", "error"), runs).withColumns(
-            {"outcome": F.lit("failed"), "category": F.lit("MappingError")}
-        )
+    readable = runs.where(~F.col("_unmapped"))
+    versions = judged_pages(within_budget(landed, readable, join, own_rules), rules)
+    facts = cut_lineage(first_versions(versions).drop("arrival"))
+    outcomes = scan_outcomes(facts.select("run", "page", "n", "error"), runs.drop(*own_rules), folded=True)
+    unmapped = runs.select("run", "_unmapped")
+    outcomes = cut_lineage(
+        outcomes.join(unmapped, "run").withColumns(
+            {
+                "outcome": F.when(F.col("_unmapped"), "failed").otherwise(F.col("outcome")),
+                "category": F.when(F.col("_unmapped"), "MappingError").otherwise(F.col("category")),
+            }
+        ).drop("_unmapped")
+    )
     kept = kept_pages(facts, outcomes, join)
     states = run_states(outcomes, kept, runs)
     bounds = outcomes.select("run", "start", "last_page", "stop_page").join(
@@ -187,10 +233,16 @@ def ingest(
             object_uri(bucket, F.col("_key")).alias("storage_uri"),
         )
     )
+    per_run = outcomes.select("run", "start", "last_page").join(runs.select("run", "config_id", *own_rules), "run") if own_rules else bounds.select("run", "start", "last_page")
     inside = (
-        join(landed.select("run", "page", "body"), bounds.select("run", "start", "last_page"), ["run"], ["page"])
+        join(landed.select("run", "page", "body"), per_run, ["run"], ["page"])
         .where(F.col("page").between(F.col("start"), F.col("last_page")))
-        .select("run", "page", "body")
+        .drop("start", "last_page")
     )
-    loaded = map_records(extract_records(inside, records_path), mapping, types)
+    inside = _one_of_each(inside, kept, broadcast_rows)
+    parsed = computed_once(inside, _data=parse_body(F.col("body")))
+    carried = ["run", *(["config_id", *own_rules] if own_rules else []), "page"]
+    records = parsed.select(*carried, F.posexplode(rules.records(F.col("_data"))).alias("pos", "record"))
+    columns = [c for c in carried if c not in own_rules]
+    loaded = records.select(*columns, "pos", *[v.alias(c) for c, v in rules.row(F.col("record")).items()])
     return Ingestion(states=states, raw_records=stored, loaded=loaded)

@@ -5,10 +5,12 @@ import re
 from pyspark.sql import functions as F
 
 from millrace.operators import rawstore
+from millrace.operators.config import effective_configs
 from millrace.operators.mapping import type_failures
 from millrace.operators.records import extract_records
+from millrace.operators.rules import records_paths
 from millrace.plans.fixtures import fixture
-from millrace.plans.ingestion import ingest
+from millrace.plans.ingestion import destination_rows, ingest, ingest_pipelines
 from millrace.plans.registry import query
 from millrace.plans.scan_queries import RECORDS_PATH
 from millrace.session import scratch_path
@@ -136,6 +138,111 @@ def resumed_execution(spark, sf_dir):
     return ingest(landed, again, RECORDS_PATH, MAPPING, TYPES).states
 
 
+# A page counts once, as it arrived first; what never landed stops its run, repeats or not.
+_FIRST = """(SELECT run, page, arg_min(variant, arrival) AS variant, arg_min(body, arrival) AS body,
+             CAST(NULL AS VARCHAR) AS fetch_error, CAST(NULL AS VARCHAR) AS load_error FROM relanded_pages GROUP BY run, page) b"""
+
+
+def _relanded(spark, sf_dir):
+    landed = fixture(spark, sf_dir, "relanded_pages").drop("variant")
+    return ingest(landed, fixture(spark, sf_dir, "landed_runs"), RECORDS_PATH, MAPPING, TYPES)
+
+
+@query("repeated_pages", _loop(_FIRST) + _STATES)
+def repeated_pages(spark, sf_dir):
+    return _relanded(spark, sf_dir).states
+
+
+@query("repeated_pages_raw", _loop(_FIRST) + _RAW)
+def repeated_pages_raw(spark, sf_dir):
+    return _relanded(spark, sf_dir).raw_records
+
+
+@query("repeated_pages_loaded", _loop(_FIRST) + _LOADED)
+def repeated_pages_loaded(spark, sf_dir):
+    return _relanded(spark, sf_dir).loaded.drop("pos")
+
+
+# The loop again, for pipelines that read other fields of the same pages: what a page holds, and whether it
+# maps and fits, goes by the pipeline of its run; pipeline 3 has no mapping and reads nothing.
+_MIXED = (
+    _loop("mixed_pages")
+    .replace(
+        "CASE WHEN variant IN (47, 48, 49) THEN NULL WHEN variant = 45 THEN 0",
+        """CASE WHEN run % 5 = 4 THEN CASE WHEN variant IN (46, 48) THEN json_array_length(CASE WHEN variant = 46 THEN body ELSE body->'payload' END) END
+              WHEN variant IN (47, 48, 49) THEN NULL WHEN variant = 45 THEN 0""",
+    )
+    .replace(
+        "WHEN variant IN (47, 48, 49) THEN 'MalformedResponseError'",
+        """WHEN run % 5 <> 4 AND variant IN (47, 48, 49) OR run % 5 = 4 AND variant NOT IN (46, 48) THEN 'MalformedResponseError'
+              WHEN run % 5 = 2 AND contains(body, '"state"') THEN 'MappingError'""",
+    )
+    .replace("WHEN variant <> 45 AND contains", "WHEN run % 5 = 0 AND variant <> 45 AND contains")
+    .replace("AND f.page >= s.start)", "AND f.page >= s.start AND s.run % 5 <> 3)")
+)
+
+
+def _mixed(spark, sf_dir):
+    """Settings as pipelines have them: their own over those of their source, mappings as text."""
+    settings = fixture(spark, sf_dir, "pipeline_settings")
+    as_map = "filter(transform(split({0}, ';'), p -> split(p, ':')), p -> size(p) = 2)"
+
+    def pairs(name):
+        return F.expr(f"map_from_entries(transform({as_map.format(name)}, p -> struct(p[0], p[1])))")
+
+    sources = settings.select(F.col("config_id").alias("connection_id"), F.col("base").alias("config"))
+    own = settings.select(
+        "config_id", F.col("config_id").alias("connection_id"), F.col("override").alias("extraction_config"), "strict",
+        pairs("mapping").alias("mapping"), pairs("types").alias("types"),
+    )
+    pipelines = records_paths(effective_configs(own, sources)).select("config_id", "records_path", "mapping", "types", "strict")
+    return ingest_pipelines(fixture(spark, sf_dir, "mixed_pages").drop("variant"), fixture(spark, sf_dir, "landed_runs"), pipelines)
+
+
+@query(
+    "run_mixed_pipelines",
+    _MIXED + _STATES.replace("CASE WHEN l.run IS NULL THEN 'incomplete'", "CASE WHEN s.run % 5 = 3 THEN 'failed' WHEN l.run IS NULL THEN 'incomplete'")
+    .replace("CASE WHEN l.run IS NULL THEN NULL", "CASE WHEN s.run % 5 = 3 THEN 'MappingError' WHEN l.run IS NULL THEN NULL"),
+)
+def run_mixed_pipelines(spark, sf_dir):
+    return _mixed(spark, sf_dir).states
+
+
+@query(
+    "mixed_pipeline_rows",
+    _MIXED
+    + """, records AS (
+         SELECT p.run, p.page, p.run % 5 AS config_id, o.*, CASE WHEN (p.run * 12 + p.page) % 29 = 9 THEN 'n/a' ELSE CAST(o.cents AS VARCHAR) END AS money,
+                CASE WHEN (p.run * 12 + p.page) % 17 <> 5 THEN o.o_orderstatus END AS state
+         FROM processed p JOIN order_pages o ON o.run = p.run AND o.page = p.page
+         WHERE p.variant <> 45 AND (p.variant NOT BETWEEN 40 AND 44 OR o.o_orderkey % 100 < 60))
+       SELECT run, page, config_id, name, CAST(value AS VARCHAR) AS value FROM (
+         SELECT run, page, config_id, unnest(CASE config_id WHEN 0 THEN ['cents', 'customer_id', 'note', 'order_id']
+                  WHEN 1 THEN ['number', 'state'] WHEN 2 THEN ['order_id', 'state'] ELSE ['client', 'key'] END) AS name,
+                unnest(CASE config_id
+                  WHEN 0 THEN [money, CAST(o_custkey AS VARCHAR), CASE WHEN o_orderkey % 7 > 1 THEN concat('n', o_orderkey % 10) END, CAST(o_orderkey AS VARCHAR)]
+                  WHEN 4 THEN [CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)]
+                  ELSE [CAST(o_orderkey AS VARCHAR), state] END) AS value
+         FROM records) t""",
+)
+def mixed_pipeline_rows(spark, sf_dir):
+    loaded = _mixed(spark, sf_dir).loaded
+    cells = loaded.select("run", "page", "config_id", F.explode("row").alias("name", "_value"))
+    return cells.select("run", "page", "config_id", "name", F.try_variant_get("_value", "$", "string").alias("value"))
+
+
+@query(
+    "mixed_pipeline_destination",
+    _MIXED
+    + """SELECT p.run, p.page, CAST(o.o_orderkey AS BIGINT) AS number,
+                CASE WHEN (p.run * 12 + p.page) % 17 <> 5 THEN o.o_orderstatus END AS state
+         FROM processed p JOIN order_pages o ON o.run = p.run AND o.page = p.page
+         WHERE p.run % 5 = 1 AND p.variant <> 45 AND (p.variant NOT BETWEEN 40 AND 44 OR o.o_orderkey % 100 < 60)""",
+)
+def mixed_pipeline_destination(spark, sf_dir):
+    return destination_rows(_mixed(spark, sf_dir).loaded, 1, {"number": "bigint", "state": "string"}).drop("pos")
+
+
 @query(
     "map_type_failures",
     """SELECT run, page, count(*) AS bad_records, 0 AS first_pos, 'LoadFailed' AS category
