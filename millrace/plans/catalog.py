@@ -8,6 +8,7 @@ from millrace.plans import (  # noqa: F401
     record_queries,
     run_queries,
     scan_queries,
+    store_queries,
     text_queries,
 )
 from millrace.plans.registry import ORACLES, QUERIES

@@ -15,6 +15,8 @@ from millrace.operators.runs import COUNTERS, run_counters
 from millrace.operators.scaling import BROADCAST_ROWS, Join, computed_once, join_for
 from millrace.schemas import DEFAULT_MAX_PAGES
 from millrace.session import cut_lineage
+from millrace.sources.objects import Store, end_on_conflict, store_payloads
+from millrace.sources.tables import load_runs
 
 #: Failures after a page's payload was stored; all others leave no raw record.
 AFTER_STORAGE = ["MappingError", "LoadFailed"]
@@ -27,6 +29,8 @@ class Ingestion:
     states: DataFrame
     raw_records: DataFrame
     loaded: DataFrame
+    #: ``run, page, storage_uri, payload`` of every raw record, where its body landed.
+    payloads: DataFrame
 
 
 def with_settings(runs: DataFrame) -> DataFrame:
@@ -211,28 +215,41 @@ def _ingest(landed: DataFrame, runs: DataFrame, rules: Rules, bucket: str, broad
     bounds = outcomes.select("run", "start", "last_page", "stop_page").join(
         runs.select("run", "config_id", "tenant_uuid", "pages_extracted"), "run"
     )
-    key = logical_key(F.col("config_id"), F.col("run"), F.col("sequence"), F.col("checksum_sha256"))
-    stored = (
-        join(facts, bounds, ["run"], ["page"])
-        .where(
-            F.col("page").between(F.col("start"), F.col("last_page"))
-            | ((F.col("page") == F.col("stop_page")) & F.col("fails_after_storage"))
-        )
-        .withColumn("sequence", F.col("pages_extracted") + F.col("page") - F.col("start") + 1)
-        .withColumn("logical_key", key)
-        .withColumn("_key", F.when(F.col("tenant_uuid").isNull(), F.col("logical_key")).otherwise(tenant_key(F.col("tenant_uuid"), F.col("logical_key"))))
-        .select(
-            "run",
-            "sequence",
-            "page",
-            "checksum_sha256",
-            "size_bytes",
-            F.col("n").alias("item_count"),
-            (F.col("page") <= F.col("last_page")).alias("loaded_successfully"),
-            "logical_key",
-            object_uri(bucket, F.col("_key")).alias("storage_uri"),
-        )
+    addressed = {
+        "sequence": F.col("pages_extracted") + F.col("page") - F.col("start") + 1,
+        "logical_key": logical_key(F.col("config_id"), F.col("run"), F.col("sequence"), F.col("checksum_sha256")),
+        "_key": F.when(F.col("tenant_uuid").isNull(), F.col("logical_key")).otherwise(tenant_key(F.col("tenant_uuid"), F.col("logical_key"))),
+        "storage_uri": object_uri(bucket, F.col("_key")),
+    }
+
+    def with_address(pages: DataFrame) -> DataFrame:
+        for name, value in addressed.items():
+            pages = pages.withColumn(name, value)
+        return pages
+
+    kept_raw = join(facts, bounds, ["run"], ["page"]).where(
+        F.col("page").between(F.col("start"), F.col("last_page"))
+        | ((F.col("page") == F.col("stop_page")) & F.col("fails_after_storage"))
     )
+    stored = with_address(kept_raw).select(
+        "run",
+        "sequence",
+        "page",
+        "checksum_sha256",
+        "size_bytes",
+        F.col("n").alias("item_count"),
+        (F.col("page") <= F.col("last_page")).alias("loaded_successfully"),
+        "logical_key",
+        "storage_uri",
+    )
+    # A run stores one page beyond its last at most, the one that failed after it was stored.
+    beyond = kept_raw.where("page > last_page").select("run", F.col("page").alias("_beyond"))
+    storing = bounds.drop("stop_page").join(beyond, "run", "left")
+    bodies = join(landed.select("run", "page", "body"), storing, ["run"], ["page"]).where(
+        F.col("page").between(F.col("start"), F.col("last_page")) | F.coalesce(F.col("page") == F.col("_beyond"), F.lit(False))
+    )
+    bodies = computed_once(_one_of_each(bodies, facts, broadcast_rows), checksum_sha256=F.sha2(F.col("body").cast("binary"), 256))
+    payloads = with_address(bodies).select("run", "page", "storage_uri", F.col("body").alias("payload"))
     per_run = outcomes.select("run", "start", "last_page").join(runs.select("run", "config_id", *own_rules), "run") if own_rules else bounds.select("run", "start", "last_page")
     inside = (
         join(landed.select("run", "page", "body"), per_run, ["run"], ["page"])
@@ -245,4 +262,16 @@ def _ingest(landed: DataFrame, runs: DataFrame, rules: Rules, bucket: str, broad
     records = parsed.select(*carried, F.posexplode(rules.records(F.col("_data"))).alias("pos", "record"))
     columns = [c for c in carried if c not in own_rules]
     loaded = records.select(*columns, "pos", *[v.alias(c) for c, v in rules.row(F.col("record")).items()])
-    return Ingestion(states=states, raw_records=stored, loaded=loaded)
+    return Ingestion(states=states, raw_records=stored, loaded=loaded, payloads=payloads)
+
+
+def store_and_load(result: Ingestion, store: Store, table: str, batch: str) -> tuple[DataFrame, int]:
+    """Write what a set of runs leaves behind: payloads to their objects, then rows to their table.
+
+    Payloads come first, and one that can't be stored ends the pass before a row is
+    loaded. Objects and the batch are taken once, so a pass that is repeated after a
+    failure adds what is missing and nothing else. Gives the outcome of each payload and
+    the number of rows that this call loaded.
+    """
+    outcomes = end_on_conflict(store_payloads(result.payloads, store, columns=["run", "page"]))
+    return outcomes, load_runs(result.loaded, table, batch)
