@@ -64,14 +64,15 @@ def spread_join(
 Join = Callable[..., DataFrame]
 
 
-def join_for(per_key: DataFrame, limit: int = BROADCAST_ROWS) -> Join:
+def join_for(per_key: DataFrame, limit: int = BROADCAST_ROWS, counted: int | None = None) -> Join:
     """How to join to a materialised table of one thin row per key.
 
     Its rows are counted: up to ``limit`` it is broadcast, which spares the
     other side its shuffle; beyond that the join is spread. Adaptive execution
-    alone would find out only after shuffling both sides.
+    alone would find out only after shuffling both sides. ``counted`` are its rows
+    where they are known already.
     """
-    if per_key.limit(limit + 1).count() > limit:
+    if (per_key.limit(limit + 1).count() if counted is None else counted) > limit:
         return spread_join
 
     def small(rows, per_key, keys, spread_by, how="inner"):
