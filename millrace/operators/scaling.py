@@ -81,6 +81,13 @@ def join_for(per_key: DataFrame, limit: int = BROADCAST_ROWS, counted: int | Non
     return small
 
 
+def few_values(rows: DataFrame, column: str, most: int) -> list | None:
+    """The distinct values of a column in order, if there are at most ``most``; else None. Never more reach the driver."""
+    found = rows.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1)
+    values = found.agg(F.sort_array(F.collect_list(column)).alias("v")).first().v
+    return values if len(values) <= most else None
+
+
 def running_totals(
     rows: DataFrame,
     keys: Sequence[str],

@@ -13,12 +13,12 @@ from millrace.functions.keys import logical_key, object_uri, tenant_key
 from millrace.operators.mapping import map_records
 from millrace.operators.paging import kept_pages, resume_runs, scan_outcomes
 from millrace.operators.records import extract_records
-from millrace.operators.scaling import computed_once, join_for, spread_join
+from millrace.operators.scaling import computed_once, few_values, join_for, spread_join
 from millrace.plans.ingestion import page_states, run_states, with_settings
 from millrace.session import cut_lineage
 from millrace.sources.files import remove
 from millrace.sources.sinks import write_batch
-from millrace.streaming.state import VERSION, PageState
+from millrace.streaming.state import NAMED, VERSION, PageState
 
 
 def file_stream(
@@ -146,9 +146,9 @@ def ingest_batches(
         known = state.read(spark, buckets, batch_id).join(touched, "run", "left_semi")
         new = kept_aside(thin.join(known.select(*VERSION), VERSION, "left_anti"), "new")
         open_runs = settings.join(touched, "run", "left_semi")
-        size = new.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("copies"), F.lit(0)).alias("copies")).first()
+        came = new.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("copies"), F.lit(0)).alias("copies")).first()
         write_batch(_addressed(new.drop("copies"), open_runs, bucket), f"{raw_path}/facts", batch_id)
-        write_batch(_bodies(pages, new, size.n, size.copies > 1), f"{raw_path}/bodies", batch_id)
+        write_batch(_bodies(pages, new, came.n, came.copies > 1), f"{raw_path}/bodies", batch_id)
 
         fields = ["n", "size_bytes", "error", "batch", "loaded"]
         arrived = new.withColumns({"batch": F.lit(batch_id).cast("bigint"), "loaded": F.lit(None).cast("bigint")})
@@ -160,11 +160,12 @@ def ingest_batches(
         kept = kept_aside(kept_pages(first, outcomes), "kept")
         write_batch(run_states(outcomes, kept, open_runs), f"{loaded_path}/states", batch_id)
         fresh = kept.where("loaded IS NULL")
-        waited = {r.batch: r["count"] for r in fresh.groupBy("batch").count().collect()}
-        if waited:
-            stored = spark.read.parquet(*[f"{raw_path}/bodies/batch={k}" for k in sorted(waited)])
-            meet = join_for(fresh, counted=sum(waited.values()))
-            ready = meet(stored, fresh.select(*VERSION), VERSION, ["page"], "left_semi").select("run", "page", "body")
+        size = fresh.agg(F.count(F.lit(1)).alias("n")).first().n
+        if size:
+            # Bodies lie by the batch that stored them; where pages of very many batches waited, all are looked at.
+            waited = few_values(fresh, "batch", NAMED)
+            stored = spark.read.parquet(*[f"{raw_path}/bodies{part}" for part in ([""] if waited is None else [f"/batch={k}" for k in waited])])
+            ready = join_for(fresh, counted=size)(stored, fresh.select(*VERSION), VERSION, ["page"], "left_semi").select("run", "page", "body")
         else:
             ready = pages.select("run", "page", "body").where("false")
         write_batch(map_records(extract_records(ready, records_path), mapping, types), f"{loaded_path}/rows", batch_id)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.scaling import few_values
 from millrace.sources.files import numbers, remove
 
 #: Runs of a bucket, deltas until it is merged, and buckets that are named one by one in a read.
@@ -33,8 +34,7 @@ class PageState:
 
     def touched(self, rows: DataFrame) -> list[int] | None:
         """Buckets of the runs in ``rows``; None if there are more than ``NAMED``."""
-        found = [r.b for r in rows.where("run IS NOT NULL").select(bucket_of(self.runs).alias("b")).distinct().limit(NAMED + 1).collect()]
-        return sorted(found) if len(found) <= NAMED else None
+        return few_values(rows.select(bucket_of(self.runs).alias("bucket")), "bucket", NAMED)
 
     def _parts(self, spark: SparkSession, bucket: int, before: int) -> list[str]:
         """Folders that hold a bucket as it was before a batch: its newest snapshot and the deltas since."""
