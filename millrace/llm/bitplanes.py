@@ -34,7 +34,7 @@ MAGIC = b"MRBP0001"
 BLOCK_IDS = 1 << 16
 #: A shard is closed at a document's end beyond so many ids or documents; its index stays in memory until then.
 SHARD_IDS, SHARD_DOCUMENTS = 1 << 26, 1 << 20
-HAND_ON = 1_000_000
+HAND_ON = 4_000_000
 
 
 def planes_of(ids: np.ndarray, kind: str) -> list[bytes]:

@@ -26,7 +26,7 @@ from millrace.llm.tokens import tokenizer
 
 #: Tokens after which a window is packed; it then holds that many and one document more.
 WINDOW_TOKENS = 4_000_000
-HAND_ON = 1_000_000
+HAND_ON = 4_000_000
 
 
 def cost_of(length, quadratic: float):

@@ -8,6 +8,7 @@ corpus repeat, so that this is several times as fast as handing over whole texts
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,11 @@ from tokenizers import Tokenizer
 KEPT, KEPT_LENGTH = 300_000, 48
 #: Pieces that go to the library as one text.
 JOINED = 1000
+#: Letters of the Latin blocks up to U+024F; U+0130 is no longer one letter in lower case.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
+#: A word and the punctuation after it, which are never one token and never change each other.
+ENDED = re.compile(f"( ?[{LETTERS}]+)([.,!?;:$%&*#]+)").fullmatch
 
 
 class PieceTokenizer:
@@ -39,6 +45,12 @@ class PieceTokenizer:
         special = [(t.content, k) for k, t in own.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark, self.mark_id = special[-1] if special else (None, None)
         self.added = [t.content for t in own.get_added_tokens_decoder().values()]
+        suffix = own.model.end_of_word_suffix or ""
+        vocabulary = own.get_vocab()
+        #: Bytes that an id stands for, where a character of a token is a byte.
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, k in vocabulary.items():
+            self.width[k] = len(token) - len(suffix) if suffix and token.endswith(suffix) else len(token)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -60,7 +72,7 @@ class PieceTokenizer:
         cuts = [self.cut(t) for t in texts]
         if len(self.young) > KEPT:
             self.young, self.old = {}, self.young
-        new = self._unknown(set().union(*(c for c in cuts if c)))
+        new = set().union(*(c for c in cuts if c)).difference(self.young)
         if not self.drops_space and (loose := {p for p in new if not p[-1:].isalnum() and self._loose(p) or p[1:2].isspace()}):
             cuts = [c if c is None or loose.isdisjoint(c) else None for c in cuts]
             new -= loose
@@ -76,31 +88,65 @@ class PieceTokenizer:
             del self.young[piece]
         return ids
 
-    def _unknown(self, pieces: set[str]) -> set[str]:
-        """The pieces that are in neither generation; those of the older one are taken over."""
-        new = pieces.difference(self.young)
-        if self.old:
-            again = {p: self.old[p] for p in new if p in self.old}
-            self.young.update(again)
-            new.difference_update(again)
-        return new
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Takes ids of pieces over from the older generation or asks for them; gives the pieces too long to be kept."""
+        young, old = self.young, self.old
+        if old:
+            again = {p: old[p] for p in pieces if p in old}
+            young.update(again)
+            pieces = pieces.difference(again)
+        ended = [(m[0], m[1], m[2]) for m in map(ENDED, pieces) if m]
+        parts = pieces.difference([p for p, _, _ in ended])
+        for _, word, tail in ended:
+            for part in (word, tail):
+                if part in old:
+                    young[part] = old[part]
+                elif part not in young:
+                    parts.add(part)
+        young.update(self._bytes_joined(list(parts)))
+        young.update([(p, young[word] + young[tail]) for p, word, tail in ended])
+        return [p for p in {*pieces, *parts} if len(p) > KEPT_LENGTH]
+
+    def _bytes_joined(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of short texts, many of them handed over as one."""
+        known = self._bytes_of_words([p for p in pieces if WORD(p)])
+        rest = [p for p in pieces if p not in known]
+        known.update(zip(rest, self._bytes_between_marks(rest), strict=True))
+        return known
 
-    def _learn(self, pieces: set[str]) -> set[str]:
-        """Puts the ids of pieces into the young generation; gives those that are too long to be kept.
+    def _bytes_of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that stand in one text as in any other; they are told apart by the bytes that ids stand for.
 
-        A word and the full stop or comma after it are never one token.
+        A word without its space follows a line feed in a byte-level text, whose id
+        is then left out. Words of a text whose ids don't end where its words do
+        are not among the result.
         """
-        ended = [p for p in pieces if p[-1:] in (".", ",") and p[1:-1].isalpha() and p.isascii()]
-        parts = pieces.difference(ended)
-        parts.update(self._unknown({p[:-1] for p in ended} | {p[-1] for p in ended}))
-        new = list(parts)
-        self.young.update(zip(new, self._bytes_joined(new), strict=True))
-        young = self.young
-        young.update([(p, young[p[:-1]] + young[p[-1]]) for p in ended])
-        return {p for p in (*new, *ended) if len(p) > KEPT_LENGTH}
-
-    def _bytes_joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of short texts, many of them handed over as one."""
+        known: dict[str, bytes] = {}
+        if self.drops_space:
+            shown, skip, gap = words, [0] * len(words), " "
+            wide = [len(w.lower().encode()) for w in words]
+        else:
+            skip = [0 if w[0] == " " else 1 for w in words]
+            shown, gap = ["\n" + w if s else w for w, s in zip(words, skip, strict=True)], ""
+            wide = [len(w.encode()) for w in shown]
+        texts = [gap.join(shown[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        for k, encoding in enumerate(self.own.encode_batch_fast(texts, add_special_tokens=False)):
+            part = slice(k * JOINED, (k + 1) * JOINED)
+            ids = np.array(encoding.ids, dtype="<u4")
+            ends, wanted = np.cumsum(self.width[ids]), np.cumsum(wide[part])
+            if not len(ids) or ends[-1] != wanted[-1]:
+                continue
+            last = np.searchsorted(ends, wanted)
+            if (ends[last] != wanted).any():
+                continue
+            data, at = ids.tobytes(), 0
+            for word, s, end in zip(words[part], skip[part], ((last + 1) * 4).tolist(), strict=True):
+                known[word] = data[at + 4 * s : end]
+                at = end
+        return known
+
+    def _bytes_between_marks(self, pieces: list[str]) -> list[bytes]:
+        """Ids of short texts, many of them handed over as one with a special token between them."""
         if self.mark is None or "" in pieces or any(a in p for a in self.added for p in pieces if "<" in p or a[0] != "<"):
             return self._bytes(pieces)
         found: list[bytes] = []

@@ -56,6 +56,20 @@ def test_words_and_white_space_of_every_code_point():
         assert mine.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_and_their_punctuation_are_told_apart_in_joined_texts(path):
+    library, mine = Tokenizer.from_file(path), PieceTokenizer(path)
+    draw = random.Random(5)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    ends = ["", "", ".", ",", "!!", ",***", ".$$$", "'s", "'re.", "\u0307.", ";\u0301", "<|endoftext|>", "…", "9.", "-b."]
+    texts = ["", " ", "\n", "a", " İ. İstanbul, ẞ. Ⱥ! ǅ; "]
+    for size in (3, 300, 5000):
+        texts.append("".join(draw.choice(" \n ") + "".join(draw.choices(letters, k=draw.randint(1, 9))) + draw.choice(ends) for _ in range(size)))
+    for given in ([texts[-1]], texts, texts[::-1]):
+        for text, ids in zip(given, mine.encode(given), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_pieces_give_the_ids_of_whole_texts(path):
     mine = PieceTokenizer(path)
