@@ -143,3 +143,20 @@ def address_category(address: Column) -> Column:
     Text that is no address is ``invalid``.
     """
     return F.when(address.contains(":"), ipv6_category(address)).otherwise(ipv4_category(address))
+
+
+def address_bits(address: Column) -> Column:
+    """``4`` or ``6`` and the bits of an address as zeros and ones, NULL when it is none.
+
+    An IPv6 address that maps an IPv4 address gives that one's.
+    """
+
+    def four(number: Column) -> Column:
+        return F.concat(F.lit("4"), F.lpad(F.bin(number), 32, "0"))
+
+    def six(groups: Column) -> Column:
+        bits = F.array_join(F.transform(groups, lambda g: F.lpad(F.bin(g), 16, "0")), "")
+        mapped = bits.startswith("0" * 80 + "1" * 16)
+        return F.when(mapped, F.concat(F.lit("4"), F.substring(bits, 97, 32))).otherwise(F.concat(F.lit("6"), bits))
+
+    return F.when(address.contains(":"), _with(ipv6_groups(address), six)).otherwise(_with(ipv4_number(address), four))

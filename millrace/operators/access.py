@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.scaling import spread_join
 from millrace.schemas import CONTINUE_ROLES, MIGRATION_VIEW_ROLES, VIEW_ROLES
 
 
@@ -26,6 +27,29 @@ def organizations_of(
     return organizations.join(run_by, "org_id", "left_semi").orderBy("name")
 
 
+def organizations_by_viewer(organizations: DataFrame, memberships: DataFrame) -> DataFrame:
+    """The organizations that every viewer may inspect: ``viewer, user_id, org_id, name``.
+
+    Staff see all organizations, whoever they are, so they are one viewer
+    (``staff``, without a user); every other user has a row per organization they
+    run (``member``). A membership that repeats counts once. A user is staff
+    where any of their memberships says so.
+    """
+    roles = memberships.groupBy("user_id", "org_id").agg(
+        F.bool_or(F.col("role").isin(*MIGRATION_VIEW_ROLES)).alias("_runs"), F.bool_or("is_staff").alias("_staff")
+    )
+    staff = roles.where("_staff").select("user_id").distinct()
+    run_by = roles.where("_runs").join(staff, "user_id", "left_anti")
+    names = organizations.select("org_id", "name")
+    members = spread_join(run_by, names, ["org_id"], ["user_id"]).select(
+        F.lit("member").alias("viewer"), "user_id", "org_id", "name"
+    )
+    everything = names.select(
+        F.lit("staff").alias("viewer"), F.lit(None).cast(memberships.schema["user_id"].dataType).alias("user_id"), "org_id", "name"
+    )
+    return members.unionByName(everything)
+
+
 def visible_organizations(memberships: DataFrame, organizations: DataFrame) -> DataFrame:
     """How many organizations each user may inspect.
 

@@ -335,6 +335,19 @@ SELECT page_id, CASE page_id % 10
          WHEN 8 THEN concat('2606:4700::', page_id % 999) ELSE concat('8.8.8.', page_id % 250) END AS address
 FROM @pages
 """
+FIXTURES["network_rules"] = """
+SELECT CAST(s_suppkey AS BIGINT) AS priority,
+       CASE WHEN s_suppkey % 17 = 0 THEN concat(s_suppkey % 200, '.1.0.0/8')
+            WHEN s_suppkey % 19 = 0 THEN concat(s_suppkey % 200, '.0.0.0/33')
+            WHEN s_suppkey % 6 = 0 THEN concat(s_suppkey % 224, '.0.0.0/8')
+            WHEN s_suppkey % 6 = 1 THEN concat(s_suppkey % 224, '.', s_suppkey % 256, '.0.0/16')
+            WHEN s_suppkey % 6 = 2 THEN concat('192.168.', s_suppkey % 256, '.0/24')
+            WHEN s_suppkey % 6 = 3 THEN concat('10.', s_suppkey % 256, '.0.1/32')
+            WHEN s_suppkey % 6 = 4 THEN concat(2 * (s_suppkey % 112), '.0.0.0/7')
+            ELSE concat(20 + s_suppkey % 90, '.', s_suppkey % 200, '.4.0/22') END AS cidr,
+       CASE s_suppkey % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'partner' WHEN 2 THEN 'reserved' END AS category
+FROM @supplier
+"""
 FIXTURES["host_policy"] = """
 SELECT concat(' H', r, '.Example.test ') AS host,
        CASE r % 4 WHEN 0 THEN 'deployment_private' WHEN 1 THEN 'tenant_private'

@@ -278,6 +278,19 @@ def org_listing(spark, sf_dir):
     ).select("org_id", "name")
 
 
+@query(
+    "org_listing_by_viewer",
+    """SELECT DISTINCT 'member' AS viewer, m.user_id, o.org_id, o.name
+       FROM memberships m JOIN organizations o ON o.org_id = m.org_id
+       WHERE m.role IN ('owner', 'admin') AND m.user_id NOT IN (SELECT user_id FROM memberships WHERE is_staff)
+       UNION ALL SELECT 'staff', NULL, org_id, name FROM organizations""",
+)
+def org_listing_by_viewer(spark, sf_dir):
+    return access.organizations_by_viewer(
+        fixture(spark, sf_dir, "organizations"), fixture(spark, sf_dir, "memberships")
+    )
+
+
 @query(
     "visible_orgs",
     """SELECT user_id, bool_or(is_staff) AS is_staff, CASE WHEN bool_or(is_staff) THEN (SELECT count(*) FROM organizations)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions.addresses import address_category, ipv4_category
 from millrace.functions.text import redact, sanitize
 from millrace.functions.urls import sanitize_redirect
-from millrace.operators import outbound
+from millrace.operators import networks, outbound
 from millrace.plans.fixtures import fixture
 from millrace.plans.registry import query
 
@@ -126,6 +126,40 @@ def address_category_v6(spark, sf_dir):
     )
 
 
+_NUMBER = """CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536
+             + CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + CAST(split_part({0}, '.', 4) AS BIGINT)"""
+_NETWORKS = f"""
+WITH stated AS (
+  SELECT priority, cidr, category, {_NUMBER.format("split_part(cidr, '/', 1)")} AS low, CAST(split_part(cidr, '/', 2) AS BIGINT) AS bits
+  FROM network_rules),
+sized AS (SELECT *, CASE WHEN bits <= 32 THEN CAST(power(2, 32 - bits) AS BIGINT) END AS width FROM stated)
+"""
+
+
+@query(
+    "address_rules",
+    _NETWORKS
+    + f""", asked AS (SELECT page_id, address, {_NUMBER.format("address")} AS n FROM host_addresses),
+      first AS (SELECT a.n, min(s.priority) AS priority FROM (SELECT DISTINCT n FROM asked) a
+                JOIN sized s ON s.low % s.width = 0 AND a.n >= s.low AND a.n < s.low + s.width GROUP BY a.n)
+      SELECT a.page_id, a.address, s.category, f.priority
+      FROM asked a LEFT JOIN first f ON f.n = a.n LEFT JOIN sized s ON s.priority = f.priority""",
+)
+def address_rules(spark, sf_dir):
+    addresses = fixture(spark, sf_dir, "host_addresses").select("page_id", "address")
+    return networks.categories_by_rules(addresses, fixture(spark, sf_dir, "network_rules"))
+
+
+@query(
+    "network_rule_audit",
+    _NETWORKS
+    + """SELECT priority, cidr, CASE WHEN width IS NULL THEN 'length' WHEN low % width <> 0 THEN 'host bits' END AS problem
+         FROM sized""",
+)
+def network_rule_audit(spark, sf_dir):
+    return networks.read_rules(fixture(spark, sf_dir, "network_rules")).select("priority", "cidr", "problem")
+
+
 def _decisions(spark, sf_dir):
     return outbound.decide_addresses(
         fixture(spark, sf_dir, "host_addresses"), fixture(spark, sf_dir, "host_policy"), "page_id"
