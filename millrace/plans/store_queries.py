@@ -4,15 +4,17 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from millrace.operators import rawstore
+from millrace.operators import migration, rawstore
 from millrace.operators.scaling import few_values
 from millrace.plans.fixtures import fixture
 from millrace.plans.ingestion import ingest, store_and_load
 from millrace.plans.ingestion_queries import _LOADED, _RAW, MAPPING, TYPES, _loop
+from millrace.plans.migration_pass import migrate, repointed
+from millrace.plans.migration_queries import _INSPECTED
 from millrace.plans.registry import query
 from millrace.plans.scan_queries import RECORDS_PATH
 from millrace.session import scratch_path
-from millrace.sources import objects, tables
+from millrace.sources import ledger, objects, tables
 
 BUCKET = "pile"
 
@@ -113,6 +115,81 @@ def absent_store(spark, sf_dir):
     return found.where("outcome = 'absent'").groupBy("org_id", "outcome", "category").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# --- passes over the store --------------------------------------------------------------
+
+
+def _stocked(spark, sf_dir, label, planted=None):
+    """A store with the objects of the records, and others ``planted`` at keys of their own."""
+    store, rows = _store(spark, label), fixture(spark, sf_dir, "storage_objects").select("key", "body")
+    rows = rows if planted is None else rows.unionByName(planted)
+    objects.store_payloads(rows.select(F.concat(F.lit(f"s3://{BUCKET}/"), "key").alias("storage_uri"), "body"), store, "body")
+    return store
+
+
+@query(
+    "migration_resumed",
+    _INSPECTED
+    + """SELECT 1 AS attempt, 'cancelled' AS status, record_id, finding, finding = 'ready' AS migrated,
+                CASE WHEN finding = 'ready' THEN concat(tenant_uuid, '/', lk) END AS key, CASE WHEN finding = 'ready' THEN checksum_sha256 END AS body_sha256
+         FROM (SELECT *, row_number() OVER (ORDER BY record_id) - 1 AS rn, count(*) OVER () AS n FROM inspected) t WHERE rn < ceil(n / 4)
+         UNION ALL
+         SELECT 2, 'partially_failed', record_id, finding, finding = 'ready',
+                CASE WHEN finding = 'ready' THEN concat(tenant_uuid, '/', lk) END, CASE WHEN finding = 'ready' THEN checksum_sha256 END FROM inspected""",
+)
+def migration_resumed(spark, sf_dir):
+    """A pass in four ranges, cancelled after the first and taken up again; moved objects are read back."""
+    store, path = _stocked(spark, sf_dir, "migration"), scratch_path(spark, "migration-pass")
+    records = fixture(spark, sf_dir, "storage_records").drop("payload")
+    quarter = -(-records.count() // 4)
+    attempts = []
+    for number, stop in ((1, True), (2, False)):
+        done = migrate(records, store, BUCKET, path, cancelled=lambda: stop, range_records=quarter)  # noqa: B023
+        read = objects.check_objects(done.findings.where("migrated"), store, ["record_id"], read=True)
+        there = read.select("record_id", F.substring_index("storage_uri", f"s3://{BUCKET}/", -1).alias("key"), F.col("actual").alias("body_sha256"))
+        found = done.findings.select("record_id", "finding", "migrated").join(there, "record_id", "left")
+        attempts.append(found.select(F.lit(number).alias("attempt"), F.lit(done.status).alias("status"), *found.columns))
+    return attempts[0].unionByName(attempts[1])
+
+
+@query(
+    "migration_conflict_ends",
+    _INSPECTED
+    + """, first AS (SELECT min(record_id) AS met FROM inspected WHERE finding = 'ready' AND record_id % 7 = 2 AND record_id > 100)
+         SELECT record_id, 'failed' AS status, 'RawPayloadIntegrityError' AS category, finding,
+                CASE WHEN finding = 'ready' AND record_id < met THEN concat('s3://pile/', tenant_uuid, '/', lk) ELSE storage_uri END AS storage_uri
+         FROM inspected, first WHERE record_id < met
+         UNION ALL SELECT record_id, 'failed', 'RawPayloadIntegrityError', NULL, storage_uri FROM inspected, first WHERE record_id >= met""",
+)
+def migration_conflict_ends(spark, sf_dir):
+    """Tenant keys that hold other bytes already: the pass ends at the first of them, and what lies behind keeps its address."""
+    records = fixture(spark, sf_dir, "storage_records")
+    taken = migration.classify_generation(records.where("record_id % 7 = 2 AND record_id > 100 AND record_id % 5 <> 0"), BUCKET)
+    planted = taken.select(F.concat_ws("/", "tenant_uuid", "expected_key").alias("key"), F.concat("payload", F.lit("?")).alias("body"))
+    store, thin = _stocked(spark, sf_dir, "migration-conflict", planted), records.drop("payload")
+    done = migrate(thin, store, BUCKET, scratch_path(spark, "migration-ended"))
+    after = repointed(thin, done.findings).select("record_id", "storage_uri")
+    return after.join(done.findings.select("record_id", "finding"), "record_id", "left").withColumns({"status": F.lit(done.status), "category": F.lit(done.category)})
+
+
+@query(
+    "verify_changed",
+    _ADDRESSED
+    + """, stored AS (SELECT DISTINCT key, arrival % 3 = 1 AS late FROM addressed WHERE key IS NOT NULL),
+           firsts AS (SELECT key, CASE WHEN bool_and(late) THEN 2 ELSE 1 END AS pass FROM stored GROUP BY key)
+         SELECT CAST(f.pass AS BIGINT) AS pass, f.key, 'there' AS outcome, a.sha AS actual
+         FROM firsts f JOIN (SELECT DISTINCT key, sha FROM addressed) a ON a.key = f.key""",
+)
+def verify_changed(spark, sf_dir):
+    """Three passes over a store that grows between the first two: each object is read by one of them."""
+    store, rows, path = _store(spark, "verified"), _addressed(spark, sf_dir).where("storage_uri IS NOT NULL"), scratch_path(spark, "ledger")
+    objects.store_payloads(rows.where("arrival % 3 <> 1"), store)
+    ledger.verify_changed(spark, store, BUCKET, path, 1)
+    objects.store_payloads(rows, store)
+    for number in (2, 3):
+        ledger.verify_changed(spark, store, BUCKET, path, number)
+    return tables.read_table(spark, path).select("pass", "key", "outcome", "actual")
+
+
 # --- tables -----------------------------------------------------------------------------
 
 _ROWS = "run bigint, page bigint, o_orderkey bigint, cents bigint, remark string"

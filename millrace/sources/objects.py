@@ -183,6 +183,40 @@ def check_objects(claims: DataFrame, store: Store, columns: list[str] | None = N
     return _mapped(rows, look, columns, "outcome string, category string, stored_size bigint, actual string")
 
 
+def copy_verified(moves: DataFrame, store: Store, columns: list[str] | None = None, write: bool = True) -> DataFrame:
+    """Copy objects from ``storage_uri`` to ``target_uri`` if their bytes have the checksum ``promised``.
+
+    Each object is read once, by the task that writes it. ``outcome`` is ``created``,
+    ``reused`` (the target holds these bytes already), ``conflict`` (it holds others),
+    ``vanished`` (no source), ``changed`` (other bytes than promised), ``verified`` (without
+    ``write``), ``absent`` (no such bucket) or ``refused`` (an address that is none, or no
+    checksum). Sources stay. The outcomes are materialised, so reading them again copies nothing.
+    """
+    columns = ["storage_uri", *[c for c in columns or [] if c != "storage_uri"]]
+    to, as_key = uri_bucket(F.col("target_uri")), uri_key(F.col("target_uri"))
+    rows = _placed(moves).withColumns({"_to": to, "_as": as_key, "_sum": F.col("promised")})
+
+    def move(bucket: str | None, key: str | None, to: str | None, name: str | None, promised: str | None) -> tuple:
+        if None in (bucket, key, to, name, promised):
+            return "refused", DENIED, None, None
+        if not store.has(bucket) or not store.has(to):
+            return "absent", CONFIGURATION, None, None
+        data = store.read(bucket, key)
+        if data is None:
+            return "vanished", None, None, None
+        actual = hashlib.sha256(data).hexdigest()
+        if actual != promised:
+            return "changed", None, len(data), actual
+        if not write:
+            return "verified", None, len(data), actual
+        if store.create(to, name, data):
+            return "created", None, len(data), actual
+        same = store.read(to, name) == data
+        return ("reused" if same else "conflict"), (None if same else INTEGRITY), len(data), actual
+
+    return _mapped(rows, move, columns, "outcome string, category string, stored_size bigint, actual string")
+
+
 def list_objects(spark: SparkSession, store: FolderStore, bucket: str) -> DataFrame:
     """``key, size_bytes, modified`` of a bucket, by Spark's own listing; contents stay unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{store.root}/{bucket}")
