@@ -4,7 +4,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from millrace.operators import migration, rawstore
+from millrace.operators import migration, rawstore, records
 from millrace.operators.scaling import few_values
 from millrace.plans.fixtures import fixture
 from millrace.plans.ingestion import ingest, store_and_load
@@ -14,7 +14,7 @@ from millrace.plans.migration_queries import _INSPECTED
 from millrace.plans.registry import query
 from millrace.plans.scan_queries import RECORDS_PATH
 from millrace.session import scratch_path
-from millrace.sources import ledger, objects, tables
+from millrace.sources import landed, ledger, objects, tables
 
 BUCKET = "pile"
 
@@ -115,6 +115,45 @@ def absent_store(spark, sf_dir):
     return found.where("outcome = 'absent'").groupBy("org_id", "outcome", "category").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# --- landed pages -----------------------------------------------------------------------
+
+
+def _landed(spark, sf_dir, label):
+    """The folder of all pages, landed as files by tasks."""
+    store = objects.FolderStore(scratch_path(spark, label))
+    store.provision("landed")
+    address = F.format_string("s3://landed/run=%d/page-%d.json", "run", "page").alias("storage_uri")
+    objects.store_payloads(fixture(spark, sf_dir, "page_bodies").select(address, "body"), store, "body")
+    return f"file://{store.root}/landed"
+
+
+_SCANNED = """
+SELECT run, page, CAST(page AS VARCHAR) AS cursor_used, 'application/json' AS content_type,
+       CAST(octet_length(encode(body)) AS BIGINT) AS size_bytes, sha256(body) AS checksum_sha256,
+       CAST(CASE WHEN variant IN (47, 48, 49) THEN NULL WHEN variant = 45 THEN 0
+            ELSE json_array_length(CASE WHEN variant = 46 THEN body ELSE body->'data'->'items' END) END AS BIGINT) AS n
+FROM page_bodies"""
+
+
+def _scanned(pages):
+    facts = records.page_facts(pages, RECORDS_PATH)
+    return facts.select("run", "page", F.col("page").cast("string").alias("cursor_used"), "content_type", "size_bytes", "checksum_sha256", "n")
+
+
+@query("landed_scan", _SCANNED)
+def landed_scan(spark, sf_dir):
+    """Pages as files, read back through Spark's file scan."""
+    return _scanned(landed.read_landed(spark, _landed(spark, sf_dir, "landed")))
+
+
+@query("landed_scan_by_provider", _SCANNED + " WHERE page >= 2")
+def landed_scan_by_provider(spark, sf_dir):
+    """The same through a provider of pages, from the second page on."""
+    spark.dataSource.register(landed.paged_source("landed_pages"))
+    pages = spark.read.format("landed_pages").option("path", _landed(spark, sf_dir, "provided")).option("start", 2)
+    return _scanned(pages.load())
+
+
 # --- passes over the store --------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,59 +33,70 @@ def read_landed(spark: SparkSession, root: str) -> DataFrame:
 class FileProvider:
     """Pages of a run as files on storage that every executor has mounted.
 
-    Any class with these two methods can serve pages to :func:`paged_source`.
+    Any class with these three methods can serve pages to :func:`paged_source`; they
+    are called in tasks.
     """
 
     def __init__(self, options: dict[str, str]):
-        self.root = options["path"]
+        self.root = options["path"].removeprefix("file://")
 
-    def pages(self) -> dict[int, list[int]]:
-        """Page numbers on offer, by run."""
-        found: dict[int, list[int]] = {}
+    def runs(self) -> Iterator[int]:
+        """Runs on offer."""
         for folder in os.scandir(self.root):
-            run = _RUN.match(folder.name)
-            if run:
-                names = (_PAGE.match(f.name) for f in os.scandir(folder.path))
-                found[int(run[1])] = sorted(int(m[1]) for m in names if m)
-        return found
+            if run := _RUN.match(folder.name):
+                yield int(run[1])
+
+    def pages(self, run: int) -> Iterator[int]:
+        """Page numbers of a run, in any order."""
+        for file in os.scandir(f"{self.root}/run={run}"):
+            if page := _PAGE.match(file.name):
+                yield int(page[1])
 
     def fetch(self, run: int, page: int) -> bytes:
         with open(f"{self.root}/run={run}/page-{page}.json", "rb") as file:
             return file.read()
 
 
-class PageRange(InputPartition):
-    """A stretch of pages of one run, read by one task."""
+class Slice(InputPartition):
+    """One of the ``ways`` that the pages of a group of runs are dealt to."""
 
-    def __init__(self, run: int, pages: list[int]):
-        self.run = run
-        self.numbers = pages
+    def __init__(self, group: int, way: int):
+        self.group = group
+        self.way = way
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, provider, start: int, per_task: int):
+    """Deals runs to groups by a hash, and blocks of their pages to ways, before anything is listed.
+
+    Tasks list for themselves, so the driver knows numbers of slices and no page. A task lists the
+    runs and the page names of its group; the ways share a run that holds most of the pages.
+    """
+
+    def __init__(self, provider, start: int, block: int, groups: int, ways: int):
         self.provider = provider
         self.start = start
-        self.per_task = per_task
+        self.block = block
+        self.groups = groups
+        self.ways = ways
 
-    def partitions(self) -> list[PageRange]:
-        ranges = []
-        for run, numbers in sorted(self.provider.pages().items()):
-            wanted = [n for n in numbers if n >= self.start]
-            for at in range(0, len(wanted), self.per_task):
-                ranges.append(PageRange(run, wanted[at : at + self.per_task]))
-        return ranges
+    def partitions(self) -> list[Slice]:
+        return [Slice(group, way) for group in range(self.groups) for way in range(self.ways)]
 
-    def read(self, partition: PageRange) -> Iterator[tuple]:
-        for page in partition.numbers:
-            body = self.provider.fetch(partition.run, page)
-            yield partition.run, page, body, len(body), "application/json"
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        for run in self.provider.runs():
+            if zlib.crc32(str(run).encode()) % self.groups != partition.group:
+                continue
+            for page in self.provider.pages(run):
+                if page >= self.start and page // self.block % self.ways == partition.way:
+                    body = self.provider.fetch(run, page)
+                    yield run, page, body, len(body), "application/json"
 
 
 def paged_source(name: str, provider_class: type = FileProvider) -> type[DataSource]:
     """A Spark data source called ``name`` over pages from ``provider_class``.
 
-    Options: ``start`` (first page), ``pages_per_task``, and the provider's own.
+    Options: ``start`` (first page), ``block`` (neighbouring pages that one task reads), ``groups``
+    and ``ways`` (their product is the number of tasks), and the provider's own.
     Register it with ``spark.dataSource.register``.
     """
 
@@ -101,7 +113,9 @@ def paged_source(name: str, provider_class: type = FileProvider) -> type[DataSou
             return PagedReader(
                 provider_class(options),
                 int(options.get("start", 1)),
-                int(options.get("pages_per_task", 100)),
+                int(options.get("block", 100)),
+                int(options.get("groups", 16)),
+                int(options.get("ways", 4)),
             )
 
     return PagedSource

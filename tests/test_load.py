@@ -104,14 +104,30 @@ def test_both_readers_see_the_same_pages(spark, tmp_path, rows):
     (tmp_path / "run=1" / "notes.txt").write_text("ignored")
     native = landed.read_landed(spark, str(tmp_path))
     spark.dataSource.register(landed.paged_source("landed_pages"))
-    custom = spark.read.format("landed_pages").option("path", str(tmp_path)).option("pages_per_task", 1).load()
+    custom = spark.read.format("landed_pages").option("path", str(tmp_path)).option("block", 1).option("groups", 3).option("ways", 2).load()
     columns = ["run", "page", "size_bytes", F.col("body").cast("string")]
     assert rows(native, *columns) == rows(custom, *columns)
-    assert custom.rdd.getNumPartitions() == 3
+    assert custom.rdd.getNumPartitions() == 6
     late = spark.read.format("landed_pages").option("path", str(tmp_path)).option("start", 2).load()
     assert rows(late, "run", "page") == [(1, 2), (2, 10)]
 
 
+def test_a_hot_run_is_read_by_several_tasks_and_nothing_is_listed_by_the_driver(spark, tmp_path, rows, monkeypatch):
+    land(tmp_path, {(7, k): body() for k in range(1, 41)} | {(k, 1): body() for k in range(8, 12)})
+    spark.dataSource.register(landed.paged_source("hot_pages"))
+    read = spark.read.format("hot_pages").option("path", str(tmp_path)).option("block", 5).option("groups", 2).option("ways", 4)
+    monkeypatch.setattr(landed.os, "scandir", None)
+    frame = read.load()
+    assert frame.rdd.getNumPartitions() == 8
+    monkeypatch.undo()
+    assert rows(frame, "run", "page") == rows(landed.read_landed(spark, str(tmp_path)), "run", "page")
+    per_task = frame.where("run = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in per_task) == [10, 10, 10, 10]
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert rows(spark.read.format("hot_pages").option("path", str(empty)).load()) == []
+
+
 # --- whole runs --------------------------------------------------------------------
 
 
