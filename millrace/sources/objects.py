@@ -12,6 +12,8 @@ import hashlib
 import os
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from typing import Protocol
 
 import pyarrow as pa
@@ -25,6 +27,8 @@ INTEGRITY, CONFIGURATION, DENIED = "RawPayloadIntegrityError", "ConfigurationErr
 
 #: Rows that a task holds at once.
 ROWS = 200
+#: Names that a task holds at once while it lists, and that the driver looks at before tasks do it.
+NAMES, FEW_NAMES = 10_000, 1000
 
 
 class Store(Protocol):
@@ -73,13 +77,22 @@ class FolderStore:
         path = self._path(bucket, key)
         if os.path.exists(path):
             return False
-        part = f"{self.root}/{bucket}/.parts/{uuid.uuid4().hex}"
-        os.makedirs(os.path.dirname(part), exist_ok=True)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(part, "xb") as file:
-            file.write(body)
+        # Many folders, as writers of one folder wait for each other.
+        name = uuid.uuid4().hex
+        part = f"{self.root}/{bucket}/.parts/{name[:2]}/{name}"
         try:
-            os.link(part, path)
+            file = open(part, "xb")
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(part), exist_ok=True)
+            file = open(part, "xb")
+        try:
+            with file:
+                file.write(body)
+            try:
+                os.link(part, path)
+            except FileNotFoundError:
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                os.link(part, path)
         except FileExistsError:
             return False
         finally:
@@ -99,6 +112,25 @@ class FolderStore:
         except FileNotFoundError:
             return None
 
+    def names(self, bucket: str, folder: str) -> Iterator[tuple[str, bool]]:
+        """Keys in a folder of a bucket (``""``: the bucket), and whether each is a folder; without names that Spark's listing hides."""
+        try:
+            with os.scandir(f"{self.root}/{bucket}/{folder}") as entries:
+                for entry in entries:
+                    hidden = entry.name.startswith(".") or entry.name.endswith("._COPYING_") or (entry.name.startswith("_") and "=" not in entry.name)
+                    if not hidden:
+                        yield (f"{folder}/{entry.name}" if folder else entry.name), entry.is_dir()
+        except FileNotFoundError:  # gone since it was listed
+            return
+
+    def state(self, bucket: str, key: str) -> tuple[int, int] | None:
+        """Bytes of an object and the millisecond of its last change; None if there is none."""
+        try:
+            found = os.stat(f"{self.root}/{bucket}/{key}")
+        except FileNotFoundError:
+            return None
+        return found.st_size, found.st_mtime_ns // 1_000_000
+
 
 def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_bucket": uri_bucket(F.col("storage_uri")), "_key": uri_key(F.col("storage_uri"))})
@@ -217,11 +249,62 @@ def copy_verified(moves: DataFrame, store: Store, columns: list[str] | None = No
     return _mapped(rows, move, columns, "outcome string, category string, stored_size bigint, actual string")
 
 
+def _suits_file_scan(store: FolderStore, bucket: str, most: int) -> bool:
+    """Whether a bucket has no more names than ``most``, and no empty object; no more are looked at."""
+    folders, left = [""], most
+    while folders:
+        for key, is_folder in store.names(bucket, folders.pop()):
+            left -= 1
+            if left < 0:
+                return False
+            if is_folder:
+                folders.append(key)
+            elif (store.state(bucket, key) or (0,))[0] == 0:
+                return False
+    return True
+
+
+def _names(spark: SparkSession, store: FolderStore, bucket: str, tasks: int) -> DataFrame:
+    """``key`` of the objects of a bucket: tasks list the folders of one level, then those found in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                listed = store.names(bucket, folder)
+                while part := list(islice(listed, NAMES)):
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.string()), pa.array([f for _, f in part], pa.bool_())], names=["key", "folder"])
+
+    folders, found = spark.createDataFrame([("",)], "key string"), []
+    while not folders.isEmpty():
+        level = cut_lineage(folders.mapInArrow(run, "key string, folder boolean"))
+        found.append(level.where("NOT folder").select("key"))
+        folders = level.where("folder").select("key").repartition(tasks, "key")
+    return reduce(DataFrame.unionByName, found)
+
+
 def list_objects(spark: SparkSession, store: FolderStore, bucket: str) -> DataFrame:
-    """``key, size_bytes, modified`` of a bucket, by Spark's own listing; contents stay unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{store.root}/{bucket}")
-    key = F.substring_index(F.col("path"), f"/{bucket}/", -1)
-    return files.select(key.alias("key"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    """``key, size_bytes, modified`` of a bucket; contents stay unread.
+
+    A few objects are listed by Spark's own file scan. That holds every file in the driver,
+    deals out some thirty to a task and leaves out empty ones, so the names of larger buckets,
+    and of those with an empty object, are listed by tasks, a level of folders at a time, and
+    dealt evenly to the tasks that ask for size and time. Names are those of the time of the call, sizes and times those found when rows are read.
+    """
+    if _suits_file_scan(store, bucket, FEW_NAMES):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{store.root}/{bucket}")
+        key = F.substring_index(F.col("path"), f"/{bucket}/", -1)
+        return files.select(key.alias("key"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            there = [(k, *s) for k, s in ((k, store.state(bucket, k)) for k in keys) if s is not None]
+            columns = [[row[k] for row in there] for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "size_bytes", "millis"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = _names(spark, store, bucket, tasks).repartition(tasks, "key").mapInArrow(run, "key string, size_bytes bigint, millis bigint")
+    return found.select("key", "size_bytes", F.timestamp_millis("millis").alias("modified"))
 
 
 class PassEnded(Exception):

@@ -95,6 +95,31 @@ def test_checks_find_what_is_gone_or_changed(spark, store):
     assert sorted((r.key.split("-")[0], r.size_bytes) for r in listed) == [("1", 4), ("2", 4), ("plain", 3)]
 
 
+def test_a_large_bucket_is_listed_by_tasks(spark, store, monkeypatch):
+    keys = [f"t{k % 5}/{k % 3}/{'deep/' * (k % 4)}{k}.raw" for k in range(1200)]
+    for k, key in enumerate(keys):
+        store.create("pile", key, b"x" * (1 + k % 7))
+    os.makedirs(f"{store.root}/pile/empty/folder")
+    for hidden in ("_part", "t0/.part", "_folder/x", "t1/x._COPYING_"):
+        os.makedirs(os.path.dirname(f"{store.root}/pile/{hidden}"), exist_ok=True)
+        open(f"{store.root}/pile/{hidden}", "w").close()
+    store.create("pile", "_k=1", b"x")
+    listed = objects.list_objects(spark, store, "pile")
+    assert listed.rdd.getNumPartitions() <= 4  # Spark's own scan: one for some thirty files
+    found = sorted(tuple(r) for r in listed.collect())
+    assert [r[:2] for r in found] == sorted([("_k=1", 1), *((key, 1 + k % 7) for k, key in enumerate(keys))])
+    monkeypatch.setattr(objects, "FEW_NAMES", 10_000)
+    assert sorted(tuple(r) for r in objects.list_objects(spark, store, "pile").collect()) == found
+    os.unlink(f"{store.root}/pile/{keys[0]}")
+    assert listed.count() == 1200
+
+
+def test_an_empty_object_is_listed(spark, store):
+    store.create("pile", "a/empty", b"")
+    store.create("pile", "a/full", b"x")
+    assert sorted((r.key, r.size_bytes) for r in objects.list_objects(spark, store, "pile").collect()) == [("a/empty", 0), ("a/full", 1)]
+
+
 def test_a_conflict_ends_the_pass_before_a_row_is_loaded(spark, store, tmp_path):
     run = "run bigint, config_id bigint, start_page bigint, page_size bigint, max_pages bigint, cursor string, retain_empty boolean"
     landed = spark.createDataFrame([(1, 1, '{"rows":[{"id":1},{"id":2}]}'), (1, 2, '{"rows":[{"id":3}]}'), (1, 1, '{"rows":[{"id":1},{"id":2}]}')], "run bigint, page bigint, body string")
