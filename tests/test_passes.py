@@ -186,6 +186,20 @@ def test_only_what_changed_is_read(spark, tmp_path, monkeypatch):
     assert rows(6, everything=True) == sorted([(keys[0], "changed"), *[(k, "there") for k in keys[1:]]])
 
 
+def test_a_pass_over_a_store_that_outgrew_the_file_scan(spark, tmp_path, monkeypatch):
+    store, _ = stocked(tmp_path, 0)
+    parts, cut = [], ledger.cut_lineage
+    monkeypatch.setattr(ledger, "cut_lineage", lambda rows: parts.append(rows.rdd.getNumPartitions()) or cut(rows))
+    keys = [f"{k % 9}/{logical(k, f'body {k}')}" for k in range(1100)]
+    for number, (first, last) in enumerate([(0, 900), (900, 1100)], 1):
+        for k in range(first, last):
+            store.create("pile", keys[k], f"body {k}".encode())
+        found = ledger.verify_changed(spark, store, "pile", f"{tmp_path}/ledger", number).collect()
+        assert sorted((r.key, r.outcome) for r in found) == sorted((key, "there") for key in keys[first:last])
+    assert parts[1] <= 4
+    assert ledger.verify_changed(spark, store, "pile", f"{tmp_path}/ledger", 3).count() == 0
+
+
 def test_contents_are_not_scanned_to_find_what_changed(spark, tmp_path):
     store, _ = stocked(tmp_path, 3)
     plan = ledger.changed_objects(objects.list_objects(spark, store, "pile"), spark.createDataFrame([], ledger.COLUMNS))._jdf.queryExecution().executedPlan().toString()
