@@ -21,8 +21,15 @@ JOINED = 1000
 #: Letters of the Latin blocks up to U+024F; U+0130 is no longer one letter in lower case.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
-#: A word and the punctuation after it, which are never one token and never change each other.
-ENDED = re.compile(f"( ?[{LETTERS}]+)([.,!?;:$%&*#]+)").fullmatch
+#: Punctuation after a word; the two are never one token and never change each other.
+ENDS = ".,!?;:$%&*#"
+
+
+def is_word(piece: str) -> bool:
+    """Whether ``WORD`` fits a piece; most are ASCII, which is told without a pattern."""
+    if piece.isascii():
+        return piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha())
+    return WORD(piece) is not None
 
 
 class PieceTokenizer:
@@ -92,24 +99,31 @@ class PieceTokenizer:
         """Takes ids of pieces over from the older generation or asks for them; gives the pieces too long to be kept."""
         young, old = self.young, self.old
         if old:
-            again = {p: old[p] for p in pieces if p in old}
-            young.update(again)
-            pieces = pieces.difference(again)
-        ended = [(m[0], m[1], m[2]) for m in map(ENDED, pieces) if m]
-        parts = pieces.difference([p for p, _, _ in ended])
-        for _, word, tail in ended:
-            for part in (word, tail):
-                if part in old:
-                    young[part] = old[part]
-                elif part not in young:
-                    parts.add(part)
-        young.update(self._bytes_joined(list(parts)))
-        young.update([(p, young[word] + young[tail]) for p, word, tail in ended])
+            again = pieces & old.keys()
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            pieces = pieces - again
+        parts, ended, words = [], [], []
+        for piece in pieces:
+            word = piece.rstrip(ENDS)
+            if len(word) < len(piece) and is_word(word):
+                ended.append(piece)
+                words.append(word)
+            else:
+                parts.append(piece)
+        tails = [piece[len(word) :] for piece, word in zip(ended, words, strict=True)]
+        apart = {*words, *tails} - young.keys()
+        if old:
+            again = apart & old.keys()
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            apart -= again
+        parts = list(apart.union(parts))
+        young.update(self._bytes_joined(parts))
+        young.update(zip(ended, map(bytes.__add__, map(young.__getitem__, words), map(young.__getitem__, tails)), strict=True))
         return [p for p in {*pieces, *parts} if len(p) > KEPT_LENGTH]
 
     def _bytes_joined(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of short texts, many of them handed over as one."""
-        known = self._bytes_of_words([p for p in pieces if WORD(p)])
+        known = self._bytes_of_words(list(filter(is_word, pieces)))
         rest = [p for p in pieces if p not in known]
         known.update(zip(rest, self._bytes_between_marks(rest), strict=True))
         return known
@@ -124,11 +138,11 @@ class PieceTokenizer:
         known: dict[str, bytes] = {}
         if self.drops_space:
             shown, skip, gap = words, [0] * len(words), " "
-            wide = [len(w.lower().encode()) for w in words]
+            wide = [len(w) if w.isascii() else len(w.lower().encode()) for w in words]
         else:
             skip = [0 if w[0] == " " else 1 for w in words]
             shown, gap = ["\n" + w if s else w for w, s in zip(words, skip, strict=True)], ""
-            wide = [len(w.encode()) for w in shown]
+            wide = [len(w) if w.isascii() else len(w.encode()) for w in shown]
         texts = [gap.join(shown[k : k + JOINED]) for k in range(0, len(words), JOINED)]
         for k, encoding in enumerate(self.own.encode_batch_fast(texts, add_special_tokens=False)):
             part = slice(k * JOINED, (k + 1) * JOINED)

@@ -18,7 +18,7 @@ import edge
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from millrace.llm import bitplanes, bpe, cost_packing
+from millrace.llm import bitplanes, bpe, cost_packing, tokens
 from millrace.llm.common import ready
 from millrace.llm.tokens import PieceTokenizer
 from millrace.session import scratch_path
@@ -179,3 +179,15 @@ def test_queries_against_the_library(own):
             assert piece["ids_crc32"] == zlib.crc32(own_ids[at : at + piece["length"]].tobytes())
             at += piece["length"]
         assert at == len(own_ids)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_plain_words_need_no_pattern(path, monkeypatch):
+    asked, fits = [], tokens.WORD
+    monkeypatch.setattr(tokens, "WORD", lambda piece: asked.append(piece) or fits(piece))
+    text = "One two, three. Four!? Straße naïve... x1 (five) six;seven -- eight. ."
+    (got,) = PieceTokenizer(path).encode([text])
+    assert list(got) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert not [piece for piece in asked if piece.isascii()] and len(asked) > 0
+    for piece in ("", " ", "  a", " a", "a ", "a.", "a1", " é", "İ", "ab\n", "Ⅷ", "ª"):
+        assert tokens.is_word(piece) == bool(fits(piece))
