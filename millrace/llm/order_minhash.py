@@ -38,7 +38,7 @@ _WHITE = r"[\x20\x09-\x0D]+"
 
 def kmers(texts: DataFrame, keys: list[str], k: int = KMER) -> DataFrame:
     """``keys, kmers`` of ``keys, text``: hashes in text order; all words as one k-mer if there are fewer than k."""
-    words = F.transform(F.filter(F.split("text", _WHITE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    words = F.transform(F.array_remove(F.split("text", _WHITE), ""), lambda w: F.xxhash64(w))
     own = computed_once(texts, _words=words).select(*keys, "_words")
     several = F.transform(
         F.slice("_words", 1, F.greatest(F.size("_words") - (k - 1), F.lit(0))),
