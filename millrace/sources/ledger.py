@@ -27,12 +27,23 @@ def latest(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("key").agg(F.max_by(F.struct("pass", *rest), "pass").alias("_last")).select("key", "_last.*")
 
 
+def compared(listing: DataFrame, ledger: DataFrame, everything: bool = False) -> DataFrame:
+    """What a pass has to tell: ``key, size_bytes, modified`` of the objects to read, and of those ``gone`` since the ledger knew them.
+
+    The ledger's checks are aggregated once and meet the listing in one join; what is unchanged is dropped there.
+    """
+    known = latest(ledger.select("pass", "key", *_STATE, "outcome")).where("outcome <> 'vanished'")
+    sides = listing.select("key", F.struct(*_STATE).alias("_now")).join(known.select("key", F.struct(*_STATE).alias("_then")), "key", "full_outer")
+    same = F.lit(not everything)
+    for c in _STATE:
+        same = same & (F.col(f"_now.{c}") == F.col(f"_then.{c}"))
+    told = sides.where(~F.coalesce(same, F.lit(False)))
+    return told.select("key", *[F.coalesce("_now", "_then")[c].alias(c) for c in _STATE], F.col("_now").isNull().alias("gone"))
+
+
 def changed_objects(listing: DataFrame, ledger: DataFrame, everything: bool = False) -> DataFrame:
     """Objects to read: those the ledger doesn't know, or knows with another size or time."""
-    if everything:
-        return listing
-    known = latest(ledger).where("outcome <> 'vanished'").select("key", *_STATE)
-    return listing.join(known, ["key", *_STATE], "left_anti")
+    return compared(listing, ledger, everything).where("NOT gone").drop("gone")
 
 
 def verify_changed(spark: SparkSession, store: objects.FolderStore, bucket: str, path: str, number: int, everything: bool = False) -> DataFrame:
@@ -46,13 +57,11 @@ def verify_changed(spark: SparkSession, store: objects.FolderStore, bucket: str,
     if not tables.history(spark, path).where(F.col("batch") == f"pass-{number}").isEmpty():
         return tables.read_table(spark, path).where(F.col("pass") == number)
     before = tables.read_table(spark, path).where(F.col("pass") < number)
-    listing = cut_lineage(objects.list_objects(spark, store, bucket))
+    found = cut_lineage(compared(objects.list_objects(spark, store, bucket), before, everything))
     address = F.concat(F.lit(f"s3://{bucket}/"), "key").alias("storage_uri")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = changed_objects(listing, before, everything).select(address, "key", *_STATE).repartition(tasks, "key")
-    checked = objects.check_objects(wanted, store, ["key", *_STATE], read=True)
-    known = latest(before).where("outcome <> 'vanished'")
-    gone = known.join(listing.select("key"), "key", "left_anti").select(
+    wanted = found.where("NOT gone").select(address, "key", *_STATE)
+    checked = objects.check_objects(wanted.repartition(objects.dealt_to(spark, wanted.count()), "key"), store, ["key", *_STATE], read=True)
+    gone = found.where("gone").select(
         "key", *_STATE, F.lit(None).cast("string").alias("actual"),
         F.lit("vanished").alias("outcome"), F.lit(objects.INTEGRITY).alias("category"),
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
@@ -29,6 +30,8 @@ INTEGRITY, CONFIGURATION, DENIED = "RawPayloadIntegrityError", "ConfigurationErr
 ROWS = 200
 #: Names that a task holds at once while it lists, and that the driver looks at before tasks do it.
 NAMES, FEW_NAMES = 10_000, 1000
+#: Objects that are worth a task of their own.
+TASK_OBJECTS = 1000
 
 
 class Store(Protocol):
@@ -77,17 +80,21 @@ class FolderStore:
         path = self._path(bucket, key)
         if os.path.exists(path):
             return False
-        # Many folders, as writers of one folder wait for each other.
-        name = uuid.uuid4().hex
-        part = f"{self.root}/{bucket}/.parts/{name[:2]}/{name}"
+        # A folder for each process, as writers of one folder wait for each other.
+        part = f"{self.root}/{bucket}/.parts/{os.getpid()}/{uuid.uuid4().hex}"
+        flags = os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_CLOEXEC
         try:
-            file = open(part, "xb")
+            file = os.open(part, flags, 0o666)
         except FileNotFoundError:
             os.makedirs(os.path.dirname(part), exist_ok=True)
-            file = open(part, "xb")
+            file = os.open(part, flags, 0o666)
         try:
-            with file:
-                file.write(body)
+            try:
+                left = memoryview(body)
+                while left:
+                    left = left[os.write(file, left) :]
+            finally:
+                os.close(file)
             try:
                 os.link(part, path)
             except FileNotFoundError:
@@ -107,7 +114,7 @@ class FolderStore:
 
     def read(self, bucket: str, key: str) -> bytes | None:
         try:
-            with open(self._path(bucket, key), "rb") as file:
+            with open(self._path(bucket, key), "rb", buffering=0) as file:
                 return file.read()
         except FileNotFoundError:
             return None
@@ -264,22 +271,46 @@ def _suits_file_scan(store: FolderStore, bucket: str, most: int) -> bool:
     return True
 
 
-def _names(spark: SparkSession, store: FolderStore, bucket: str, tasks: int) -> DataFrame:
-    """``key`` of the objects of a bucket: tasks list the folders of one level, then those found in them."""
+def dealt_to(spark: SparkSession, rows: int) -> int:
+    """Tasks that objects are dealt to: as many as shuffles have, but not for a handful each."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // TASK_OBJECTS)
+
+
+def _names(spark: SparkSession, store: FolderStore, bucket: str) -> tuple[DataFrame, int]:
+    """``key`` of the objects of a bucket, and how many: tasks walk its folders, breadth first.
+
+    A task that has met ``NAMES`` names below a folder hands on the folders it has not begun, and
+    these are dealt to tasks of the next round. So rounds grow with what lies below
+    one folder, not with the levels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(names: list[tuple[str, bool]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in names], pa.string()), pa.array([f for _, f in names], pa.bool_())], names=["key", "folder"])
+
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                listed = store.names(bucket, folder)
-                while part := list(islice(listed, NAMES)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.string()), pa.array([f for _, f in part], pa.bool_())], names=["key", "folder"])
-
-    folders, found = spark.createDataFrame([("",)], "key string"), []
-    while not folders.isEmpty():
+                waiting, met = deque([folder]), 0
+                while waiting and met < NAMES:
+                    listed = store.names(bucket, waiting.popleft())
+                    while part := list(islice(listed, NAMES)):
+                        met += len(part)
+                        inner = [k for k, is_folder in part if is_folder]
+                        kept = inner[: NAMES - len(waiting)]
+                        waiting.extend(kept)
+                        yield told([x for x in part if not x[1]] + [(k, True) for k in inner[len(kept) :]])
+                yield told([(k, True) for k in waiting])
+
+    folders, found, names = spark.range(0, 1, 1, 1).select(F.lit("").alias("key")), [], 0
+    while True:
         level = cut_lineage(folders.mapInArrow(run, "key string, folder boolean"))
         found.append(level.where("NOT folder").select("key"))
+        counts = dict(level.groupBy("folder").count().collect())
+        names += counts.get(False, 0)
+        if not (left := counts.get(True, 0)):
+            return reduce(DataFrame.unionByName, found), names
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), left)
         folders = level.where("folder").select("key").repartition(tasks, "key")
-    return reduce(DataFrame.unionByName, found)
 
 
 def list_objects(spark: SparkSession, store: FolderStore, bucket: str) -> DataFrame:
@@ -287,7 +318,7 @@ def list_objects(spark: SparkSession, store: FolderStore, bucket: str) -> DataFr
 
     A few objects are listed by Spark's own file scan. That holds every file in the driver,
     deals out some thirty to a task and leaves out empty ones, so the names of larger buckets,
-    and of those with an empty object, are listed by tasks, a level of folders at a time, and
+    and of those with an empty object, are listed by tasks, and
     dealt evenly to the tasks that ask for size and time. Names are those of the time of the call, sizes and times those found when rows are read.
     """
     if _suits_file_scan(store, bucket, FEW_NAMES):
@@ -302,8 +333,8 @@ def list_objects(spark: SparkSession, store: FolderStore, bucket: str) -> DataFr
             columns = [[row[k] for row in there] for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "size_bytes", "millis"])
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _names(spark, store, bucket, tasks).repartition(tasks, "key").mapInArrow(run, "key string, size_bytes bigint, millis bigint")
+    names, count = _names(spark, store, bucket)
+    found = names.repartition(dealt_to(spark, count), "key").mapInArrow(run, "key string, size_bytes bigint, millis bigint")
     return found.select("key", "size_bytes", F.timestamp_millis("millis").alias("modified"))
 
 

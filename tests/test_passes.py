@@ -200,6 +200,25 @@ def test_a_pass_over_a_store_that_outgrew_the_file_scan(spark, tmp_path, monkeyp
     assert ledger.verify_changed(spark, store, "pile", f"{tmp_path}/ledger", 3).count() == 0
 
 
+def test_a_pass_writes_down_only_what_changed(spark, tmp_path, monkeypatch):
+    store, _ = stocked(tmp_path, 0)
+    held, cut = [], ledger.cut_lineage
+    monkeypatch.setattr(ledger, "cut_lineage", lambda rows: held.append((done := cut(rows)).count()) or done)
+    keys = [f"{k % 9}/{logical(k, f'body {k}')}" for k in range(1100)]
+    for k in range(1050):
+        store.create("pile", keys[k], f"body {k}".encode())
+    path = f"{tmp_path}/ledger"
+    assert ledger.verify_changed(spark, store, "pile", path, 1).count() == 1050
+    os.unlink(f"{store.root}/pile/{keys[0]}")
+    for k in range(1050, 1100):
+        store.create("pile", keys[k], f"body {k}".encode())
+    found = ledger.verify_changed(spark, store, "pile", path, 2).collect()
+    assert sorted((r.key, r.outcome) for r in found) == sorted([(keys[0], "vanished"), *((key, "there") for key in keys[1050:])])
+    assert ledger.verify_changed(spark, store, "pile", path, 3).count() == 0
+    assert held == [1050, 51, 0]
+    assert ledger.verify_changed(spark, store, "pile", path, 4, everything=True).count() == 1099
+
+
 def test_contents_are_not_scanned_to_find_what_changed(spark, tmp_path):
     store, _ = stocked(tmp_path, 3)
     plan = ledger.changed_objects(objects.list_objects(spark, store, "pile"), spark.createDataFrame([], ledger.COLUMNS))._jdf.queryExecution().executedPlan().toString()

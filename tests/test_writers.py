@@ -114,6 +114,18 @@ def test_a_large_bucket_is_listed_by_tasks(spark, store, monkeypatch):
     assert listed.count() == 1200
 
 
+@pytest.mark.parametrize("names, rounds", [(10_000, 1), (400, 3), (1, 12)])
+def test_levels_of_folders_share_a_round(spark, store, monkeypatch, names, rounds):
+    keys = [f"a/b{k % 3}/c{k % 7}/{'deep/' * (k % 4)}{k}.raw" for k in range(1100)]
+    for key in keys:
+        store.create("pile", key, b"x")
+    cuts, cut = [], objects.cut_lineage
+    monkeypatch.setattr(objects, "cut_lineage", lambda rows: cuts.append(1) or cut(rows))
+    monkeypatch.setattr(objects, "NAMES", names)
+    assert sorted(r.key for r in objects.list_objects(spark, store, "pile").collect()) == sorted(keys)
+    assert len(cuts) <= rounds
+
+
 def test_an_empty_object_is_listed(spark, store):
     store.create("pile", "a/empty", b"")
     store.create("pile", "a/full", b"x")
